@@ -82,16 +82,8 @@ def normalized(docs: DataFrame, *keep: str) -> DataFrame:
 
 def explode_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of arange(start, start+length) for all pairs."""
-    total = int(lengths.sum())
-    if not total:
-        return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
-    out = np.ones(total, np.int64)
-    nz = lengths > 0
-    s, e, ln = starts[nz], ends[nz], lengths[nz]
-    out[0] = s[0]
-    out[e[:-1]] = s[1:] - (s[:-1] + ln[:-1] - 1)
-    return np.cumsum(out)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

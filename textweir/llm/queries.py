@@ -1,11 +1,19 @@
 """Registered queries of the training-data operators, and their SQL."""
 
 from textweir.llm.line_dedup import OP4_SQL, op4_line_dedup
+from textweir.llm.quality_rules import OP3_SQL, op3_quality_rules
+from textweir.llm.token_output import op8_token_output
+from textweir.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op8_token_output": op8_token_output,
+    "op9_url_filters": op9_url_filters,
 }
 
 ORACLES = {
+    "op3_quality_rules": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op9_url_filters": OP9_SQL,
 }
