@@ -1,13 +1,17 @@
 """Registered queries of the training-data operators, and their SQL."""
 
 from textweir.llm.line_dedup import OP4_SQL, op4_line_dedup
+from textweir.llm.packing import op5_packing
 from textweir.llm.quality_rules import OP3_SQL, op3_quality_rules
+from textweir.llm.token_counts import op2_token_counts
 from textweir.llm.token_output import op8_token_output
 from textweir.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
     "op8_token_output": op8_token_output,
     "op9_url_filters": op9_url_filters,
 }
