@@ -125,22 +125,26 @@ class Bits:
 
 
 class RepeatFilter:
-    """The bounded "seen twice" filter of all hash ranges, for workers to probe."""
+    """The bounded "seen twice" filter of all hash ranges, for workers to probe in bulk."""
 
-    def __init__(self, shards: int, slices: dict[int, tuple[int, bytes]]):
-        self.bits_of_shard = shards.bit_length() - 1
-        self.slices = {s: Bits(log2, data) for s, (log2, data) in slices.items()}
+    def __init__(self, shards: int, slices: dict[int, tuple[int, bytes]], k: int = 4):
+        self.bits_of_shard, self.k = shards.bit_length() - 1, k
+        self.log2, self.base = np.zeros(shards, np.uint64), np.zeros(shards, np.int64)
+        self.words = np.frombuffer(b"".join(slices[s][1] for s in sorted(slices)), U64) if slices else np.zeros(1, U64)
+        at = 0
+        for s in sorted(slices):
+            self.log2[s], self.base[s] = slices[s][0], at
+            at += len(slices[s][1]) // 8
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), bool)
-        if not len(h) or not self.slices:
-            return out
         shard = shard_of(h, self.bits_of_shard)
-        order = np.argsort(shard, kind="stable")
-        cut = np.flatnonzero(np.diff(shard[order])) + 1
-        for part in np.split(order, cut):
-            if (b := self.slices.get(int(shard[part[0]]))) is not None:
-                out[part] = b.has(h[part])
+        log2, base = self.log2[shard], self.base[shard]
+        out = log2 > 0
+        with np.errstate(over="ignore"):
+            a, b = mix64(h), mix64(h ^ U64(0x9E3779B97F4A7C15)) | U64(1)
+            for i in range(self.k):
+                p = (a + U64(i) * b) >> (U64(64) - np.maximum(log2, U64(1)))
+                out &= (self.words[base + np.where(out, p >> U64(6), U64(0)).astype(np.int64)] >> (p & U64(63)) & U64(1)).astype(bool)
         return out
 
 

@@ -64,15 +64,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
 
     twice = repeat_filter(base.select("text").mapInArrow(hashes, HASH_SCHEMA), shards, max_filter_bits)
 
-    def suspects_of(text: bytes) -> list[bytes]:
-        ks = list(dict.fromkeys(_long(line_keys(text), min_chars)))
-        hit = twice.value.has(np.fromiter(map(xxhash.xxh3_64_intdigest, ks), np.uint64, len(ks)))
-        return [hashlib.sha256(k).digest() for k, x in zip(ks, hit) if x]
+    def suspects_of(texts) -> list[list[bytes]]:
+        """Digests of the suspect keys of each text; the filter is probed once for all."""
+        keys = [list(dict.fromkeys(_long(line_keys(t.as_py()), min_chars))) for t in texts]
+        flat = [k for ks in keys for k in ks]
+        hit = twice.value.has(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))).tolist()
+        out, at = [], 0
+        for ks in keys:
+            out.append([hashlib.sha256(k).digest() for k, x in zip(ks, hit[at : at + len(ks)]) if x])
+            at += len(ks)
+        return out
 
     def flag(batches):
         for b in batches:
-            found = [suspects_of(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.binary()))], [*b.schema.names, "suspects"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(suspects_of(b.column("text")), pa.list_(pa.binary()))], [*b.schema.names, "suspects"])
 
     flagged = base.mapInArrow(flag, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", suspects array<binary>")
 
@@ -80,9 +85,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
         """Distinct (digest, rid) of this task."""
         seen = set()
         for b in batches:
-            for t, rid in zip(b.column("text"), b.column("rid")):
-                rid = rid.as_py()
-                seen.update((d, rid) for d in suspects_of(t.as_py()))
+            for found, rid in zip(suspects_of(b.column("text")), b.column("rid").to_pylist()):
+                seen.update((d, rid) for d in found)
         pairs = list(seen)
         for i in range(0, len(pairs), 1 << 16):
             part = pairs[i : i + (1 << 16)]
