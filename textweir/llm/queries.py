@@ -4,6 +4,7 @@ from textweir.llm.line_dedup import OP4_SQL, op4_line_dedup
 from textweir.llm.packing import op5_packing
 from textweir.llm.quality_rules import OP3_SQL, op3_quality_rules
 from textweir.llm.simhash import op7_simhash
+from textweir.llm.suffix_dedup import op10_suffix_dedup
 from textweir.llm.token_counts import op2_token_counts
 from textweir.llm.token_output import op8_token_output
 from textweir.llm.url_filters import OP9_SQL, op9_url_filters
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_token_output": op8_token_output,
     "op9_url_filters": op9_url_filters,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
