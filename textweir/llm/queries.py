@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators, and their SQL."""
 
 from textweir.llm.line_dedup import OP4_SQL, op4_line_dedup
+from textweir.llm.lm_scoring import op1_lm_scoring
 from textweir.llm.packing import op5_packing
 from textweir.llm.quality_rules import OP3_SQL, op3_quality_rules
 from textweir.llm.simhash import op7_simhash
@@ -10,6 +11,7 @@ from textweir.llm.token_output import op8_token_output
 from textweir.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
