@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space: the six bytes that bytes.split() and bytes.strip() use.
 WS = b" \t\n\r\x0b\x0c"
@@ -71,6 +72,11 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def schema_of(fields, ddl: str) -> T.StructType:
+    """Fields as they are, and those of a DDL string after them."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def normalized(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns ``doc_id`` (long), ``text`` (binary, null becomes empty) and ``keep``."""
     return docs.select(

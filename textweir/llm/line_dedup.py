@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import HASH_SCHEMA, concat, code_points, emit_hashes, materialize, n_shards, normalized, repeat_filter
+from textweir.llm.common import HASH_SCHEMA, concat, code_points, emit_hashes, materialize, n_shards, normalized, repeat_filter, schema_of
 
 #: Rank of a document without an id.
 NO_ID = -(2**63)
@@ -79,7 +79,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(suspects_of(b.column("text")), pa.list_(pa.binary()))], [*b.schema.names, "suspects"])
 
-    flagged = base.mapInArrow(flag, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", suspects array<binary>")
+    flagged = base.mapInArrow(flag, schema_of(base.schema, "suspects array<binary>"))
 
     def occurrences(batches):
         """Distinct (digest, rid) of this task."""
@@ -102,7 +102,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
     rest = pairs.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     drops = rest.join(light, "digest").union(pairs.join(F.broadcast(heavy.select("digest", "last")), "digest")).filter(F.col("rid") < F.col("last"))
     drops = drops.groupBy(F.col("rid").alias("drop_rid")).agg(F.collect_set("digest").alias("drop"))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name not in ("text", "rid")]
 
     def clean(batches):
         for b in batches:
@@ -120,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
 
     touched = flagged.filter(F.size("suspects") > 0).drop("suspects").join(drops.hint("shuffle_hash"), F.col("rid") == F.col("drop_rid"), "left").drop("rid", "drop_rid")
     free = flagged.filter(F.size("suspects") == 0).drop("suspects", "rid").withColumn("drop", F.lit(None).cast("array<binary>"))
-    schema = ", ".join([*names, "n_lines long", "n_dropped long", "text binary"])
+    schema = schema_of([f for f in base.schema if f.name not in ("text", "rid")], "n_lines long, n_dropped long, text binary")
     return touched.select(free.columns).unionByName(free).mapInArrow(clean, schema).withColumn("text", F.col("text").cast("string"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import _CONT, WS, normalized
+from textweir.llm.common import _CONT, WS, normalized, schema_of
 
 SYMBOLS = b"#*$%&|<>"
 BOILERPLATE = (b"all rights reserved", b"licensed under", b"released under the", b"privacy policy", b"terms of use", b"terms of service", b"enable javascript", b"use of cookies", b"lorem ipsum", b"subscribe to our newsletter")
@@ -86,8 +86,7 @@ def judge(text: bytes, min_words: int, max_repeat: int, max_lost: int, boilerpla
 def line_first_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, max_lost: int = 40, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, ``keep``, the counts, base_failed, kept and the cleaned text."""
     base = normalized(docs, *keep)
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text"]
-    schema = ", ".join([*names, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean", *["text binary"] * with_text])
+    schema = schema_of([f for f in base.schema if f.name != "text"], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean" + ", text binary" * with_text)
 
     def run(batches):
         for b in batches:

@@ -1,5 +1,6 @@
 """Registered queries of the training-data operators, and their SQL."""
 
+from textweir.llm.decontaminate import op6_decontamination
 from textweir.llm.line_dedup import OP4_SQL, op4_line_dedup
 from textweir.llm.lm_scoring import op1_lm_scoring
 from textweir.llm.packing import op5_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_token_output": op8_token_output,
     "op9_url_filters": op9_url_filters,

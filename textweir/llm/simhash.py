@@ -271,15 +271,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: i
     """doc_id, fingerprint, n_near, component_id of each row."""
     fps = materialize(fingerprints(docs, shingle, seed))
     distinct = fps.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    found = materialize(links(distinct.select("fp", "copies"), radius, max_block))
-    near = found.groupBy("fp").agg(F.sum("n").alias("n"))
-    comp = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")), max_local)
-    whole = distinct.join(comp, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    whole, near = _grouped(distinct, radius, max_block, max_local)
     ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     table = whole.join(ids, "root").join(near, "fp", "left").select("fp", "copies", F.coalesce("n", F.lit(0)).alias("n"), "component_id")
     out = fps.join(table, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), (F.col("n") + F.col("copies") - 1).alias("n_near"), "component_id")
 
 
+def _grouped(distinct: DataFrame, radius: int, max_block: int, max_local: int):
+    """``distinct`` with the root of each fingerprint's component, and each one's neighbours."""
+    found = materialize(links(distinct.select("fp", "copies"), radius, max_block))
+    comp = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")), max_local)
+    whole = distinct.join(comp, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    return whole, found.groupBy("fp").agg(F.sum("n").alias("n"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int = 4, max_block: int = 1 << 14, max_local: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` (a table: scans must agree on row order) that stay: the
+    one with the smallest doc_id of each component, of repeated ids the first row."""
+    row = F.monotonically_increasing_id()
+    marked = docs.withColumn("row__", row)
+    fps = materialize(fingerprints(marked.select(F.col("row__").alias("doc_id"), "text"), shingle, seed).withColumnRenamed("doc_id", "row__"))
+    fps = fps.join(marked.select("row__", F.col("doc_id").cast("long").alias("id__")), "row__")
+    rank = F.struct(F.col("id__").isNull().alias("a"), F.coalesce("id__", F.lit(0)).alias("b"), F.col("row__").alias("c"))
+    distinct = fps.groupBy("fp").agg(F.count("*").alias("copies"), F.min(rank).alias("least"))
+    whole, _ = _grouped(distinct, radius, max_block, max_local)
+    stay = whole.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.c").alias("row__"))
+    return marked.join(stay, "row__", "left_semi").drop("row__")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, shard_of
+from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, schema_of, shard_of
 
 MAX = U64(0xFFFFFFFFFFFFFFFF)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
@@ -358,7 +358,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tup
         return pd.Series(touched.value.has(h.to_numpy().view(np.uint64)))
 
     base = base.withColumn("loses", loses(F.xxhash64("rid", "th")))
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name not in ("rid", "th", "text", "loses")]
 
     def cut(batches):
         for b in batches:
@@ -387,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tup
     columns = [c for c in base.columns if c not in ("rid", "th", "loses")] + ["spans"]
     some = base.filter("loses").join(per_doc.hint("shuffle_hash"), ["rid", "th"], "left").select(*columns)
     none = base.filter("not loses").withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>")).select(*columns)
-    return some.unionByName(none).mapInArrow(cut, ", ".join([*names, "n_bytes long, n_removed long, n_spans long, text binary"]))
+    return some.unionByName(none).mapInArrow(cut, schema_of([f for f in base.schema if f.name not in ("rid", "th", "text", "loses")], "n_bytes long, n_removed long, n_spans long, text binary"))
 
 
 def _members(packed: DataFrame, shards: int, max_bits: int):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweir.llm.bpe import WordEncoder, encoder, in_batches
+from textweir.llm.common import schema_of
 
 CONTEXT = 2
 _CUT = re.compile(r" (?=\S)")
@@ -120,8 +121,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, edits: str = "edits", keep: tup
     code points. One narrow pass: no shuffle, nothing collected.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(edits).alias("edits"), *keep)
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name not in ("doc_id", "text", "edits")]
-    schema = ", ".join(["doc_id long", *names, "n_tokens long, n_edits long, n_tokens_after long, n_chars long, n_reencoded long", *["text string"] * with_text])
+    schema = schema_of([f for f in base.schema if f.name not in ("text", "edits")], "n_tokens long, n_edits long, n_tokens_after long, n_chars long, n_reencoded long" + ", text string" * with_text)
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -158,7 +158,7 @@ REDACTIONS = r"[\w.+-]+@[\w-]+\.[\w.]+|\b[0-9a-f]{32,}\b|\b\d{1,3}(?:\.\d{1,3}){
 def redaction_edits(docs: DataFrame, pattern: str = REDACTIONS, new: str = "[redacted]", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, ``keep`` and the edits that redact it, last match first so that places stay valid."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["edits array<struct<start:int,stop:int,new:string>>"])
+    schema = schema_of(base.schema, "edits array<struct<start:int,stop:int,new:string>>")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("new", pa.string())]))
 
     def find(batches):
