@@ -88,6 +88,13 @@ def _chunks(texts: list[bytes], length: int, size: int = 1 << 18):
             ids, total = [], 0
 
 
+def _all_chunks(column, length: int, rows: int = 512):
+    """Chunks of a column, a few rows at a time, so that few texts are held twice."""
+    for at in range(0, len(column), rows):
+        for ids, *chunk in _chunks(column.slice(at, rows).to_pylist(), length):
+            yield (ids + at, *chunk)
+
+
 class _Leaf:
     __slots__ = ("ids", "text")
 
@@ -246,7 +253,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
     def hashes(batches):
         got = []
         for b in batches:
-            for _, buf, starts, lens in _chunks(b.column(0).to_pylist(), length):
+            for _, buf, starts, lens in _all_chunks(b.column(0), length):
                 got.append(anchors(buf, starts, lens, length, gram)[1])
         yield from emit_hashes(concat(got), bits)
 
@@ -281,7 +288,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
         held, size = [], 0
         for b in batches:
             rid_of, th_of = b.column("rid").to_numpy(), b.column("th").to_numpy()
-            for ids, buf, starts, lens in _chunks(b.column("text").to_pylist(), length):
+            for ids, buf, starts, lens in _all_chunks(b.column("text"), length):
                 at, h = anchors(buf, starts, lens, length, gram)
                 hit = twice.value.has(h)
                 at, h = at[hit], h[hit]
@@ -292,7 +299,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
                 l_len, r_len = np.minimum(pos, reach), np.minimum(lens[doc] - pos, length)
                 held.append((h, rid_of[ids[doc]], th_of[ids[doc]], pos, l_len, r_len, _gather(buf, at - 1, l_len, reach, -1), _gather(buf, at, r_len, length, 1)))
                 size += len(h)
-                if size >= 150_000:
+                if size >= 32_000:
                     yield ship(held)
                     held, size = [], 0
         if held:
