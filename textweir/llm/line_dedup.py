@@ -103,6 +103,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
     drops = rest.join(light, "digest").union(pairs.join(F.broadcast(heavy.select("digest", "last")), "digest")).filter(F.col("rid") < F.col("last"))
     drops = drops.groupBy(F.col("rid").alias("drop_rid")).agg(F.collect_set("digest").alias("drop"))
 
+    schema = schema_of([f for f in base.schema if f.name not in ("text", "rid")], "n_lines long, n_dropped long, text binary")
+
+    def batch(b, lines, dropped, texts):
+        others = [(c, n) for c, n in zip(b.columns, b.schema.names) if n not in ("text", "rid", "drop")]
+        return pa.RecordBatch.from_arrays([*(c for c, _ in others), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary())], [*(n for _, n in others), "n_lines", "n_dropped", "text"])
+
     def clean(batches):
         for b in batches:
             out, lines, dropped = [], [], []
@@ -114,13 +120,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
                 out.append(b"\n".join(left))
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(left))
-            others = [(c, n) for c, n in zip(b.columns, b.schema.names) if n not in ("text", "drop")]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in others), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.binary())], [*(n for _, n in others), "n_lines", "n_dropped", "text"])
+            yield batch(b, lines, dropped, out)
+
+    def untouched(batches):
+        """Texts without a suspect line, as they are."""
+        for b in batches:
+            b = b.filter(pa.array([not x for x in suspects_of(b.column("text"))]))
+            texts = b.column("text").to_pylist()
+            yield batch(b, [t.count(b"\n") + 1 for t in texts], [0] * len(texts), texts)
 
     touched = flagged.filter(F.size("suspects") > 0).drop("suspects").join(drops.hint("shuffle_hash"), F.col("rid") == F.col("drop_rid"), "left").drop("rid", "drop_rid")
-    free = flagged.filter(F.size("suspects") == 0).drop("suspects", "rid").withColumn("drop", F.lit(None).cast("array<binary>"))
-    schema = schema_of([f for f in base.schema if f.name not in ("text", "rid")], "n_lines long, n_dropped long, text binary")
-    return touched.select(free.columns).unionByName(free).mapInArrow(clean, schema).withColumn("text", F.col("text").cast("string"))
+    return touched.mapInArrow(clean, schema).unionByName(base.mapInArrow(untouched, schema)).withColumn("text", F.col("text").cast("string"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
