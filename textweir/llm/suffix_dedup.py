@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, schema_of, shard_of
+from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, schema_of, shard_of, small_batches
 
 MAX = U64(0xFFFFFFFFFFFFFFFF)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
@@ -246,7 +246,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
     """(rid, th, start, stop) spans to remove from rows (rid, th, text)."""
     if gram not in (2, 4, 8, 16, 32) or gram > length:
         raise ValueError("gram must be a power of two up to 32 and at most length")
-    shards = n_shards(base, per_shard=8 << 20)
+    shards = n_shards(base, per_shard=2 << 20)
     bits = shards.bit_length() - 1
     reach = length - gram
 
@@ -299,7 +299,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
                 l_len, r_len = np.minimum(pos, reach), np.minimum(lens[doc] - pos, length)
                 held.append((h, rid_of[ids[doc]], th_of[ids[doc]], pos, l_len, r_len, _gather(buf, at - 1, l_len, reach, -1), _gather(buf, at, r_len, length, 1)))
                 size += len(h)
-                if size >= 32_000:
+                if size >= 24_000:
                     yield ship(held)
                     held, size = [], 0
         if held:
@@ -348,6 +348,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
 
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tuple[str, ...] = (), max_filter_bits: int = 1 << 31) -> DataFrame:
     """doc_id, ``keep``, n_bytes, n_removed, n_spans, text (bytes that are left, binary)."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(text).alias("th"), *keep)
     spans = materialize(repeated_spans(base.select("rid", "th", "text"), length, gram, max_filter_bits))
