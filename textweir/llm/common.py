@@ -77,8 +77,19 @@ def schema_of(fields, ddl: str) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8MB") -> None:
+    """Arrow batches of whole texts are large: bound them by rows and bytes, so that a
+    Python worker holds little. A smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def normalized(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns ``doc_id`` (long), ``text`` (binary, null becomes empty) and ``keep``."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),

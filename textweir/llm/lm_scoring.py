@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import U64, Bits, RepeatFilter, materialize, mix64, n_shards, shard_of
+from textweir.llm.common import U64, Bits, RepeatFilter, materialize, mix64, n_shards, shard_of, small_batches
 
 END, START = U64(xxhash.xxh3_64_intdigest(b"")), U64(xxhash.xxh3_64_intdigest(b"\n"))
 _LEVEL = U64(0xA24BAED4963EE407)
@@ -267,6 +267,7 @@ def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
 
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, weight: float = 0.1, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds) == held
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"), held_out.alias("held_out"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweir.llm.bpe import WordEncoder, encoder, in_batches
-from textweir.llm.common import schema_of
+from textweir.llm.common import schema_of, small_batches
 
 CONTEXT = 2
 _CUT = re.compile(r" (?=\S)")
@@ -120,6 +120,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, edits: str = "edits", keep: tup
     ``edits`` is an array<struct<start:int, stop:int, new:string>> column, in
     code points. One narrow pass: no shuffle, nothing collected.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(edits).alias("edits"), *keep)
     schema = schema_of([f for f in base.schema if f.name not in ("text", "edits")], "n_tokens long, n_edits long, n_tokens_after long, n_chars long, n_reencoded long" + ", text string" * with_text)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweir.llm.bpe import encoder, in_batches
-from textweir.llm.common import shared_dir, size_in_bytes
+from textweir.llm.common import shared_dir, size_in_bytes, small_batches
 
 MAGIC = b"TXWTOK01"
 SAMPLE = 512
@@ -125,6 +125,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     """Write the shards and return their manifest in document order: path, n_docs, n_ids, first."""
     spark = docs.sparkSession
     out = out or shared_dir(spark)
+    small_batches(docs.sparkSession)
     size = size_in_bytes(docs)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, size // per_shard) if size < 1 << 50 else 1)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
