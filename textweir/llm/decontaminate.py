@@ -7,9 +7,9 @@
    The benchmark's own passages are rows too, weighted so that together they
    count as much as the corpus.
 2. Overlapping passages of every text are projected and compared with all items.
-   Score: inner product in the latent space over the norms of all words, so no
-   passage can score above the square root of the share of its weight that lies
-   on benchmark terms; those that cannot reach ``min_cosine`` are not projected.
+   Score: inner product in the latent space over the norms of all words. Each
+   use of a term adds at most its greatest weight in any item, so passages whose
+   terms cannot add up to ``min_cosine`` are not projected (nothing is lost).
 3. Each candidate is checked on the passage with ``window / 2`` words around it:
    the longest common subsequence with the item must cover ``min_lcs`` of it,
    and below ``sure_lcs`` the item's answer (its last quarter, at least three
@@ -27,7 +27,7 @@ Defined results
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +81,7 @@ def _word_batches(texts, vocabulary: dict, limit: int = 1 << 19):
         size += len(t)
         if size >= limit or i == len(texts) - 1:
             lens = np.fromiter(map(len, held), np.int64, len(held))
-            ids = np.fromiter((x for ws in held for x in map(get, ws, repeat(-1))), np.int64, int(lens.sum()))
+            ids = np.fromiter(map(get, chain.from_iterable(held), repeat(-1)), np.int64, int(lens.sum()))
             yield at, held, ids, lens
             at, held, size = i + 1, [], 0
 
@@ -175,12 +175,14 @@ def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_
     weighted = (idf[:, None] * axes).astype(np.float32)
     mass = np.append(idf**2, other**2)  # the last for words outside the benchmark
     latent = np.array([weighted[[vocabulary[w] for w in it.words]].sum(axis=0) / np.sqrt(sum(mass[vocabulary[w]] for w in it.words)) for it in items], np.float32)
-    shared = spark.sparkContext.broadcast((vocabulary, weighted, mass, latent, items))
+    # The most that one use of a term can add to the score of any item: it bounds a passage's score from above.
+    most = np.append(np.maximum(0, (weighted @ latent.T).max(axis=1)), 0)
+    shared = spark.sparkContext.broadcast((vocabulary, weighted, mass, latent, most, items))
     step = window // 2
     id_type = "string" if isinstance(items[0].id, str) else "long"
 
     def search(batches):
-        vocabulary, weighted, mass, latent, items = shared.value
+        vocabulary, weighted, mass, latent, most, items = shared.value
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
             found = []
@@ -195,9 +197,9 @@ def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_
                 z = np.minimum(a + window, first[doc] + lens[doc])
                 weight = mass[ids]
                 all_sum = np.concatenate([[0], np.cumsum(weight)])
-                own_sum = np.concatenate([[0], np.cumsum(np.where(ids >= 0, weight, 0))])
-                whole, own = all_sum[z] - all_sum[a], own_sum[z] - own_sum[a]
-                can = np.flatnonzero(own >= min_cosine**2 * whole * (1 - 1e-9))
+                most_sum = np.concatenate([[0], np.cumsum(most[ids], dtype=np.float64)])
+                whole = all_sum[z] - all_sum[a]
+                can = np.flatnonzero(most_sum[z] - most_sum[a] >= min_cosine * np.sqrt(whole) * (1 - 1e-4))
                 for lo in range(0, len(can), 2048):
                     c = can[lo : lo + 2048]
                     n = z[c] - a[c]
