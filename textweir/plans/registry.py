@@ -1,8 +1,576 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the tables, and DuckDB SQL with the same rows.
+
+SQL works on gram and token strings; the queries work on hashes. Both cast
+integers to bigint and round doubles, so that results can be compared exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textweir.functions import hashing, text
+from textweir.operators import exact, near, scoring, signals, studies
+from textweir.operators.index import build_index, serialise
+from textweir.sources import corpus
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _longs(df):
+    """Integers as bigint."""
+    return df.select(*[F.col(c).cast("long").alias(c) if k in ("int", "smallint", "tinyint") else F.col(c) for c, k in df.dtypes])
+
+
+def _tok(c="text"):
+    return rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}'']+')"
+
+
+TOK = _tok()
+EXACT = rf"""
+WITH RECURSIVE dt AS (SELECT doc_id, source, {TOK} AS t FROM documents),
+it AS (SELECT item_id, {TOK} AS t, text FROM benchmark),
+iw AS (SELECT item_id, unnest(t) AS w, unnest(range(len(t))) AS pos FROM it),
+stop AS (SELECT w AS token, count(*) AS uses, count(DISTINCT item_id) AS items FROM iw GROUP BY w
+  HAVING count(DISTINCT item_id) >= 0.5 * (SELECT count(*) FROM it) AND (SELECT count(*) FROM it) >= 4 ORDER BY uses DESC, min(item_id * 1000000 + pos) LIMIT 200),
+dull AS (SELECT coalesce(list(token), []) AS s FROM stop),
+ig0 AS (SELECT item_id, o AS off, array_to_string(t[o + 1:o + {{n}}], ' ') AS g, len(list_filter(t[o + 1:o + {{n}}], lambda x: NOT list_contains(s, x))) = 0 AS is_dull
+  FROM (SELECT item_id, t, s, unnest(range(0, greatest(len(t) - {{n}} + 1, 0))) AS o FROM it, dull)),
+ig AS (SELECT DISTINCT item_id, g FROM ig0 WHERE NOT is_dull),
+own AS (SELECT g, count(*) AS owners FROM ig GROUP BY g),
+idx AS (SELECT ig.item_id, ig.g FROM ig JOIN own USING (g) WHERE owners <= 3),
+dg AS (SELECT doc_id, o AS off, array_to_string(t[o + 1:o + {{n}}], ' ') AS g FROM (SELECT doc_id, t, unnest(range(0, greatest(len(t) - {{n}} + 1, 0))) AS o FROM dt)),
+hits AS (SELECT doc_id, item_id, off, g FROM dg JOIN idx USING (g)),
+df AS (SELECT g, count(DISTINCT doc_id) AS df FROM hits GROUP BY g),
+h2 AS (SELECT hits.*, df, CASE WHEN off > lag(off) OVER w + {{n}} THEN 1 ELSE 0 END AS gap FROM hits JOIN df USING (g) WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY off)),
+h3 AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, item_id ORDER BY off) AS run FROM h2),
+runs AS (SELECT doc_id, item_id, min(off)::BIGINT AS start, (max(off) + {{n}})::BIGINT AS stop, count(*)::BIGINT AS grams, min(df)::BIGINT AS min_df, min(df) <= 5 AS survives FROM h3 GROUP BY doc_id, item_id, run)
+"""
+
+
+def _exact(n, select):
+    return EXACT.replace("{n}", str(n)) + select
+
+
+# ---- text functions -------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, len({TOK})::BIGINT AS n_tokens, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_words, length(text)::BIGINT AS n_chars, len(list_distinct({TOK}))::BIGINT AS n_types FROM documents")
+def doc_token_counts(spark, d):
+    t = text.signal_tokens("text")
+    return _longs(_t(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), text.word_count("text").alias("n_words"), F.length("text").alias("n_chars"), F.size(F.array_distinct(t)).alias("n_types")))
+
+
+@query(rf"SELECT item_id, len({TOK})::BIGINT AS n_tokens, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))::BIGINT AS n_triage FROM benchmark")
+def item_token_counts(spark, d):
+    return _longs(_t(spark, d, "benchmark").select("item_id", F.size(text.scan_tokens("text")).alias("n_tokens"), F.size(text.triage_tokens("text")).alias("n_triage")))
+
+
+SENT = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 0)"
+
+
+@query(f"SELECT doc_id, len({SENT})::BIGINT AS n_sentences FROM documents")
+def sentence_counts(spark, d):
+    return _longs(_t(spark, d, "documents").select("doc_id", F.size(text.sentences("text")).alias("n_sentences")))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), s AS (SELECT doc_id, array_to_string(t[o:o + 4], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS o FROM t WHERE len(t) > 0))
+SELECT doc_id, count(*)::BIGINT AS n_shingles, count(DISTINCT g)::BIGINT AS n_distinct FROM s GROUP BY doc_id""")
+def shingle_counts(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", text.signal_tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    s = t.select("doc_id", F.explode(text.shingles(F.col("tokens"), 5)).alias("s")).groupBy("doc_id", "s").agg(F.count("*").alias("c"))
+    return s.groupBy("doc_id").agg(F.sum("c").alias("n_shingles"), F.count("*").alias("n_distinct"))
+
+
+FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split({c}, ''), lambda x: unicode(x)::HUGEINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+
+
+@query(rf"WITH w AS (SELECT DISTINCT unnest({TOK}) AS token FROM benchmark) SELECT token, ({FNV.format(c='token')})::BIGINT AS fnv FROM w")
+def token_hashes(spark, d):
+    w = _t(spark, d, "benchmark").select(F.explode(text.scan_tokens("text")).alias("token")).distinct()
+    return w.select("token", hashing.fnv1a(F.col("token")).alias("fnv"))
+
+
+def _lane(base):
+    return f"list_reduce(list_prepend(0::HUGEINT, hs[o:o + 9]), lambda a, h: (a * {base} + h) % 4294967296)"
+
+
+@query(rf"""WITH t AS (SELECT item_id, list_transform({TOK}, lambda tk: {FNV.format(c='tk')}) AS hs FROM benchmark),
+g AS (SELECT item_id, hs, unnest(range(1, len(hs) - 8)) AS o FROM t WHERE len(hs) >= 10)
+SELECT item_id, (o - 1)::BIGINT AS off, ({_lane(16777619)} * 2097152 + {_lane(0x85EBCA6B)} // 2048)::BIGINT AS gram_key FROM g""")
+def gram_keys(spark, d):
+    h = _t(spark, d, "benchmark").select("item_id", F.transform(text.scan_tokens("text"), hashing.fnv1a).alias("h")).filter(F.size("h") >= 10)
+    keys = F.transform(F.sequence(F.lit(1), F.size("h") - 9), lambda i: hashing.gram_key(F.slice("h", i, 10)))
+    return h.select("item_id", F.posexplode(keys).alias("off", "gram_key")).select("item_id", F.col("off").cast("long").alias("off"), "gram_key")
+
+
+@query()
+def seeded_draws(spark, d):
+    """One draw per document, in the order of ids."""
+    return _t(spark, d, "documents").select("doc_id", hashing.mulberry(signals.PAIR_SEED, F.col("doc_id")).alias("draw"))
+
+
+CLASSES = {k: p.replace("'", "''") for k, p in text.PUNCTUATION.items()}
+
+
+@query("SELECT doc_id, " + ", ".join(f"round(len(regexp_extract_all(text, '{p}')) * 1000.0::DOUBLE / greatest(len({TOK}), 1), 6) AS {k}" for k, p in CLASSES.items()) + " FROM documents")
+def punctuation_rates(spark, d):
+    r = text.punctuation_rates("text", F.greatest(F.size(text.signal_tokens("text")), F.lit(1)))
+    return _t(spark, d, "documents").select("doc_id", *[F.round(c.cast("double"), 6).alias(k) for k, c in r.items()])
+
+
+@query(r"""SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]'))::DOUBLE / len(regexp_extract_all(text, '\p{L}')) ELSE 0 END, 6) AS share FROM documents""")
+def unsegmented_share(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.round(text.unsegmented_share("text"), 6).alias("share"))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS squeezed, sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS normal FROM documents")
+def normal_forms(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(text.squeeze("text"), 256).alias("squeezed"), F.sha2(text.normalise("text"), 256).alias("normal"))
+
+
+@query("SELECT sha256(string_agg(line, chr(10) ORDER BY o))[1:32] AS digest FROM (SELECT doc_id AS o, sha256(text) AS line FROM documents WHERE doc_id < 64 OR doc_id % 1000 = 0 UNION ALL SELECT 9000000000000000, 'lines:' || count(*) FROM documents UNION ALL SELECT 9000000000000001, 'bytes:' || sum(strlen(text)) FROM documents)")
+def sampled_corpus_hash(spark, d):
+    """Digest over the first 64 documents' hashes, every 1,000th, and the totals (a sampling feature)."""
+    docs = _t(spark, d, "documents")
+    some = docs.filter("doc_id < 64 or doc_id % 1000 = 0").select(F.col("doc_id").alias("o"), F.sha2("text", 256).alias("line"))
+    totals = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    tail = totals.select(F.explode(F.array(F.struct(F.lit(9000000000000000).alias("o"), F.concat(F.lit("lines:"), "n").alias("line")), F.struct(F.lit(9000000000000001).alias("o"), F.concat(F.lit("bytes:"), "b").alias("line")))).alias("x")).select("x.*")
+    lines = some.union(tail).agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("x"))
+    return lines.select(F.substring(F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), 256), 1, 32).alias("digest"))
+
+
+# ---- sources --------------------------------------------------------------
+
+
+@query()
+def page_text(spark, d):
+    """Visible text of every page (the SQL dialect has no back-references; tests hold it against examples)."""
+    return _t(spark, d, "pages").select("page_id", text.html_text("html").alias("body"))
+
+
+@query()
+def crawl_slice(spark, d):
+    return corpus.crawl_slice(_t(spark, d, "pages"), text.html_text("html"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, path, (NOT regexp_matches(path, '(?i)^/(robots\.txt|sitemap[^/]*|favicon\.ico|feeds?|rss|atom)(/|$)') AND regexp_replace(path, '/+$', '') <> '') AS content FROM p""")
+def content_pages(spark, d):
+    p = _t(spark, d, "pages")
+    return p.select("page_id", F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path"), studies.is_content(F.col("url"), F.lit("200"), F.lit("text/html; charset=utf-8")).alias("content"))
+
+
+@query("""WITH h AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*)::BIGINT AS pages, count(*) FILTER (WHERE page_id % 2 = 0)::BIGINT AS newest FROM pages GROUP BY 1)
+SELECT host, pages, newest, CASE WHEN pages > 1 OR newest > 0 THEN 'screen-urls' ELSE 'skip-platform' END AS domain_outcome, CASE WHEN pages > 1 THEN 'recruit' WHEN newest > 0 THEN 'recruit-with-caveat' ELSE 'do-not-recruit' END AS exact_outcome FROM h""")
+def host_outcomes(spark, d):
+    h = _t(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count("*").alias("pages"), F.count_if(F.col("page_id") % 2 == 0).alias("newest"))
+    more = F.col("pages") - 1
+    return h.select("host", "pages", "newest", studies.outcome(F.lit("domain"), more, F.col("newest")).alias("domain_outcome"), studies.outcome(F.lit("exact"), more, F.col("newest")).alias("exact_outcome"))
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE length(text) > 0 GROUP BY conv_id")
+def conversation_flatten(spark, d):
+    return corpus.flatten_chat(_t(spark, d, "conversations"))
+
+
+@query("SELECT source || '-' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ref_id, doc_id, source FROM documents WHERE source NOT IN ('src0', 'src3')")
+def reference_subset(spark, d):
+    return corpus.reference_subset(_t(spark, d, "documents"), ["src0", "src3"])
+
+
+@query(r"SELECT doc_id, lang, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_words, lang || '-' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS run_id FROM documents WHERE lang IN ('en', 'de') AND len(regexp_extract_all(text, '\S+')) >= 10")
+def category_subset(spark, d):
+    return corpus.category_subset(_t(spark, d, "documents"), ["en", "de"])
+
+
+@query("SELECT 'bench-' || item_id AS id, text, length(text)::BIGINT AS n_chars, sha256(text) AS sha256 FROM benchmark")
+def benchmark_normal(spark, d):
+    return corpus.normalise_benchmark(_t(spark, d, "benchmark"))
+
+
+# ---- index ----------------------------------------------------------------
+
+
+def _index(spark, d, n=10):
+    return build_index(_t(spark, d, "benchmark"), n)
+
+
+@query(_exact(10, "SELECT token, uses::BIGINT AS uses, items::BIGINT AS items FROM stop"))
+def stoplist(spark, d):
+    return _index(spark, d).stop
+
+
+@query(_exact(10, "SELECT item_id, count(*)::BIGINT AS grams FROM idx GROUP BY item_id"))
+def gram_index(spark, d):
+    i = _index(spark, d)
+    return exact.with_item_ids(i.rows.groupBy("item_idx").agg(F.count("*").alias("grams")), i)
+
+
+@query(_exact(10, "SELECT owners::BIGINT AS owners, count(*)::BIGINT AS grams FROM own WHERE owners <= 3 GROUP BY owners"))
+def index_owners(spark, d):
+    return serialise(_index(spark, d)).groupBy(F.size("owners").cast("long").alias("owners")).agg(F.count("*").alias("grams"))
+
+
+@query(_exact(10, """SELECT (SELECT count(*) FROM it)::BIGINT AS item_count, (SELECT count(*) FROM ig0)::BIGINT AS grams_seen, 0::BIGINT AS dropped_stride, (SELECT count(*) FROM ig0 WHERE is_dull)::BIGINT AS dropped_stop,
+(SELECT count(*) FROM ig)::BIGINT AS item_grams, (SELECT count(*) FROM own)::BIGINT AS distinct_grams, (SELECT count(*) FROM own WHERE owners <= 3)::BIGINT AS grams_kept, (SELECT count(*) FROM own WHERE owners > 3)::BIGINT AS dropped_common"""))
+def index_stats(spark, d):
+    return _index(spark, d).stats
+
+
+@query(_exact(13, "SELECT item_id, len(t)::BIGINT AS n_tokens, false AS unsegmented FROM it WHERE item_id NOT IN (SELECT item_id FROM idx)"))
+def uncheckable_items(spark, d):
+    return _index(spark, d, 13).uncheckable()
+
+
+# ---- exact tier -----------------------------------------------------------
+
+
+def _runs(spark, d, n=10):
+    i = _index(spark, d, n)
+    return i, exact.runs(exact.raw_hits(_t(spark, d, "documents"), i), i)
+
+
+@query(_exact(10, "SELECT doc_id, item_id, off::BIGINT AS off FROM hits"))
+def raw_hits(spark, d):
+    i = _index(spark, d)
+    return _longs(exact.with_item_ids(exact.raw_hits(_t(spark, d, "documents"), i), i).select("doc_id", "item_id", "off"))
+
+
+@query(_exact(10, "SELECT df::BIGINT AS df, count(*)::BIGINT AS grams FROM df GROUP BY df"))
+def gram_document_frequency(spark, d):
+    i = _index(spark, d)
+    return exact.document_frequency(exact.raw_hits(_t(spark, d, "documents"), i)).groupBy("df").agg(F.count("*").alias("grams"))
+
+
+RUN_COLUMNS = ["doc_id", "item_id", "start", "stop", "grams", "min_df", "survives"]
+
+
+@query(_exact(10, "SELECT doc_id, item_id, start, stop, grams, min_df, survives FROM runs"))
+def exact_runs(spark, d):
+    i, r = _runs(spark, d)
+    return exact.with_item_ids(r, i).select(*RUN_COLUMNS)
+
+
+@query(_exact(13, "SELECT doc_id, item_id, start, stop, grams, min_df, survives FROM runs"))
+def exact_runs_13(spark, d):
+    i, r = _runs(spark, d, 13)
+    return exact.with_item_ids(r, i).select(*RUN_COLUMNS)
+
+
+SUMMARY = "SELECT count(DISTINCT item_id) FILTER (WHERE survives)::BIGINT AS items_hit, count(*) FILTER (WHERE survives)::BIGINT AS hits, count(*) FILTER (WHERE NOT survives)::BIGINT AS dropped_generic, count(DISTINCT doc_id) FILTER (WHERE survives)::BIGINT AS docs_hit, (SELECT count(*) FROM it)::BIGINT AS items_total FROM runs"
+
+
+@query(_exact(10, SUMMARY))
+def exact_summary(spark, d):
+    i, r = _runs(spark, d)
+    return exact.summary(r, i)
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'documents' AS corpus, {n}::BIGINT AS n, * FROM ({_exact(n, SUMMARY)})" for n in (10, 13)) + ")")
+def registry(spark, d):
+    found = {}
+    for n in (10, 13):
+        i, r = _runs(spark, d, n)
+        found["documents", n] = exact.summary(r, i)
+    return studies.registry(found)
+
+
+@query(_exact(10, "SELECT DISTINCT item_id FROM runs WHERE survives"))
+def contaminated_items(spark, d):
+    i, r = _runs(spark, d)
+    return exact.with_item_ids(r.filter("survives").select("item_idx").distinct(), i)
+
+
+@query()
+def exact_evidence(spark, d):
+    """Matched text and context of surviving runs (tests hold it against slices of the text)."""
+    i, r = _runs(spark, d)
+    return exact.with_item_ids(exact.evidence(r.filter("survives"), _t(spark, d, "documents")), i)
+
+
+def _found(spark, d):
+    i, r = _runs(spark, d)
+    docs = _t(spark, d, "documents").select("doc_id", "source")
+    return exact.with_item_ids(r.filter("survives").select("doc_id", "item_idx"), i).join(docs, "doc_id").select("doc_id", "item_id", "source")
+
+
+@query(_exact(10, "SELECT item_id, count(DISTINCT source)::BIGINT AS sources, count(DISTINCT doc_id)::BIGINT AS docs FROM runs JOIN documents USING (doc_id) WHERE survives GROUP BY item_id HAVING count(DISTINCT source) >= 2"))
+def cross_source_canonical(spark, d):
+    return studies.canonical(_found(spark, d))
+
+
+HALVES = "f AS (SELECT DISTINCT item_id, len(source) < 5 AS a FROM runs JOIN documents USING (doc_id) WHERE survives), a AS (SELECT item_id FROM f WHERE a), b AS (SELECT item_id FROM f WHERE NOT a)"
+
+
+@query(_exact(10, f", {HALVES} SELECT item_id, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT item_id, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT item_id, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"))
+def source_sets(spark, d):
+    f = _found(spark, d)
+    one = F.length("source") < 5
+    return studies.flagged_sets(f.filter(one).select("item_id").distinct(), f.filter(~one).select("item_id").distinct())
+
+
+@query(_exact(10, "SELECT source, count(*)::BIGINT AS runs, count(DISTINCT item_id)::BIGINT AS items FROM (SELECT DISTINCT doc_id, item_id FROM runs WHERE survives) JOIN documents USING (doc_id) GROUP BY source"))
+def source_tally(spark, d):
+    return _found(spark, d).distinct().groupBy("source").agg(F.count("*").alias("runs"), F.count_distinct("item_id").alias("items"))
+
+
+LONGEST = r""", pr AS (SELECT DISTINCT doc_id, item_id FROM runs WHERE survives),
+tt AS (SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS dp FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM pr))),
+ti AS (SELECT item_id, n, unnest(t) AS tok, unnest(range(len(t))) AS ip FROM (SELECT item_id, t, len(t) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark))),
+m AS (SELECT pr.doc_id, pr.item_id, n, dp - ip AS diag, ip - row_number() OVER (PARTITION BY pr.doc_id, pr.item_id, dp - ip ORDER BY ip) AS island FROM pr JOIN ti USING (item_id) JOIN tt ON tt.doc_id = pr.doc_id AND tt.tok = ti.tok),
+lr AS (SELECT doc_id, item_id, max(c)::BIGINT AS run, max(n)::BIGINT AS item_tokens FROM (SELECT doc_id, item_id, diag, island, max(n) AS n, count(*) AS c FROM m GROUP BY ALL) GROUP BY doc_id, item_id)
+"""
+
+
+@query(_exact(10, LONGEST + "SELECT doc_id, item_id, item_tokens, run FROM lr"))
+def longest_runs(spark, d):
+    return studies.longest_runs(_found(spark, d), _t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+@query(_exact(10, LONGEST + """, b AS (SELECT item_id, doc_id, run, item_tokens FROM lr QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY run DESC, doc_id) = 1)
+SELECT item_id, doc_id, run, item_tokens, round(run / item_tokens, 6) AS coverage, run - 10 AS excess, CASE WHEN run / item_tokens >= 0.5 AND run - 10 >= 5 THEN 'leaked' WHEN run / item_tokens >= 0.25 AND run - 10 >= 2 THEN 'partial' ELSE 'phrase' END AS verdict FROM b"""))
+def leak_triage(spark, d):
+    x = studies.triage(studies.longest_runs(_found(spark, d), _t(spark, d, "documents"), _t(spark, d, "benchmark")), 10)
+    return x.withColumn("coverage", F.round("coverage", 6))
+
+
+@query(_exact(10, r""", e AS (SELECT DISTINCT doc_id FROM runs WHERE survives), q AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM e)),
+i AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS y FROM benchmark) SELECT doc_id, item_id FROM q JOIN i ON contains(x, y) WHERE y <> ''"""))
+def train_split_check(spark, d):
+    return studies.contains_items(_found(spark, d), _t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+# ---- near tier and signals ------------------------------------------------
+
+
+@query(_exact(10, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM runs)"))
+def near_gated_docs(spark, d):
+    """Documents the near tier looks at: those without a run that was rare on arrival."""
+    _, r = _runs(spark, d)
+    return _t(spark, d, "documents").join(r.filter("early_rare or truncated").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
+
+
+@query()
+def near_hits(spark, d):
+    _, r = _runs(spark, d)
+    return near.near_tier(_t(spark, d, "documents"), _t(spark, d, "benchmark"), r)
+
+
+def _mul(a, b):
+    return f"(({a}) * {b}) % 4294967296"
+
+
+def _mixed_sql(h):
+    a = f"xor({h}, (i * 2654435761) % 4294967296)"
+    b = _mul(f"xor({a}, ({a}) // 65536)", 0x21F0AAAD)
+    c = _mul(f"xor(b, b // 32768)", 0x735A2D97)
+    return b, c
+
+
+_B, _C = _mixed_sql("h")
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT item_id, {TOK} AS t FROM benchmark),
+s AS (SELECT item_id, array_to_string(t[o:o + 4], ' ') AS g FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS o FROM t WHERE len(t) > 0)),
+f AS (SELECT DISTINCT item_id, ({FNV.format(c='g')}) AS h FROM s),
+b AS (SELECT item_id, i, {_B} AS b FROM f, (SELECT unnest(range(1, 65))::HUGEINT AS i)),
+c AS (SELECT item_id, i, {_C} AS c FROM b)
+SELECT item_id, i::BIGINT AS place, min(xor(c, c // 32768))::BIGINT AS value FROM c GROUP BY item_id, i""")
+def minhash_signatures(spark, d):
+    """Signatures of the items, one row a place (items are short, so every shingle counts)."""
+    s = near.signatures(_t(spark, d, "benchmark"), "item_id")
+    return s.select("item_id", F.posexplode("sig").alias("p", "value")).select("item_id", (F.col("p") + 1).cast("long").alias("place"), "value")
+
+
+@query()
+def near_duplicate_records(spark, d):
+    return near.near_duplicate_records(_t(spark, d, "documents"))
+
+
+def _records(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("author_id"))
+
+
+EDGES = rf"""WITH t AS (SELECT doc_id, {TOK} AS t, text FROM documents),
+e AS (SELECT 'start' AS edge, array_to_string(t[1:4], ' ') AS gram FROM t WHERE len(t) >= 4 UNION ALL SELECT 'end', array_to_string(t[len(t) - 3:len(t)], ' ') FROM t WHERE len(t) >= 4),
+g AS (SELECT edge, gram, count(*) AS uses FROM e GROUP BY ALL), s AS (SELECT *, uses >= greatest(2, ceil(sum(uses) OVER (PARTITION BY edge) * 0.01::DOUBLE)) AS shared FROM g)
+"""
+
+
+@query(EDGES + "SELECT edge, gram, uses::BIGINT AS uses, shared FROM s WHERE uses >= 2")
+def edge_groups(spark, d):
+    r = _records(spark, d)
+    out = None
+    for edge in ("start", "end"):
+        g = signals.edge_groups(r, edge).filter("uses >= 2").select(F.lit(edge).alias("edge"), "gram", "uses", "shared")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query(EDGES + r""", r AS (SELECT edge, coalesce(sum(uses) FILTER (WHERE shared), 0)::DOUBLE / sum(uses) AS rate FROM s GROUP BY edge), o AS (SELECT (SELECT rate FROM r WHERE edge = 'start') AS a, (SELECT rate FROM r WHERE edge = 'end') AS b,
+avg(CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*([-*•]|\d+[.)]|#{1,6}\s|\*\*)'))) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS c, count(*)::BIGINT AS records FROM t)
+SELECT records, round(a, 9) AS opener_rate, round(b, 9) AS closer_rate, round(c, 9) AS scaffold_rate, round(0.5 * a + 0.3 * b + 0.2 * c, 9) AS score FROM o""")
+def template_parts(spark, d):
+    x = signals.template_parts(_records(spark, d))
+    return x.select("records", *[F.round(c, 9).alias(c) for c in ("opener_rate", "closer_rate", "scaffold_rate", "score")])
+
+
+@query(rf"""WITH s AS (SELECT doc_id AS id, len({TOK})::BIGINT AS n_tokens, list_filter(list_transform({SENT}, lambda x: len({_tok('x')})), lambda n: n > 0) AS l FROM documents)
+SELECT id, len(l)::BIGINT AS n_sentences, n_tokens, CASE WHEN len(l) >= 2 THEN round(list_stddev_samp(l) / list_avg(l), 6) END AS burst FROM s""")
+def burstiness(spark, d):
+    return signals.burstiness(_records(spark, d)).withColumn("burst", F.round("burst", 6))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest({TOK}) AS w FROM documents), u AS (SELECT w, count(*) AS c FROM w GROUP BY w), p AS (SELECT doc_id, avg(CASE WHEN c <= 2 THEN 1.0::DOUBLE ELSE 0 END) AS r FROM w JOIN u USING (w) GROUP BY doc_id)
+SELECT sum(c)::BIGINT AS tokens, count(*)::BIGINT AS types, round(count(*)::DOUBLE / sum(c), 9) AS ratio, round((SELECT avg(r) FROM p), 9) AS rare_rate FROM u""")
+def lexical_variety(spark, d):
+    x = signals.variety_parts(_records(spark, d))
+    return x.select("tokens", "types", F.round("ratio", 9).alias("ratio"), F.round("rare_rate", 9).alias("rare_rate"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest({TOK}) AS w, unnest(range(len({TOK}))) AS p FROM documents), n AS (SELECT count(*) AS n FROM documents),
+f AS (SELECT w AS term, count(DISTINCT doc_id) AS df, min(doc_id * 1000000 + p) AS first FROM w GROUP BY w)
+SELECT term, df::BIGINT AS df, round(ln(n / df), 9) AS idf FROM f, n WHERE df >= 3 AND df <= greatest(3, floor(n * 0.6)) ORDER BY df DESC, first LIMIT 4000""")
+def vocabulary(spark, d):
+    """The 4,000 terms of the lexical signal (a top-k by definition)."""
+    t = _records(spark, d).select("id", text.signal_tokens("text").alias("tokens"))
+    return signals.vocabulary(t).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query()
+def lexical_cluster(spark, d):
+    return signals.lexical_cluster(_records(spark, d))[0]
+
+
+FW = ", ".join(f"'{w}'" for w in text.FUNCTION_WORDS)
+
+
+@query(rf"""WITH w AS (SELECT source, unnest({TOK}) AS w FROM documents), n AS (SELECT source, count(*) AS n, count(DISTINCT w)::DOUBLE / count(*) AS ttr FROM w GROUP BY source)
+SELECT source AS author_id, w AS feature, round(count(*) * 1000.0::DOUBLE / max(n), 6) AS value FROM w JOIN n USING (source) WHERE w IN ({FW}) GROUP BY source, w UNION ALL SELECT source, '_ttr', round(ttr, 6) FROM n""")
+def style_features(spark, d):
+    """The non-zero function-word rates and the type-token ratio of each author's style vector."""
+    v = signals.style_vectors(_records(spark, d), "author_id")
+    names = F.array(*[F.lit(w) for w in text.FUNCTION_WORDS])
+    words = F.transform(F.arrays_zip(names.alias("f"), F.slice("vector", 1, len(text.FUNCTION_WORDS)).alias("v")), lambda x: F.struct(x["f"].alias("feature"), x["v"].alias("value")))
+    all_of = F.concat(F.filter(words, lambda x: x["value"] > 0), F.array(F.struct(F.lit("_ttr").alias("feature"), F.element_at("vector", -1).alias("value"))))
+    return v.select("author_id", F.explode(all_of).alias("x")).select("author_id", "x.feature", F.round("x.value", 6).alias("value"))
+
+
+@query()
+def author_distances(spark, d):
+    return signals.author_distances(_records(spark, d))
+
+
+@query("WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT count(*)::BIGINT AS authors, count(*) FILTER (WHERE n >= 30)::BIGINT AS with_enough FROM c")
+def author_stats(spark, d):
+    return scoring.author_stats(_records(spark, d))
+
+
+# ---- baselines ------------------------------------------------------------
+
+SIDES = rf"""WITH t AS (SELECT doc_id, quality, doc_id % 5 AS draw, {TOK} AS t FROM documents JOIN labels USING (doc_id)),
+v AS (SELECT quality, draw, 'types' AS key, avg(len(list_distinct(t))::DOUBLE / len(t)) AS value FROM t WHERE len(t) > 0 GROUP BY ALL UNION ALL SELECT quality, draw, 'length', avg(len(t))::DOUBLE FROM t GROUP BY ALL),
+b AS (SELECT quality, key, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 3)
+"""
+
+
+def _draws(spark, d):
+    """Two signals over five fixed draws of either side."""
+    x = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id").select("quality", (F.col("doc_id") % 5).alias("draw"), text.signal_tokens("text").alias("t"))
+    types = x.filter(F.size("t") > 0).groupBy("quality", "draw").agg(F.avg(F.size(F.array_distinct("t")) / F.size("t")).alias("value")).withColumn("key", F.lit("types"))
+    return types.unionByName(x.groupBy("quality", "draw").agg(F.avg(F.size("t")).alias("value")).withColumn("key", F.lit("length")))
+
+
+@query(SIDES + "SELECT quality::BIGINT AS quality, key, round(mean, 6) AS mean, round(sd, 6) AS sd, n::BIGINT AS n FROM b")
+def class_baseline(spark, d):
+    v = _draws(spark, d)
+    out = None
+    for q in (0, 1):
+        b = scoring.summarise(v.filter(F.col("quality") == q)).select(F.lit(q).cast("long").alias("quality"), "key", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@query(SIDES + rf""", a AS (SELECT 'types' AS key, avg(len(list_distinct(t))::DOUBLE / len(t)) AS value FROM (SELECT {TOK} AS t FROM documents) WHERE len(t) > 0 UNION ALL SELECT 'length', avg(len({TOK}))::DOUBLE FROM documents)
+SELECT key, round(value, 6) AS value, round((value - h.mean) / h.sd, 4) AS z, round(abs(m.mean - h.mean) / h.sd, 4) AS separation, round((value - h.mean) / (m.mean - h.mean), 4) AS likeness,
+  round(least(abs(m.mean - h.mean) / h.sd, 6.0::DOUBLE), 4) AS weight FROM a JOIN b h USING (key) JOIN b m USING (key) WHERE h.quality = 1 AND m.quality = 0""")
+def batch_score(spark, d):
+    """The whole corpus placed between documents of quality 1 and 0."""
+    v = _draws(spark, d)
+    t = _t(spark, d, "documents").select(text.signal_tokens("text").alias("t"))
+    values = t.filter(F.size("t") > 0).agg(F.avg(F.size(F.array_distinct("t")) / F.size("t")).alias("value")).withColumn("key", F.lit("types")).unionByName(t.agg(F.avg(F.size("t")).alias("value")).withColumn("key", F.lit("length")))
+    x = scoring.score_signals(values, scoring.summarise(v.filter("quality = 1")), scoring.summarise(v.filter("quality = 0")), scoring.CHUNK)
+    return x.select("key", F.round("value", 6).alias("value"), *[F.round(c, 4).alias(c) for c in ("z", "separation", "likeness", "weight")])
+
+
+# ---- studies --------------------------------------------------------------
+
+BAD = "|".join(studies.BLOCKLIST)
+USABLE = r"""len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '[.!?"''”’]\s*$') AND len(regexp_extract_all(x, '\S+')) >= 3 AND NOT contains(lower(x), 'javascript')))"""
+
+
+@query(rf"""SELECT doc_id, CASE WHEN contains(text, '{{') THEN 'curly brace' WHEN contains(lower(text), 'lorem ipsum') THEN 'lorem ipsum' WHEN regexp_matches(lower(text), '(^|[^a-z])({BAD})([^a-z]|$)') THEN 'blocklisted word' WHEN {USABLE} < 5 THEN 'too few usable lines' ELSE 'kept' END AS reason,
+{USABLE}::BIGINT AS usable_lines, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents""")
+def cleaning_simulation(spark, d):
+    return studies.cleaning(_t(spark, d, "documents"))
+
+
+def _grams(spark, d):
+    from textweir.operators.index import grams
+
+    return grams(exact.corpus_tokens(_t(spark, d, "documents")), 10, "doc_id")
+
+
+CHECKPOINTS = [100, 200, 500, 1000, 2000, 5000, 10000]
+POINTS = rf"""WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), g AS (SELECT doc_id, array_to_string(t[o:o + 9], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 8, 1))) AS o FROM t)),
+f AS (SELECT g, min(doc_id) AS d FROM g GROUP BY g), n AS (SELECT doc_id AS d, count(*) AS c FROM g GROUP BY doc_id), p AS (SELECT unnest([{", ".join(map(str, CHECKPOINTS))}])::BIGINT AS checkpoint),
+x AS (SELECT checkpoint, (SELECT coalesce(sum(c), 0) FROM n WHERE d < checkpoint)::BIGINT AS total, (SELECT count(*) FROM f WHERE d < checkpoint)::BIGINT AS distinct_grams FROM p)
+"""
+
+
+def _points(spark, d):
+    g = _grams(spark, d)
+    first = g.groupBy("key").agg(F.min("doc_id").alias("doc"))
+    return studies.heaps_points(first, g.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("grams")), CHECKPOINTS)
+
+
+@query(POINTS + "SELECT checkpoint, total, distinct_grams FROM x")
+def heaps_points(spark, d):
+    return _points(spark, d)
+
+
+@query(POINTS + "SELECT round(regr_slope(ln(distinct_grams), ln(total)), 6) AS beta, round(exp(regr_intercept(ln(distinct_grams), ln(total))), 5) AS k FROM x WHERE distinct_grams > 0")
+def heaps_fit(spark, d):
+    return studies.heaps_fit(_points(spark, d)).select(F.round("beta", 6).alias("beta"), F.round("k", 5).alias("k"))
+
+
+@query()
+def winnow_sizes(spark, d):
+    return studies.winnowed(_grams(spark, d))
+
+
+@query(_exact(10, "SELECT doc_id, item_id, start, stop, grams, min_df, survives FROM runs").replace("FROM documents)", "FROM (SELECT doc_id, source, translate(text, '’‘', '''''') AS text FROM documents))", 1))
+def quote_style_runs(spark, d):
+    """Exact runs after typographic apostrophes are made plain."""
+    i = _index(spark, d)
+    r = exact.runs(exact.raw_hits(studies.straight_quotes(_t(spark, d, "documents")), i), i)
+    return exact.with_item_ids(r, i).select(*RUN_COLUMNS)
+
+
+def flagship(spark, d):
+    return exact_runs(spark, d)
