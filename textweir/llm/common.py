@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -169,6 +170,13 @@ def shard_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as an executor's Python workers share its limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def emit_hashes(h: np.ndarray, bits: int):
     """One packed row a hash range: the sorted distinct hashes of this task and
     the ones it met twice already."""
@@ -181,6 +189,7 @@ def emit_hashes(h: np.ndarray, bits: int):
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
         ["shard", "hashes", "twice"],
     )
+    trim()
 
 
 HASH_SCHEMA = "shard int, hashes binary, twice binary"

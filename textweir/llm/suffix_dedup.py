@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, schema_of, shard_of, small_batches
+from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, schema_of, shard_of, small_batches, trim
 
 MAX = U64(0xFFFFFFFFFFFFFFFF)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
@@ -302,6 +302,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
                 if size >= 24_000:
                     yield ship(held)
                     held, size = [], 0
+                    trim()
         if held:
             yield ship(held)
 
@@ -341,6 +342,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
             first = np.flatnonzero(new)
             stop = reach_to[np.concatenate([first[1:], [len(got)]]) - 1]
             got = np.stack([got[first, 0], got[first, 1], got[first, 2], stop], axis=1)
+        trim()
         return pa.table({"rid": got[:, 0], "th": got[:, 1], "start": got[:, 2].astype(np.int32), "stop": got[:, 3].astype(np.int32)})
 
     return base.mapInArrow(contexts, _PACK).groupBy("shard").applyInArrow(solve, SPANS)
@@ -359,13 +361,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tup
     packed = docs_hit.mapInArrow(lambda it: emit_hashes(concat([b.column(0).to_numpy().view(np.uint64) for b in it]), 6), HASH_SCHEMA)
     touched = _members(packed, shards, max_filter_bits // 4)
 
-    @F.pandas_udf("boolean")
-    def loses(h):
-        import pandas as pd
-
-        return pd.Series(touched.value.has(h.to_numpy().view(np.uint64)))
+    def members(batches, want: bool):
+        for b in batches:
+            hit = touched.value.has(b.column("h").to_numpy().view(np.uint64))
+            b = b.filter(pa.array(hit == want))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([c for c, n in zip(b.columns, b.schema.names) if n != "h"], [n for n in b.schema.names if n != "h"])
 
-    base = base.withColumn("loses", loses(F.xxhash64("rid", "th")))
+    schema = schema_of([f for f in base.schema if f.name not in ("rid", "th", "text")], "n_bytes long, n_removed long, n_spans long, text binary")
 
     def cut(batches):
         for b in batches:
@@ -388,13 +391,22 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tup
                 removed.append(gone)
                 runs.append(n)
                 left.append(b"".join(out))
-            others = [(c, n) for c, n in zip(b.columns, b.schema.names) if n not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in others), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(left, pa.binary())], [*(n for _, n in others), "n_bytes", "n_removed", "n_spans", "text"])
-
-    columns = [c for c in base.columns if c not in ("rid", "th", "loses")] + ["spans"]
-    some = base.filter("loses").join(per_doc.hint("shuffle_hash"), ["rid", "th"], "left").select(*columns)
-    none = base.filter("not loses").withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>")).select(*columns)
-    return some.unionByName(none).mapInArrow(cut, schema_of([f for f in base.schema if f.name not in ("rid", "th", "text", "loses")], "n_bytes long, n_removed long, n_spans long, text binary"))
+            yield result(b, size, removed, runs, left)
+
+    def result(b, size, removed, runs, left):
+        others = [(c, n) for c, n in zip(b.columns, b.schema.names) if n not in ("rid", "th", "text", "spans")]
+        return pa.RecordBatch.from_arrays([*(c for c, _ in others), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(left, pa.binary())], [*(n for _, n in others), "n_bytes", "n_removed", "n_spans", "text"])
+
+    def whole(batches):
+        """Texts that lose nothing."""
+        for b in members(batches, False):
+            texts = b.column("text").to_pylist()
+            zeros = [0] * len(texts)
+            yield result(b, [len(t) for t in texts], zeros, zeros, texts)
+
+    probed = base.withColumn("h", F.xxhash64("rid", "th"))
+    some = probed.mapInArrow(lambda it: members(it, True), base.schema).join(per_doc.hint("shuffle_hash"), ["rid", "th"], "left")
+    return some.mapInArrow(cut, schema).unionByName(probed.mapInArrow(whole, schema))
 
 
 def _members(packed: DataFrame, shards: int, max_bits: int):
