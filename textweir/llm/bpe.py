@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from textweir.llm.common import explode_ranges
+from textweir.llm.common import explode_ranges, trim
 
 _HERE: dict = {}
 #: Runs of white space, unprintable characters, and any white space but the space and the line feed.
@@ -50,7 +50,7 @@ class _Codes(dict):
 class WordEncoder:
     """``end_id`` closes each document. ``max_chunks`` bounds the table (about 150 bytes each)."""
 
-    def __init__(self, path: str, end_id: int = 0, max_chunks: int = 1_500_000):
+    def __init__(self, path: str, end_id: int = 0, max_chunks: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,6 +68,7 @@ class WordEncoder:
         self.pending: list[str] = []
         self.next = self.filled = self.used = 0
         self.off, self.cnt, self.val = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.again = np.zeros(1 << 16, bool)  # met in a later batch than the one that brought it
         self.next = 1  # code 0: the end
         self._store([[self.end_id]])
 
@@ -80,6 +81,7 @@ class WordEncoder:
         n = self.filled + len(ids)
         while n > len(self.off):
             self.off, self.cnt = np.resize(self.off, 2 * len(self.off)), np.resize(self.cnt, 2 * len(self.cnt))
+            self.again = np.concatenate([self.again, np.zeros(len(self.again), bool)])
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
         while self.used + total > len(self.val):
@@ -89,6 +91,28 @@ class WordEncoder:
         self.off[self.filled : n], self.cnt[self.filled : n] = ends - lens, lens
         self.filled, self.used = n, self.used + total
 
+    def _shrink(self) -> None:
+        """Keep the chunks met again; if those fill half the table, start anew."""
+        kept = [(chunk, code) for chunk, code in self.table.items() if self.again[code]]
+        off, cnt, val = self.off, self.cnt, self.val
+        self._reset()
+        if 2 * len(kept) < self.max_chunks:
+            codes = np.fromiter((code for _, code in kept), np.int64, len(kept))
+            n = cnt[codes].astype(np.int64)
+            ids = val[explode_ranges(off[codes], n)]
+            for chunk, _ in kept:
+                dict.__setitem__(self.table, chunk, self.next)
+                self.next += 1
+            while 1 + len(kept) > len(self.off):
+                self.off, self.cnt, self.again = np.resize(self.off, 2 * len(self.off)), np.resize(self.cnt, 2 * len(self.cnt)), np.zeros(2 * len(self.again), bool)
+            while self.used + len(ids) > len(self.val):
+                self.val = np.resize(self.val, 2 * len(self.val))
+            self.val[self.used : self.used + len(ids)] = ids
+            ends = self.used + np.cumsum(n)
+            self.off[1 : 1 + len(kept)], self.cnt[1 : 1 + len(kept)] = ends - n, n
+            self.filled, self.used = 1 + len(kept), self.used + len(ids)
+        trim()
+
     def _model(self, s: str) -> list[int]:
         s = s.replace(" ", "\u0120") if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(s)]
@@ -106,7 +130,7 @@ class WordEncoder:
     def codes(self, texts: list[str], end: bool):
         """Chunk codes of all texts, and where each text's codes stop."""
         if self.next > self.max_chunks:
-            self._reset()
+            self._shrink()
         if not texts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.odd).to_numpy(zero_copy_only=False)).tolist()
@@ -119,7 +143,10 @@ class WordEncoder:
         chunks = pc.split_pattern(pa.array([joined], pa.large_string()), " ").values.dictionary_encode()
         keys = chunks.dictionary.to_numpy(zero_copy_only=False)
         at = chunks.indices.to_numpy()
-        seq = np.fromiter(map(self.table.__getitem__, keys), np.int64, len(keys))[at]
+        known = self.filled
+        codes = np.fromiter(map(self.table.__getitem__, keys), np.int64, len(keys))
+        self.again[codes[codes < known]] = True
+        seq = codes[at]
         first = np.flatnonzero(np.fromiter((k[:1] == "\r" for k in keys), bool, len(keys))[at])
         for i in odd:  # the whole text is one chunk, and not kept by name
             seq[first[i]] = self.wait(texts[i])
