@@ -3,10 +3,10 @@
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to
 groups, each group packs its own by best-fit decreasing, and dual-feasible
 functions give a lower bound on the bins it needs. Groups whose count equals
-their bound are certified; the others (and, while the total is over the bound of
-all pieces together, the least filled bin of each certified one) give up the
-documents of their unfilled bins, which are dealt again to fewer groups and
-packed anew. A new packing counts only where it needs fewer bins.
+their bound are certified; the others (and, where those
+hold too few bins for the distance to the bound of all pieces, the certified ones too) give up the
+documents of their unfilled bins, which are dealt again to fewer, larger groups
+(never over ``most_group`` pieces) and packed anew. A new packing counts only where it needs fewer bins.
 
 Defined results
 ---------------
@@ -105,23 +105,21 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int):
     return bins, offsets, np.array(fill, np.int64)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose int"
 
 
-def _pack_groups(pieces: DataFrame, groups: int, capacity: int, give_least: bool, tag: int) -> DataFrame:
-    """Pack each group; loose marks what its group gives up if there is another round."""
+def _pack_groups(pieces: DataFrame, groups: int, capacity: int, tag: int) -> DataFrame:
+    """Pack each group; loose is 0 in full bins, 1 in others of a certified group, 2 in those of one with a gap."""
 
     def pack(t: pa.Table) -> pa.Table:
         lengths = t["length"].to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        loose = fill < capacity
-        if certified:
-            loose = np.arange(len(fill)) == (int(fill.argmin()) if give_least else -1)
+        loose = np.where(fill < capacity, 1 if certified else 2, 0)
         g = int(t["g"][0].as_py())
         ids = ((np.int64(g) << np.int64(24)) + bins) * 16 + tag  # a group has fewer than 2**24 bins
         t = t.drop_columns(["g"])
-        return t.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("loose", pa.array(loose[bins]))
+        return t.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("loose", pa.array(loose[bins], pa.int32()))
 
     dealt = pieces.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(pack, _PACKED)
@@ -132,7 +130,7 @@ def _bins(df: DataFrame) -> int:
     return df.filter("offset = 0").count()
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 1 << 18, max_rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 1 << 18, max_rounds: int = 8, most_group: int = 1 << 22) -> DataFrame:
     """Add sequence_id and offset to pieces (columns of ``PIECES``)."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces.filter(F.col("length") == capacity).select(*cols, (F.monotonically_increasing_id() * 16 + 15).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -143,21 +141,23 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 1 << 18, max_
         counts[k] = n
     left, bound = int(counts.sum()), lower_bound(counts, capacity)
     done, closed, pool = [full], 0, rest
-    before = None  # the pool as it was packed last
+    before, before_bins, last = None, 0, 0  # the pool as it is packed now, and in how many groups
     for step in range(max_rounds):
-        if not left:
+        size = min(most_group, per_group * 4**step)
+        groups = max(1, -(-left // size))
+        if not left or step and groups >= last:
             break
-        groups = max(1, -(-left // per_group))
-        if groups == 1 and step and before_groups == 1:
-            break
-        new = materialize(_pack_groups(pool, groups, capacity, True, step))
+        last = groups
+        new = materialize(_pack_groups(pool, groups, capacity, step))
         n_new = _bins(new)
         if before is not None and n_new >= before_bins:
-            break
-        firm = new.filter(~F.col("loose"))
-        loose = new.filter("loose")
-        before, before_bins, before_groups = loose, _bins(loose), groups
-        done.append(firm.drop("loose"))
+            continue  # the packing there is stays; fewer groups may do better
+        # With gaps alone to blame, only they exchange; else every unfilled bin does.
+        gaps = new.filter("loose = 2")
+        least = 2 if closed + n_new - bound <= _bins(gaps) // 4 else 1
+        loose = new.filter(F.col("loose") >= least)
+        done.append(new.filter(F.col("loose") < least).drop("loose"))
+        before, before_bins = loose, _bins(loose)
         closed += n_new - before_bins
         if closed + before_bins <= bound:
             break
