@@ -242,6 +242,12 @@ def _first_of_equal(key_cols) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _repeats(order, new, rid, th, pos) -> np.ndarray:
+    """Occurrences that are the one before: the same place of a row that is there twice."""
+    a, b = order[1:], order[:-1]
+    return np.concatenate([[False], ~new[1:] & (rid[a] == rid[b]) & (th[a] == th[b]) & (pos[a] == pos[b])])
+
+
 def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filter_bits: int = 1 << 31) -> DataFrame:
     """(rid, th, start, stop) spans to remove from rows (rid, th, text)."""
     if gram not in (2, 4, 8, 16, 32) or gram > length:
@@ -268,7 +274,8 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
         order, new = _first_of_equal([a, b, rid, th, pos])
         rows = body[order]
         same = np.concatenate([[False], (rows[1:] == rows[:-1]).all(axis=1)]) & ~new
-        again, keep = order[same], order[~same]
+        once = ~_repeats(order, new, rid, th, pos)
+        again, keep = order[same & once], order[~same & once]
         covers = again[l_len[again] + r_len[again] >= length]
         keep = keep[np.argsort(shard_of(h[keep], bits), kind="stable")]
         covers = covers[np.argsort(shard_of(h[covers], bits), kind="stable")]
@@ -320,7 +327,8 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
             a, b = _two_hashes(m)
             order, new = _first_of_equal([a, b, rid, th, pos])
             same = np.concatenate([[False], (body[order[1:]] == body[order[:-1]]).all(axis=1)]) & ~new
-            again, keep = order[same], order[~same]
+            once = ~_repeats(order, new, rid, th, pos)
+            again, keep = order[same & once], order[~same & once]
             again = again[l_len[again] + r_len[again] >= length]
             out.append(np.stack([rid[again], th[again], pos[again] - l_len[again], pos[again] + r_len[again]], axis=1))
             # Anchors with two contexts or more are left; order of occurrence.
