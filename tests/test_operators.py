@@ -1,0 +1,233 @@
+import random
+
+import pytest
+
+from textweir import errors
+from textweir.functions import hashing, text
+from textweir.operators import exact, near, scoring, signals, studies
+from textweir.operators.index import build_index
+from textweir.report import benchmark_identity, html_page, scan_report, text_summary
+from textweir.sources import corpus
+from textweir.sources.index_codec import decode_index, encode_index, portable_owners
+
+
+def words(r, n, size=100_000):
+    return " ".join(f"w{r.randrange(size)}" for _ in range(n))
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+
+
+def items(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+
+
+def scan(spark, docs, bench, n=10, **options):
+    i = build_index(items(spark, bench), n)
+    return i, exact.runs(exact.raw_hits(frame(spark, docs), i), i, **options)
+
+
+def test_planted_items_are_found_and_clean_text_is_not(spark):
+    r = random.Random(1)
+    bench = [words(r, 30) for _ in range(10)]
+    docs = [f"{words(r, 25)} {b} {words(r, 25)}" for b in bench] + [words(r, 80) for _ in range(30)]
+    _, runs = scan(spark, docs, bench, 13)
+    got = runs.filter("survives").collect()
+    assert sorted((x.doc_id, x.item_idx, x.start, x.stop) for x in got) == [(i, i, 25, 55) for i in range(10)]
+
+
+def test_common_text_is_dropped(spark):
+    r = random.Random(2)
+    item = words(r, 20)
+    _, runs = scan(spark, [f"{words(r, 5)} {item}" for _ in range(12)], [item])
+    assert runs.filter("survives").count() == 0 and runs.count() == 12
+
+
+def test_rare_tail_keeps_a_run(spark):
+    r = random.Random(3)
+    head, tail = words(r, 40), words(r, 20)
+    docs = [f"{words(r, 3)} {head}" for _ in range(10)] + [f"{words(r, 3)} {head} {tail}"]
+    _, runs = scan(spark, docs, [f"{head} {tail}"])
+    assert [x.doc_id for x in runs.filter("survives").collect()] == [10]
+
+
+def test_truncated_run_survives_in_order_of_arrival(spark):
+    r = random.Random(4)
+    item = words(r, 300)
+    _, runs = scan(spark, [item] * 7, [item])
+    got = {x.doc_id: (x.survives, x.truncated) for x in runs.collect()}
+    assert got[0] == (True, True) and got[6] == (False, False)
+    _, free = scan(spark, [item] * 7, [item], order_free=True)
+    assert free.filter("survives").count() == 0
+
+
+def test_boilerplate_and_stopwords_stay_out_of_the_index(spark):
+    r = random.Random(5)
+    prefix = words(r, 40)
+    i = build_index(items(spark, [f"{prefix} {words(r, 20)}" for _ in range(10)] + [words(r, 30) for _ in range(50)]))
+    assert i.stats.collect()[0].dropped_common == 31
+    filler = " ".join(f"s{k % 15}" for k in range(60))
+    i = build_index(items(spark, [f"{filler} {words(r, 20)}" for _ in range(6)]), max_items=None)
+    assert i.stats.collect()[0].dropped_stop == 6 * 51 and i.stop.count() == 15
+
+
+def test_uncheckable_and_refusals(spark):
+    i = build_index(items(spark, ["短い日本語の文章です。" * 4, "too short", " ".join(f"a{k}" for k in range(20))]))
+    assert {(x.item_id, x.unsegmented) for x in i.uncheckable().collect()} == {(0, True), (1, False)}
+    with pytest.raises(errors.EmptyBenchmarkError):
+        build_index(items(spark, []))
+    with pytest.raises(errors.ThresholdError):
+        build_index(items(spark, ["x"]), n=7)
+
+
+def test_evidence_is_cut_from_the_text(spark):
+    r = random.Random(6)
+    item = "Alpha, beta; gamma delta -- epsilon zeta. Eta theta iota kappa lambda mu!"
+    doc = f"{words(r, 20)}. {item} {words(r, 20)}"
+    i, runs = scan(spark, [doc], [item])
+    e = exact.evidence(runs, frame(spark, [doc])).collect()[0]
+    assert e.matched == item[:-1] and doc.endswith(e.after + " " + " ".join(doc.split()[-8:])) and e.before + e.matched + e.after in doc
+
+
+def test_scan_and_signal_tokenizers(spark):
+    t = "İstanbul ΟΔΟΣ don't 𝔸b 12"
+    row = spark.createDataFrame([(t,)], "t string").select(text.scan_tokens("t").alias("a"), text.signal_tokens("t").alias("b"), text.triage_tokens("t").alias("c")).collect()[0]
+    assert row.a == ["İstanbul", "οδοσ", "don't", "b", "12"] and "𝔸b" in row.b and row.c[-4:-2] == ["don", "t"]
+
+
+def test_page_text(spark):
+    page = "<p>a&amp;b</p><script>var x='<p>';</script><style>p{}</style><!-- no --><div>caf&#233; &#x1F600; &rsquo;</div><b>x</b>"
+    got = spark.createDataFrame([(page,)], "h string").select(text.html_text("h").alias("x")).collect()[0].x
+    assert got == "a&b\n café 😀 ’\n x" or got.split() == ["a&b", "café", "😀", "’", "x"]
+
+
+def test_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(50).select(hashing.mulberry(0x1CE07, F.col("id")).alias("x")).collect()
+    draw = hashing.Mulberry(0x1CE07)
+    assert [r.x for r in rows] == [draw() for _ in range(50)]
+    assert hashing.portable_hash(["ab", "c"]) != hashing.portable_hash(["a", "bc"]) and len(hashing.portable_hash([])) == 32
+
+
+def test_signature_matches_the_expressions(spark):
+    from pyspark.sql import functions as F
+
+    tokens = "one two three four five six seven".split()
+    shingles = [" ".join(tokens[i : i + 5]) for i in range(3)]
+    seeds = spark.range(1, 65).select(F.col("id").alias("s"))
+    h = spark.createDataFrame([(s,) for s in shingles], "s string").select(hashing.fnv1a(F.col("s")).alias("h"))
+    want = [r.v for r in seeds.crossJoin(h).groupBy("s").agg(F.min(hashing.mix(F.col("h"), F.col("s"))).alias("v")).orderBy("s").collect()]
+    assert near.signature(tokens) == want
+
+
+def test_lines_and_records(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_bytes('{"id":"x","text":"one two"}\n\n[1]\n{"response":"r","text":"  "}\nbad\n{"text":5}\n{"id":"x","text":"again"}'.encode())
+    lines = corpus.read_lines(spark, str(p))
+    parsed = corpus.parse_corpus(lines)
+    assert [(r.doc_id, r.text) for r in parsed.filter("skip_reason is null").orderBy("doc_seq").collect()] == [("x", "one two"), ("doc2", "r"), ("x", "again")]
+    a = corpus.accounting(parsed).collect()[0]
+    assert (a.lines, a.accepted, a.unparseable, a.not_an_object, a.no_usable_text) == (6, 3, 1, 1, 1)
+    records, skipped = corpus.load_batch(lines)
+    assert sorted(r.id for r in records.collect()) == ["x", "x#7"] and skipped.count() == 5
+    with pytest.raises(errors.SchemaMismatchError):
+        corpus.load_batch(lines, text_field="nope")
+    with pytest.raises(errors.EmptyCorpusError):
+        corpus.require_documents(parsed.filter("skip_reason is not null"))
+
+
+def test_index_file_round_trip(spark):
+    r = random.Random(7)
+    i = build_index(items(spark, [words(r, 25) for _ in range(5)] + ["same " * 3 + words(r, 12)]))
+    own = portable_owners(i)
+    raw = encode_index({"benchmark": "b", "n": 10}, own)
+    assert decode_index(raw)[1] == own and sum(map(len, own.values())) == i.rows.count() and max(own) < 1 << 53
+    with pytest.raises(errors.IndexTruncatedError):
+        decode_index(raw[:-1])
+    with pytest.raises(errors.IndexUnreadableError):
+        decode_index(b"<html>" + raw)
+    with pytest.raises(errors.IndexVersionError):
+        decode_index(raw[:8] + b"\x09" + raw[9:])
+
+
+def test_report(spark):
+    r = random.Random(8)
+    item = "<b> " + words(r, 20)
+    docs, bench = frame(spark, [f"x {item} y"]), items(spark, [item, "short"])
+    i = build_index(bench)
+    runs = exact.runs(exact.raw_hits(docs, i), i)
+    report = scan_report(i, runs, exact.evidence(runs.filter("survives"), docs), bench)
+    assert report["exact"]["items_hit"] == 1 and len(report["uncheckable"]) == 1
+    assert report["receipt"]["benchmark_hash"] == benchmark_identity(bench)
+    assert "1 of 2 items" in text_summary(report) and "<mark>" in html_page(report)
+
+
+def test_triage_rules(spark):
+    docs = frame(spark, ["a b c d e f g h i j k l", "x y a b c d"])
+    got = {x.item_id: (x.run, x.verdict) for x in studies.triage(studies.longest_runs(spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, item_id long"), docs, items(spark, ["b c d e f g h i z", "a b c d q q q q q q q q q q q q"])), 3).collect()}
+    assert got == {0: (8, "leaked"), 1: (4, "phrase")}
+    with pytest.raises(errors.MissingDocumentError):
+        studies.longest_runs(spark.createDataFrame([(9, 0)], "doc_id long, item_id long"), docs, items(spark, ["a"]))
+
+
+def test_scoring(spark):
+    def base(mean, sd):
+        return spark.createDataFrame([("template", mean, sd, 20), ("length_shape", mean, sd, 20), ("stylometry", mean, sd, 20)], "key string, mean double, sd double, n long")
+
+    values = spark.createDataFrame([("template", 0.0), ("length_shape", 0.1), ("stylometry", None)], "key string, value double")
+    s = scoring.score_signals(values, base(0.0, 0.1), base(1.0, 0.1), 1000)
+    row = scoring.score(s, 1000).collect()[0]
+    assert (row.purity, row.n_used, row.verdict, row.confidence) == (95, 2, "human", "medium")
+    far = scoring.score_signals(values, base(5.0, 0.1), base(6.0, 0.1), 1000)
+    assert {r.skip_reason for r in far.collect()} == {"out of range", "unavailable"} and scoring.score(far, 1000).collect()[0].purity is None
+    with pytest.raises(errors.BatchTooSmallError):
+        scoring.score(s, 5)
+    assert sorted(scoring.shuffled(20, 3)) == list(range(20)) and len(set(scoring.drawn(20, 8, 3))) == 8
+
+
+def test_baseline_and_split(spark):
+    records = spark.createDataFrame([(i, f"some words here {i % 7} and more text. Another one {i}!") for i in range(60)], "id long, text string")
+    a, b = scoring.split_corpus(records)
+    assert a.count() == b.count() == 30 and a.intersect(b).count() == 0
+    got = scoring.build_baseline(records, signals.template, chunk=20, draws=3).collect()
+    assert [r.key for r in got] == ["template"] and got[0].n == 3
+    with pytest.raises(errors.BatchTooSmallError):
+        scoring.build_baseline(records, signals.template, chunk=50)
+
+
+def test_near_duplicate_records(spark):
+    r = random.Random(10)
+    t = words(r, 200)
+    docs = frame(spark, [t, t + " more", words(r, 200), "", None])
+    got = {x.doc_id: x.n_near for x in near.near_duplicate_records(docs).collect()}
+    assert got == {0: 1, 1: 1, 2: 0}
+
+
+def test_near_tier_finds_edited_copies(spark):
+    r = random.Random(12)
+    item = words(r, 60).split()
+    edited = " ".join(w if k % 29 else "zzz" for k, w in enumerate(item))
+    docs, bench = frame(spark, [edited, words(r, 60)]), items(spark, [" ".join(item)])
+    i = build_index(bench)
+    none = exact.runs(exact.raw_hits(docs, i), i).limit(0)
+    assert [x.doc_id for x in near.near_tier(docs, bench, none).collect()] == [0]
+
+
+def test_planted_recall(spark):
+    r = random.Random(11)
+    docs, bench = frame(spark, [words(r, 40) for _ in range(12)]), items(spark, [words(r, 30) for _ in range(15)])
+    assert studies.planted_recall(docs, bench, 10)["recall"] == 1.0
+    assert studies.planted_recall(docs, bench, 10, stride=4)["recall"] == 1.0
+    assert studies.planted_recall(docs, bench, 13, edited=True)["recall"] < 1.0
+    assert studies.bloom_bits(1000, 0.01) == 9586 and studies.detection_probability(5, 1) == 0.0
+    assert text.suggest_flag("--treshold", ["--threshold", "--out"]) == "--threshold"
+
+
+def test_capture_rules(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("https://a.org/x", "200", "text/html", True), ("https://a.org/", "200", "text/html", False), ("https://a.org/robots.txt", "200", "text/html", False), ("https://a.org/x", "301", "text/html", False), ("https://a.org/x", "200", None, False), ("not a url", "200", "text/html", False)]
+    df = spark.createDataFrame(rows, "u string, s string, m string, want boolean").select("want", studies.is_content(F.col("u"), F.col("s"), F.col("m")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
