@@ -100,7 +100,23 @@ def near_tier(docs: DataFrame, items: DataFrame, exact_runs: DataFrame, threshol
     """
     open_runs = exact_runs.filter("early_rare or truncated").select("doc_id").distinct()
     gated = docs.join(open_runs, "doc_id", "left_anti")
-    s = signatures(items, "item_id")
-    if s.count() > most_items:
+    rows = signatures(items, "item_id").limit(most_items + 1).collect()
+    if len(rows) > most_items:
         raise ValueError("split the items into blocks and unite the results")
-    return signatures(gated).crossJoin(F.broadcast(s.withColumnRenamed("sig", "item_sig"))).withColumn("score", estimate(F.col("sig"), F.col("item_sig"))).filter(F.col("score") >= threshold).select("doc_id", "item_id", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], np.array([r.sig for r in rows], np.int64).reshape(-1, HASHES)))
+    item_type = items.schema["item_id"].dataType.simpleString()
+
+    def compare(batches):
+        ids, known = shared.value
+        for b in batches:
+            keys, at, which, scores = b.column("doc_id").to_pylist(), [], [], []
+            for i, sig in enumerate(b.column("sig").to_pylist()):
+                score = (known == np.array(sig)).sum(axis=1) / HASHES
+                for k in np.flatnonzero(score >= threshold).tolist():
+                    at.append(keys[i])
+                    which.append(ids[k])
+                    scores.append(float(score[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(at, b.schema.field("doc_id").type), pa.array(which, pa.string() if item_type == "string" else pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return signatures(gated).mapInArrow(compare, f"doc_id {kind}, item_id {item_type}, score double")
