@@ -338,6 +338,32 @@ def test_decontamination(spark):
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def planted(seed, n_items, sizes, n_docs):
+    """Items that share words, and texts of which every other one holds one of them verbatim."""
+    r = random.Random(seed)
+    words, weights = [f"v{i}" for i in range(3000)], [1 / (i + 3) for i in range(3000)]
+    prose = lambda n: " ".join(r.choices(words, weights, k=n))
+    items = [(i, prose(r.choice(sizes))) for i in range(n_items)]
+    table, want = [], set()
+    for d in range(n_docs):
+        t = prose(r.randint(40, 200))
+        if d % 2:
+            i = d // 2 % n_items
+            t += f" {items[i][1]}. {prose(r.randint(40, 200))}"
+            want.add((d, i))
+        table.append((d, t))
+    return items, table, want
+
+
+def test_decontamination_with_more_items_than_axes(spark):
+    from textweir.llm.decontaminate import find_leaks
+
+    items, table, want = planted(61, 400, range(15, 60), 800)
+    got = find_leaks(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want <= {(x.doc_id, x.item_id) for x in got}
+    assert all(x.lcs >= 0.6 * x.item_words and -1.001 <= x.cosine <= 1.001 for x in got)
+
+
 def test_pipeline(spark, rows, tmp_path):
     """run() against the stages' plain versions, on a table with more columns than documents has."""
     import corpus_pipeline

@@ -6,16 +6,18 @@
    the driver finishes the decomposition from that (single-pass Nystroem form).
    The benchmark's own passages are rows too, weighted so that together they
    count as much as the corpus.
-2. Overlapping passages of every text are projected and compared with all items.
-   Score: inner product in the latent space over the norms of all words. Each
-   use of a term adds at most its greatest weight in any item, so passages whose
-   terms cannot add up to ``min_cosine`` are not projected (nothing is lost).
-3. Each candidate is checked on the passage with ``window / 2`` words around it:
-   the longest common subsequence with the item must cover ``min_lcs`` of it,
-   and below ``sure_lcs`` the item's answer (its last quarter, at least three
-   words) must be there in half too.
-
-Items are compared in blocks of ``item_block``, so any number works.
+2. Overlapping passages of every text are candidates for an item unless their
+   words rule it out: of an item's n words at least ``need`` are matched, so of
+   its ``n - need + k`` rarest ones at least k, each by a word of its own in the
+   text. Passages with fewer are left out, and nothing else is: every pair that
+   step 3 can accept gets there, whatever the number of items and axes.
+3. Each candidate is checked on the passage with half a passage around it: the
+   longest common subsequence with the item must cover ``min_lcs`` of it, and
+   below ``sure_lcs`` the item's answer (its last quarter, at least three words)
+   must be there in half too.
+4. Accepted passages are projected; their latent cosine with the item ranks them.
+
+Items are taken in blocks of ``item_block``, so any number works.
 
 Defined results
 ---------------
@@ -99,23 +101,28 @@ class _Sums:
     def add(self, ids: np.ndarray, block: np.ndarray, n_blocks: int) -> None:
         self.n += n_blocks
         known = ids >= 0
-        key, tf = np.unique(block[known] * len(self.omega) + ids[known], return_counts=True)
-        if not len(key):
+        t, b = ids[known], block[known]
+        if not len(t):
             return
-        b, t = np.divmod(key, len(self.omega))
-        self.df += np.bincount(t, minlength=len(self.omega))
-        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        tf = tf.astype(np.float32)[:, None]
-        y = np.add.reduceat(self.omega[t] * tf, first)
-        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
-        order = np.argsort(t, kind="stable")
-        t = t[order]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        self.sketch[t[first]] += np.add.reduceat(y[row[order]] * tf[order], first)
+        y = np.zeros((n_blocks, self.omega.shape[1]), np.float32)
+        _add_rows(y, b, self.omega, t)
+        order = np.argsort(t.astype(np.uint16) if len(self.omega) <= 1 << 16 else t, kind="stable")
+        t, b = t[order], b[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (b[1:] != b[:-1])])
+        self.df += np.bincount(t[new], minlength=len(self.omega))
+        _add_rows(self.sketch, t, y, b)
+
+
+def _add_rows(out: np.ndarray, to: np.ndarray, table: np.ndarray, rows: np.ndarray, chunk: int = 2048) -> None:
+    """Add ``table[rows]`` to the rows ``to`` (ascending) of ``out``, in pieces that stay in the cache."""
+    for i in range(0, len(to), chunk):
+        k = to[i : i + chunk]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        out[k[first]] += np.add.reduceat(table[rows[i : i + chunk]], first)
 
 
 def fit(docs: DataFrame, items: list[Item], window: int, rank: int, seed: int = 7, extra: int = 10):
-    """Term numbers, inverse document frequencies (and that of other words), and the latent axes (terms x rank)."""
+    """Term numbers, document frequencies, inverse document frequencies and the latent axes (terms x rank)."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for it in items for w in it.words}))}
     terms, width, chunk = len(vocabulary), rank + extra, 1024
     spark = docs.sparkSession
@@ -144,84 +151,103 @@ def fit(docs: DataFrame, items: list[Item], window: int, rank: int, seed: int =
     df = np.concatenate([np.frombuffer(r.df, np.int64) for r in rows]) if rows else np.zeros(terms, np.int64)
     sketch = np.concatenate([np.frombuffer(r.sketch, np.float64) for r in rows]).reshape(terms, width) if rows else np.zeros((terms, width))
     own = _Sums(omega)
-    for it in items:
-        own.add(np.array([vocabulary[w] for w in it.words]), np.zeros(it.n, np.int64), 1)
+    for i in range(0, len(items), 1024):
+        part = items[i : i + 1024]
+        own.add(np.array([vocabulary[w] for it in part for w in it.words]), np.repeat(np.arange(len(part)), [it.n for it in part]), len(part))
     idf = np.log((n + 1) / (df + 1)) + 1
-    other = np.log(n + 1) + 1
     sketch = idf[:, None] * (sketch + own.sketch * max(1, n / len(items)))  # A'A (D^-1 Omega)
     b = (omega / idf[:, None]).T @ sketch
     w, q = np.linalg.eigh((b + b.T) / 2)
     good = w > w[-1] * 1e-7
     u, _, _ = np.linalg.svd((sketch @ q[:, good]) / np.sqrt(w[good]), full_matrices=False)
-    return vocabulary, idf, other, u[:, :rank]
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 48, rank: int = 192, min_cosine: float = 0.25, min_lcs: float = 0.6, sure_lcs: float = 0.8, min_words: int = 8, item_block: int = 20_000) -> DataFrame:
+    return vocabulary, df, idf, u[:, :rank]
+
+
+class _Signatures:
+    """Each item's rarest words as postings, how many of them a passage needs, and its passages' step."""
+
+    def __init__(self, items: list[Item], vocabulary: dict, df: np.ndarray, window: int, least: float):
+        self.k, self.step = np.empty(len(items), np.int64), np.empty(len(items), np.int64)
+        terms, owners = [], []
+        for i, it in enumerate(items):
+            it.need = min(it.n, max(1, int(np.ceil(least * it.n - 1e-9))))
+            self.k[i] = k = max(1, it.need // 4)
+            rare = sorted((int(df[t]), t) for t in map(vocabulary.get, it.words))[: it.n - it.need + k]
+            mine = {t for _, t in rare}
+            terms.extend(mine)
+            owners.extend([i] * len(mine))
+            self.step[i] = window // 2
+        order = np.argsort(np.array(terms), kind="stable")
+        self.items = np.array(owners)[order]
+        self.counts = np.append(np.bincount(terms, minlength=len(vocabulary)), 0)  # the last for words outside the benchmark
+        self.first = np.cumsum(self.counts) - self.counts
+
+    def candidates(self, ids: np.ndarray, lens: np.ndarray):
+        """Text, item and passage number wherever k words of the item's signature lie within the checked words."""
+        gap = int(4 * self.step.max())
+        begin = np.cumsum(lens + gap) - (lens + gap)
+        place = explode_ranges(begin, lens)
+        n = self.counts[ids]
+        size = int((lens + gap).sum())
+        key = np.sort(self.items[explode_ranges(self.first[ids], n)] * size + np.repeat(place, n))
+        item, at = np.divmod(key, size)
+        other = np.arange(len(key)) + self.k[item] - 1
+        last = np.minimum(other, len(key) - 1)
+        ok = np.flatnonzero((other < len(key)) & (item[last] == item) & (at[last] - at < 4 * self.step[item]))
+        item, at, end = item[ok], at[ok], at[last[ok]]
+        doc = np.searchsorted(begin, at, side="right") - 1
+        step, length = self.step[item], lens[doc]
+        most = np.maximum(0, -(-(length - 2 * step) // step))  # a text's last passage
+        lo = np.maximum(0, (end - begin[doc]) // step - 2)
+        hi = np.minimum(most, (at - begin[doc]) // step + 1)
+        n = np.maximum(0, hi - lo + 1)
+        rows = np.stack([np.repeat(doc, n), np.repeat(item, n), explode_ranges(lo, n)], axis=1)
+        return np.unique(rows, axis=0).tolist() if len(rows) else []
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 48, rank: int = 192, min_lcs: float = 0.6, sure_lcs: float = 0.8, min_words: int = 8, item_block: int = 20_000) -> DataFrame:
     """doc_id, item_id, cosine, lcs, item_words, start and stop (word numbers of the checked passage)."""
     spark = docs.sparkSession
     out = None
     base = normalized(docs)
     items = [Item(r.item_id, w) for r in benchmark.select("item_id", "text").collect() if len(w := words_of((r.text or "").encode())) >= min_words]
     for i in range(0, len(items), item_block):
-        got = _find_block(base, items[i : i + item_block], window, rank, min_cosine, min_lcs, sure_lcs)
+        got = _find_block(base, items[i : i + item_block], window, rank, min_lcs, sure_lcs)
         out = got if out is None else out.unionByName(got)
     schema = f"doc_id long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, lcs long, item_words long, start long, stop long"
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_cosine: float, min_lcs: float, sure_lcs: float) -> DataFrame:
+def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_lcs: float, sure_lcs: float) -> DataFrame:
     spark = base.sparkSession
-    vocabulary, idf, other, axes = fit(base, items, window, min(rank, len({w for it in items for w in it.words})))
+    vocabulary, df, idf, axes = fit(base, items, window, min(rank, len({w for it in items for w in it.words})))
     weighted = (idf[:, None] * axes).astype(np.float32)
-    mass = np.append(idf**2, other**2)  # the last for words outside the benchmark
-    latent = np.array([weighted[[vocabulary[w] for w in it.words]].sum(axis=0) / np.sqrt(sum(mass[vocabulary[w]] for w in it.words)) for it in items], np.float32)
-    # The most that one use of a term can add to the score of any item: it bounds a passage's score from above.
-    most = np.append(np.maximum(0, (weighted @ latent.T).max(axis=1)), 0)
-    shared = spark.sparkContext.broadcast((vocabulary, weighted, mass, latent, most, items))
-    step = window // 2
+    signatures = _Signatures(items, vocabulary, df, window, min(min_lcs, sure_lcs))
+    latent = np.array([_unit(weighted, [vocabulary[w] for w in it.words]) for it in items], np.float32)
+    shared = spark.sparkContext.broadcast((vocabulary, weighted, latent, signatures, items))
     id_type = "string" if isinstance(items[0].id, str) else "long"
 
     def search(batches):
-        vocabulary, weighted, mass, latent, most, items = shared.value
+        vocabulary, weighted, latent, signatures, items = shared.value
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
-            found = []
+            best: dict = {}
             for at, words, ids, lens in _word_batches([t.as_py() for t in b.column("text")], vocabulary):
-                count = np.where(lens > 0, np.maximum(1, -(-(lens - window) // step) + 1), 0)
-                if not count.sum():
-                    continue
                 first = np.cumsum(lens) - lens
-                doc = np.repeat(np.arange(len(lens)), count)
-                start = explode_ranges(np.zeros(len(lens), np.int64), count) * step
-                a = first[doc] + start
-                z = np.minimum(a + window, first[doc] + lens[doc])
-                weight = mass[ids]
-                all_sum = np.concatenate([[0], np.cumsum(weight)])
-                most_sum = np.concatenate([[0], np.cumsum(most[ids], dtype=np.float64)])
-                whole = all_sum[z] - all_sum[a]
-                can = np.flatnonzero(most_sum[z] - most_sum[a] >= min_cosine * np.sqrt(whole) * (1 - 1e-4))
-                for lo in range(0, len(can), 2048):
-                    c = can[lo : lo + 2048]
-                    n = z[c] - a[c]
-                    t = ids[explode_ranges(a[c], n)]
-                    w = np.repeat(np.arange(len(c)), n)[t >= 0]
-                    t = t[t >= 0]
-                    edge = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                    lat = np.add.reduceat(weighted[t], edge)
-                    who = w[edge]
-                    cos = (lat @ latent.T) / np.sqrt(whole[c[who]])[:, None]
-                    for r, k in zip(*np.nonzero(cos >= min_cosine)):
-                        p = c[who[r]]
-                        found.append((at + int(doc[p]), int(k), int(start[p]), float(cos[r, k]), words[doc[p]]))
-            best: dict = {}
-            for d, k, s, cos, ws in found:
-                it = items[k]
-                lo, hi = max(0, s - step), min(len(ws), s + window + step)
-                lcs, answer = it.lcs(ws[lo:hi])
-                if lcs >= sure_lcs * it.n or lcs >= min_lcs * it.n and 2 * answer >= min(it.n, it.answer):
-                    row = (lcs, cos, -lo, hi)
-                    if row > best.get((d, k), (0,)):
-                        best[d, k] = row
+                for d, k, q in signatures.candidates(ids, lens):
+                    it, ws, step = items[k], words[d], int(signatures.step[k])
+                    s = q * step
+                    lo, hi = max(0, s - step), min(len(ws), s + 3 * step)
+                    span = ws[lo:hi]
+                    if sum(map(it.masks.__contains__, span)) < it.need:
+                        continue
+                    lcs, answer = it.lcs(span)
+                    if not (lcs >= sure_lcs * it.n or lcs >= min_lcs * it.n and 2 * answer >= min(it.n, it.answer)):
+                        continue
+                    if lcs >= best.get((at + d, k), (0,))[0]:
+                        t = ids[first[d] + s : first[d] + min(len(ws), s + 2 * step)]
+                        row = (lcs, float(_unit(weighted, t[t >= 0]) @ latent[k]), -lo, hi)
+                        best[at + d, k] = max(row, best.get((at + d, k), row))
             rows = [(doc_ids[d], items[k].id, cos, lcs, items[k].n, -lo, hi) for (d, k), (lcs, cos, lo, hi) in best.items()]
             kinds = [pa.int64(), pa.string() if id_type == "string" else pa.int64(), pa.float64(), *[pa.int64()] * 4]
             cols = list(zip(*rows)) if rows else [()] * 7
@@ -230,6 +256,12 @@ def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_
     return base.mapInArrow(search, f"doc_id long, item_id {id_type}, cosine double, lcs long, item_words long, start long, stop long")
 
 
+def _unit(weighted: np.ndarray, terms) -> np.ndarray:
+    """A passage's direction in the latent space."""
+    x = weighted[terms].sum(axis=0)
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs, items)
