@@ -364,6 +364,19 @@ def test_decontamination_with_more_items_than_axes(spark):
     assert all(x.lcs >= 0.6 * x.item_words and -1.001 <= x.cosine <= 1.001 for x in got)
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    from textweir.llm.decontaminate import find_leaks, words_of
+
+    items, table, want = planted(62, 12, (61, 97, 121, 161, 400, 1500), 48)
+    items += [(100, "Zero, one two"), (101, "lone")]
+    table += [(900, "x zero one two y"), (901, "zero one x two"), (902, "two one zero"), (903, "a LONE b"), (904, items[0][1]), (905, "")]
+    want |= {(900, 100), (903, 101), (904, 0)}
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    assert all(x.lcs == x.item_words == len(words_of(dict(items)[x.item_id].encode())) for x in got)
+
+
 def test_pipeline(spark, rows, tmp_path):
     """run() against the stages' plain versions, on a table with more columns than documents has."""
     import corpus_pipeline

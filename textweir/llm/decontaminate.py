@@ -14,14 +14,16 @@
 3. Each candidate is checked on the passage with half a passage around it: the
    longest common subsequence with the item must cover ``min_lcs`` of it, and
    below ``sure_lcs`` the item's answer (its last quarter, at least three words)
-   must be there in half too.
+   must be there in half too. Passages have ``window`` words and double until
+   an item has at most 5/4 of that, so the checked words hold it whole.
 4. Accepted passages are projected; their latent cosine with the item ranks them.
 
 Items are taken in blocks of ``item_block``, so any number works.
 
 Defined results
 ---------------
-* null or empty texts and items match nothing; items need ``min_words`` words.
+* null or empty texts and items match nothing; items of fewer than ``min_words``
+  words match where all their words follow each other in the text.
 * null and repeated document ids: a row a matched item for each row.
 * of several passages, the one with the greatest subsequence, then cosine, then
   the first, is returned. Empty tables: no rows. Extra columns are ignored.
@@ -56,6 +58,10 @@ class Item:
             self.masks[w] = self.masks.get(w, 0) | 1 << i
         self.answer = max(3, self.n // 4)
 
+    def inside(self, words) -> bool:
+        """Whether the item's words follow each other somewhere."""
+        return any(words[i : i + self.n] == self.words for i in range(len(words) - self.n + 1))
+
     def lcs(self, words) -> tuple[int, int]:
         """Longest common subsequence with the item, and with its answer alone (bit-parallel)."""
         whole = v = (1 << self.n) - 1
@@ -166,17 +172,21 @@ def fit(docs: DataFrame, items: list[Item], window: int, rank: int, seed: int =
 class _Signatures:
     """Each item's rarest words as postings, how many of them a passage needs, and its passages' step."""
 
-    def __init__(self, items: list[Item], vocabulary: dict, df: np.ndarray, window: int, least: float):
+    def __init__(self, items: list[Item], vocabulary: dict, df: np.ndarray, window: int, least: float, min_words: int):
         self.k, self.step = np.empty(len(items), np.int64), np.empty(len(items), np.int64)
         terms, owners = [], []
         for i, it in enumerate(items):
-            it.need = min(it.n, max(1, int(np.ceil(least * it.n - 1e-9))))
+            it.short = it.n < min_words
+            it.need = it.n if it.short else min(it.n, max(1, int(np.ceil(least * it.n - 1e-9))))
             self.k[i] = k = max(1, it.need // 4)
             rare = sorted((int(df[t]), t) for t in map(vocabulary.get, it.words))[: it.n - it.need + k]
             mine = {t for _, t in rare}
             terms.extend(mine)
             owners.extend([i] * len(mine))
-            self.step[i] = window // 2
+            wide = window
+            while 4 * it.n > 5 * wide:
+                wide *= 2
+            self.step[i] = wide // 2
         order = np.argsort(np.array(terms), kind="stable")
         self.items = np.array(owners)[order]
         self.counts = np.append(np.bincount(terms, minlength=len(vocabulary)), 0)  # the last for words outside the benchmark
@@ -210,19 +220,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 48, rank: in
     spark = docs.sparkSession
     out = None
     base = normalized(docs)
-    items = [Item(r.item_id, w) for r in benchmark.select("item_id", "text").collect() if len(w := words_of((r.text or "").encode())) >= min_words]
+    items = [Item(r.item_id, w) for r in benchmark.select("item_id", "text").collect() if (w := words_of((r.text or "").encode()))]
     for i in range(0, len(items), item_block):
-        got = _find_block(base, items[i : i + item_block], window, rank, min_lcs, sure_lcs)
+        got = _find_block(base, items[i : i + item_block], window, rank, min_lcs, sure_lcs, min_words)
         out = got if out is None else out.unionByName(got)
     schema = f"doc_id long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, lcs long, item_words long, start long, stop long"
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_lcs: float, sure_lcs: float) -> DataFrame:
+def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_lcs: float, sure_lcs: float, min_words: int) -> DataFrame:
     spark = base.sparkSession
     vocabulary, df, idf, axes = fit(base, items, window, min(rank, len({w for it in items for w in it.words})))
     weighted = (idf[:, None] * axes).astype(np.float32)
-    signatures = _Signatures(items, vocabulary, df, window, min(min_lcs, sure_lcs))
+    signatures = _Signatures(items, vocabulary, df, window, min(min_lcs, sure_lcs), min_words)
     latent = np.array([_unit(weighted, [vocabulary[w] for w in it.words]) for it in items], np.float32)
     shared = spark.sparkContext.broadcast((vocabulary, weighted, latent, signatures, items))
     id_type = "string" if isinstance(items[0].id, str) else "long"
@@ -241,9 +251,14 @@ def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_
                     span = ws[lo:hi]
                     if sum(map(it.masks.__contains__, span)) < it.need:
                         continue
-                    lcs, answer = it.lcs(span)
-                    if not (lcs >= sure_lcs * it.n or lcs >= min_lcs * it.n and 2 * answer >= min(it.n, it.answer)):
-                        continue
+                    if it.short:
+                        if not it.inside(span):
+                            continue
+                        lcs = it.n
+                    else:
+                        lcs, answer = it.lcs(span)
+                        if not (lcs >= sure_lcs * it.n or lcs >= min_lcs * it.n and 2 * answer >= min(it.n, it.answer)):
+                            continue
                     if lcs >= best.get((at + d, k), (0,))[0]:
                         t = ids[first[d] + s : first[d] + min(len(ws), s + 2 * step)]
                         row = (lcs, float(_unit(weighted, t[t >= 0]) @ latent[k]), -lo, hi)
