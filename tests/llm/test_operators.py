@@ -377,6 +377,17 @@ def test_decontamination_of_long_and_short_items(spark):
     assert all(x.lcs == x.item_words == len(words_of(dict(items)[x.item_id].encode())) for x in got)
 
 
+def test_pipeline_removes_every_holder_of_an_item(spark, tmp_path):
+    import corpus_pipeline
+
+    items, table, want = planted(63, 400, (4, *range(15, 60), 300), 800)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    left = {x.doc_id for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert not left & {d for d, _ in want}
+    assert len(left) >= 0.9 * (len(table) - len(want))
+
+
 def test_pipeline(spark, rows, tmp_path):
     """run() against the stages' plain versions, on a table with more columns than documents has."""
     import corpus_pipeline
