@@ -3,11 +3,12 @@
 Training packs hashed n-grams and their counts by hash range (aggregated inside
 each task first, so a frequent word leaves a task once). A reducer sums its
 range and writes a slice of the filter: an n-gram with count c is inserted with
-the levels 1 .. level(c), level growing with log2 of the count. Workers get the
-filter by broadcast and find a count by probing level after level until one is
-missing. N-grams of two words and more are kept from ``min_count`` on; the filter
-never has more than ``max_bits`` bits: a slice that would be larger raises its
-own ``min_count`` until it fits.
+the levels 1 .. level(c), level growing with log2 of the count; a count is found
+by probing level after level until one is missing. N-grams of two words and more
+are kept from ``min_count`` on, all of them: the filter grows with the corpus. Up
+to ``max_bits`` bits workers get it by broadcast. A larger one stays where it is:
+batches of texts send their packed distinct n-grams to the slices of their hash
+ranges, and the levels found come back to the batch.
 
 p(w | v) = weight * c(v w) / c(v) + (1 - weight) * p(w), p(w) = (c(w) + 1) / (N + V + 1)
 
@@ -25,6 +26,8 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -101,7 +104,7 @@ def in_shard(keys: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 _COUNTS = "shard int, kind int, keys binary, counts binary"
-_SLICE = "shard int, total long, distinct long, log2 int, bits binary, top_keys binary, top_counts binary, rest_keys binary, rest_counts binary, cut long"
+_SLICE = "shard int, total long, distinct long, log2 int, bits binary, top_keys binary, top_counts binary, rest_keys binary, rest_counts binary"
 
 
 def _batches(texts, limit: int = 4 << 20):
@@ -117,10 +120,10 @@ def _batches(texts, limit: int = 4 << 20):
 
 
 class Model:
-    """What training gathered: the filter, exact counts of frequent words, and the table of the rest."""
+    """What training gathered: the filter (broadcast if small) and its slices, exact counts of frequent words, and the table of the rest."""
 
-    def __init__(self, total, distinct, counts, top, rest):
-        self.total, self.distinct, self.counts, self.top, self.rest = total, distinct, counts, top, rest
+    def __init__(self, total, distinct, counts, slices, shards, top, rest):
+        self.total, self.distinct, self.counts, self.slices, self.shards, self.top, self.rest = total, distinct, counts, slices, shards, top, rest
 
 
 def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exact: int = 1 << 20, per_key: int = 14) -> Model:
@@ -128,7 +131,6 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
     spark = docs.sparkSession
     shards = n_shards(docs, per_shard=8 << 20)
     bits = shards.bit_length() - 1
-    most = max(9, (max_bits // shards).bit_length() - 1)
 
     def pack(keys, kind):
         u, c = np.unique(keys, return_counts=True)
@@ -163,15 +165,9 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
         pairs, m = total_of(t, 1)
         shard = t["shard"][0].as_py()
         w_level = level_of(n)
-        cut = min_count
-        while True:  # the slice's bound
-            keep = m >= cut
-            items = int(w_level.sum() + level_of(m[keep]).sum())
-            if items * per_key <= 1 << most or not keep.any():
-                break
-            cut += 1
+        keep = m >= min_count
         pairs, p_level = pairs[keep], level_of(m[keep])
-        out = Bits(Bits.log2_for(items, per_key, most=most))
+        out = Bits(Bits.log2_for(int(w_level.sum() + p_level.sum()), per_key))
         for keys, level in ((words, w_level), (pairs, p_level)):
             step = 1
             while len(keys):
@@ -181,13 +177,15 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
         top = np.zeros(len(words), bool)
         most_exact = max(1, max_exact // shards)
         top[np.argpartition(-n, min(most_exact, len(n) - 1))[:most_exact] if len(n) else []] = True
-        row = (shard, int(n.sum()), len(words), out.log2, out.words.tobytes(), words[top].tobytes(), n[top].tobytes(), words[~top].tobytes(), n[~top].tobytes(), cut)
-        return pa.table({c.split()[0]: [v] for c, v in zip(_SLICE.split(", "), row)}, schema=pa.schema([("shard", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("log2", pa.int32()), ("bits", pa.binary()), ("top_keys", pa.binary()), ("top_counts", pa.binary()), ("rest_keys", pa.binary()), ("rest_counts", pa.binary()), ("cut", pa.int64())]))
+        row = (shard, int(n.sum()), len(words), out.log2, out.words.tobytes(), words[top].tobytes(), n[top].tobytes(), words[~top].tobytes(), n[~top].tobytes())
+        return pa.table({c.split()[0]: [v] for c, v in zip(_SLICE.split(", "), row)}, schema=pa.schema([("shard", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("log2", pa.int32()), ("bits", pa.binary()), ("top_keys", pa.binary()), ("top_counts", pa.binary()), ("rest_keys", pa.binary()), ("rest_counts", pa.binary())]))
 
     table = materialize(docs.select("text").mapInArrow(count, _COUNTS).groupBy("shard").applyInArrow(build, _SLICE))
-    rows = table.drop("rest_keys", "rest_counts").collect()
+    rows = table.drop("rest_keys", "rest_counts", "bits").collect()
     total, distinct = sum(r.total for r in rows), sum(r.distinct for r in rows)
-    counts = spark.sparkContext.broadcast(CountFilter(shards, {r.shard: (r.log2, bytes(r.bits)) for r in rows}))
+    slices, counts = table.select("shard", "log2", "bits"), None
+    if sum(1 << r.log2 for r in rows) <= max_bits:
+        counts = spark.sparkContext.broadcast(CountFilter(shards, {r.shard: (r.log2, bytes(r.bits)) for r in slices.collect()}))
     keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.top_keys, np.uint64) for r in rows)])
     c = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r.top_counts, np.int64) for r in rows)])
     order = np.argsort(keys)
@@ -200,62 +198,122 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
                 for i in range(0, len(k), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["word", "c"])
 
-    return Model(total, distinct, counts, top, table.select("rest_keys", "rest_counts").mapInArrow(rest, "word long, c long"))
+    return Model(total, distinct, counts, slices, shards, top, table.select("rest_keys", "rest_counts").mapInArrow(rest, "word long, c long"))
 
 
 def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
     """doc_id, th, n_tokens, n_known, base_score, score of each distinct row of ``docs`` (doc_id, th, text), and its copies."""
     total, distinct = model.total, model.distinct
     denominator = total + distinct + 1
-    counts, top = model.counts, model.top
+    counts, top, bits = model.counts, model.top, model.shards.bit_length() - 1
 
-    def run(batches):
+    def measure(ids, ths, texts, look_up):
+        """Results of some texts; ``look_up`` takes the words and pairs and gives the function from keys to levels."""
         keys, exact = top.value
-        f = counts.value
+        n_rows = len(texts)
+        parts = [token_hashes(t) for t in texts]
+        h = np.concatenate(parts)
+        lens = np.fromiter(map(len, parts), np.int64, n_rows)
+        first = np.cumsum(lens) - lens
+        doc = np.repeat(np.arange(n_rows), lens)
+        u, inv = np.unique(h, return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+        known = keys[place] == u if len(keys) else np.zeros(len(u), bool)
+        c = np.where(known, exact[place], 0) if len(keys) else np.zeros(len(u), np.int64)
+        part = np.where(known, np.log10((c + 1) / denominator), 0.0)
+        base = np.bincount(doc, part[inv], n_rows)
+        n_known = np.bincount(doc, known[inv], n_rows).astype(np.int64)
+        # The model: probes for words, then for pairs.
+        pair, before = pair_keys(h, first)
+        v, inv2 = np.unique(pair, return_inverse=True)
+        levels = look_up(u, v)
+        c1 = count_of(levels(u))
+        c2 = count_of(levels(v))[inv2]
+        start = count_of(levels(np.array([END])))[0]  # as many starts as ends
+        c_before = np.empty(len(h))
+        c_before[1:] = c1[inv[:-1]]
+        c_before[first] = start
+        single = (c1[inv] + 1) / denominator
+        seen = np.where(c2 > 0, c2 / np.maximum(np.maximum(c_before, c2), 1), 0.0)
+        logs = np.bincount(doc, np.log10(weight * seen + (1 - weight) * single), n_rows)
+        rare = np.flatnonzero(~known[inv])
+        order = np.lexsort((h[rare], doc[rare]))
+        r_doc, r_word = doc[rare][order], h[rare][order]
+        new = np.flatnonzero(np.concatenate([[True], (r_doc[1:] != r_doc[:-1]) | (r_word[1:] != r_word[:-1])])) if len(rare) else np.empty(0, np.int64)
+        tf = np.diff(np.append(new, len(r_doc)))
+        r_doc, r_word = r_doc[new], r_word[new].view(np.int64)
+        edge = np.searchsorted(r_doc, np.arange(n_rows + 1))
+        kind = pa.ListArray.from_arrays
+        return pa.RecordBatch.from_arrays(
+            [ids, ths, pa.array(lens), pa.array(n_known), pa.array(base), pa.array(logs), kind(pa.array(edge, pa.int32()), pa.array(r_word)), kind(pa.array(edge, pa.int32()), pa.array(tf))],
+            ["doc_id", "th", "n_tokens", "n_known", "base_score", "score", "words", "tfs"],
+        )
+
+    def run(batches):
         for b in batches:
-            ids, ths = b.column("doc_id"), b.column("th")
             at = 0
             for texts in _batches(t.as_py() for t in b.column("text")):
-                n_rows = len(texts)
-                parts = [token_hashes(t) for t in texts]
+                yield measure(b.column("doc_id").slice(at, len(texts)), b.column("th").slice(at, len(texts)), texts, lambda u, v: counts.value.levels)
+                at += len(texts)
+
+    def asked(u, v):
+        """All keys of a batch, in order, and where each hash range begins."""
+        keys = np.unique(np.concatenate([u, v]))  # the end token is among the words
+        return keys, np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
+
+    def hold(batches):
+        for b in batches:
+            at = 0
+            for texts in _batches(t.as_py() for t in b.column("text")):
+                whole, n = b"".join(texts), len(texts)
+                cols = [[uuid.uuid4().hex], [b.column("doc_id").slice(at, n).to_pylist()], [b.column("th").slice(at, n).to_pylist()], [[len(t) for t in texts]], [len(whole)], [pa.compress(whole, "zstd", asbytes=True)]]
+                kinds = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["batch", "ids", "ths", "lens", "size", "texts"])
+                at += n
+
+    def unpack(lens, size, data):
+        whole = pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+        ends = np.cumsum(lens)
+        return [whole[z - n : z] for z, n in zip(ends.tolist(), lens)]
+
+    def ask(batches):
+        for b in batches:
+            for batch, lens, size, data in zip(*(b.column(c).to_pylist() for c in ("batch", "lens", "size", "texts"))):
+                parts = [token_hashes(t) for t in unpack(lens, size, data)]
                 h = np.concatenate(parts)
-                lens = np.fromiter(map(len, parts), np.int64, n_rows)
-                first = np.cumsum(lens) - lens
-                doc = np.repeat(np.arange(n_rows), lens)
-                u, inv = np.unique(h, return_inverse=True)
-                place = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-                known = keys[place] == u if len(keys) else np.zeros(len(u), bool)
-                c = np.where(known, exact[place], 0) if len(keys) else np.zeros(len(u), np.int64)
-                part = np.where(known, np.log10((c + 1) / denominator), 0.0)
-                base = np.bincount(doc, part[inv], n_rows)
-                n_known = np.bincount(doc, known[inv], n_rows).astype(np.int64)
-                # The model: probes for words, then for pairs.
-                c1 = count_of(f.levels(u))
-                pair, before = pair_keys(h, first)
-                v, inv2 = np.unique(pair, return_inverse=True)
-                c2 = count_of(f.levels(v))[inv2]
-                start = count_of(f.levels(np.array([END])))[0]  # as many starts as ends
-                c_before = np.empty(len(h))
-                c_before[1:] = c1[inv[:-1]]
-                c_before[first] = start
-                single = (c1[inv] + 1) / denominator
-                seen = np.where(c2 > 0, c2 / np.maximum(np.maximum(c_before, c2), 1), 0.0)
-                logs = np.bincount(doc, np.log10(weight * seen + (1 - weight) * single), n_rows)
-                rare = np.flatnonzero(~known[inv])
-                order = np.lexsort((h[rare], doc[rare]))
-                r_doc, r_word = doc[rare][order], h[rare][order]
-                new = np.flatnonzero(np.concatenate([[True], (r_doc[1:] != r_doc[:-1]) | (r_word[1:] != r_word[:-1])])) if len(rare) else np.empty(0, np.int64)
-                tf = np.diff(np.append(new, len(r_doc)))
-                r_doc, r_word = r_doc[new], r_word[new].view(np.int64)
-                edge = np.searchsorted(r_doc, np.arange(n_rows + 1))
-                kind = pa.ListArray.from_arrays
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, n_rows), ths.slice(at, n_rows), pa.array(lens), pa.array(n_known), pa.array(base), pa.array(logs), kind(pa.array(edge, pa.int32()), pa.array(r_word)), kind(pa.array(edge, pa.int32()), pa.array(tf))],
-                    ["doc_id", "th", "n_tokens", "n_known", "base_score", "score", "words", "tfs"],
-                )
-                at += n_rows
-
-    scored = materialize(docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_tokens long, n_known long, base_score double, score double, words array<long>, tfs array<long>"))
+                keys, cut = asked(h, pair_keys(h, np.cumsum([0, *map(len, parts[:-1])]))[0])
+                some = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some)), pa.array(some, pa.int32()), pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())], ["batch", "shard", "keys"])
+
+    def answer(asks: pa.Table, part: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_py(), np.uint64) for k in asks["keys"]]
+        found = [np.zeros(len(k), np.uint8) for k in keys]
+        if keys and part.num_rows:
+            f = CountFilter(1 << bits, {part["shard"][0].as_py(): (part["log2"][0].as_py(), part["bits"][0].as_py())})
+            found = np.split(f.levels(np.concatenate(keys)).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"batch": asks["batch"], "shard": asks["shard"], "levels": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = held.to_pylist()
+
+        def look_up(u, v):
+            keys, cut = asked(u, v)
+            level = np.zeros(len(keys), np.int64)
+            for k, x in zip(answers["shard"].to_pylist(), answers["levels"].to_pylist()):
+                level[cut[k] : cut[k + 1]] = np.frombuffer(x, np.uint8)
+            return lambda some: level[np.searchsorted(keys, some)]
+
+        return pa.Table.from_batches([measure(pa.array(row["ids"], pa.int64()), pa.array(row["ths"], pa.int64()), unpack(row["lens"], row["size"], row["texts"]), look_up)])
+
+    schema = "doc_id long, th long, n_tokens long, n_known long, base_score double, score double, words array<long>, tfs array<long>"
+    texts = docs.select("doc_id", "th", "text")
+    if counts is not None:
+        scored = materialize(texts.mapInArrow(run, schema))
+    else:
+        held = materialize(texts.mapInArrow(hold, "batch string, ids array<long>, ths array<long>, lens array<long>, size long, texts binary"))
+        asks = held.select("batch", "lens", "size", "texts").mapInArrow(ask, "batch string, shard int, keys binary")
+        answers = asks.groupBy("shard").cogroup(model.slices.groupBy("shard")).applyInArrow(answer, "batch string, shard int, levels binary")
+        scored = materialize(held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema))
     rare = scored.select("doc_id", "th", F.explode(F.arrays_zip("words", "tfs")).alias("x")).select("doc_id", "th", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
     met = rare.join(model.rest, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(denominator)))
