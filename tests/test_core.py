@@ -62,6 +62,114 @@ def test_truncated_run_survives_in_order_of_arrival(spark):
     assert free.filter("survives").count() == 0
 
 
+def test_one_changed_word_splits_a_run(spark):
+    """Runs end where no gram matches: a copy with one word changed is two runs, and text between isn't shown as matched."""
+    r = random.Random(14)
+    item = words(r, 40).split()
+    doc = [*item[:20], "changed", *item[21:]]
+    _, runs = scan(spark, [" ".join(doc)], [" ".join(item)])
+    assert sorted((x.start, x.stop, x.grams) for x in runs.collect()) == [(0, 20, 11), (21, 40, 10)]
+    # A rare half doesn't rescue a common one.
+    half = " ".join(item[:20])
+    docs = [f"{half} q{i}" for i in range(8)] + [" ".join(doc)]
+    _, runs = scan(spark, docs, [" ".join(item)])
+    last = {x.start: x for x in runs.filter("doc_id = 8").collect()}
+    assert not last[0].survives and last[21].survives
+    assert {x.condemned_by for x in exact.dropped(runs).collect()} == {9}
+
+
+def test_runs_follow_the_stride(spark):
+    r = random.Random(15)
+    item = words(r, 60)
+    i = build_index(items(spark, [item]), 10, stride=4)
+    got = exact.runs(exact.raw_hits(frame(spark, [f"{words(r, 7)} {item}"]), i), i, 4).collect()
+    assert [(x.start, x.stop, x.grams) for x in got] == [(7, 65, 13)]
+
+
+def sequential(docs, bench, n, max_df=5):
+    """The exact tier as one pass over documents in order, from its definition."""
+    import regex
+
+    def tok(t):
+        return regex.findall(r"[\p{L}\p{N}']+", t.lower())
+
+    own = {}
+    for k, b in enumerate(bench):
+        t = tok(b)
+        for o in range(len(t) - n + 1):
+            own.setdefault(tuple(t[o : o + n]), set()).add(k)
+    own = {g: o for g, o in own.items() if len(o) <= 3}
+    df, out = {}, []
+    for d, text in enumerate(docs):
+        t = tok(text)
+        hits = sorted((k, o, g) for o in range(len(t) - n + 1) if (g := tuple(t[o : o + n])) in own for k in own[g])
+        for g in {g for _, _, g in hits}:
+            df[g] = df.get(g, 0) + 1
+        now, last = dict(df), None
+        for k, o, g in hits:
+            if not last or last["k"] != k or o > last["end"] + 1:
+                last = {"d": d, "k": k, "start": o, "kept": set(), "cut": False}
+                out.append(last)
+            last["end"] = o
+            if now[g] <= max_df:
+                if len(last["kept"]) >= 256:
+                    last["cut"] = True
+                else:
+                    last["kept"].add(g)
+    return sorted((x["d"], x["k"], x["start"], x["end"] + n, x["cut"] or min((df[g] for g in x["kept"]), default=99) <= max_df) for x in out)
+
+
+def test_exact_tier_against_one_sequential_pass(spark):
+    r = random.Random(16)
+    bench = [words(r, r.randint(8, 40)) for _ in range(12)] + [words(r, 400)]
+    bench.append(bench[0] + " " + words(r, 20))
+    docs = []
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            t = r.choice(bench).split()
+            a = r.randrange(len(t))
+            t = t[a : a + r.randint(5, 300)]
+            if t and r.random() < 0.3:
+                t[r.randrange(len(t))] = "odd"
+            parts += [" ".join(t), words(r, r.randint(0, 3))]
+        docs.append(r.choice([" ", "\n", " -- "]).join(parts).upper() if r.random() < 0.3 else " ".join(parts))
+    _, runs = scan(spark, docs, bench)
+    got = sorted((x.doc_id, x.item_idx, x.start, x.stop, x.survives) for x in runs.collect())
+    assert got == sequential(docs, bench, 10) and {x[4] for x in got} == {True, False}
+
+
+def test_vectorised_tokens_are_the_scan_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from textweir.functions import rolling
+
+    odd = ["İstanbul ΟΔΟΣ don't 𝔸b 12", "", "ａＢ x\ny 'q' ½ ٣ 日本語。テスト", "a" * 70_000 + " b", "ǅ ẞ Ⅷ", "\x00 a\tb"] + ["plain ascii text here"] * 3
+    want = [x.t for x in frame(spark, odd).orderBy("doc_id").select(text.scan_tokens("text").alias("t")).collect()]
+    hashes, counts = rolling.token_hashes(odd)
+    assert counts.tolist() == [len(t) for t in want]
+    flat = [w for t in want for w in t]
+    assert len(set(flat)) == len(set(hashes.tolist())) == len(set(zip(flat, hashes.tolist())))
+    t, off, keys = rolling.gram_keys(hashes, counts, 3)
+    grams = [(i, o, tuple(w[o : o + 3])) for i, w in enumerate(want) for o in range(len(w) - 2)]
+    assert [(i, o) for i, o, _ in grams] == list(zip(t.tolist(), off.tolist()))
+    assert len({g for _, _, g in grams}) == len(set(keys.tolist())) == len(set(zip((g for _, _, g in grams), keys.tolist())))
+
+
+def test_an_index_too_large_to_broadcast(spark, monkeypatch):
+    from textweir.operators import index
+
+    r = random.Random(17)
+    bench = [words(r, 30) for _ in range(5)]
+    docs = [f"{words(r, 25)} {b} {words(r, 25)}" for b in bench]
+    _, want = scan(spark, docs, bench)
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(index, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", 1)
+    _, got = scan(spark, docs, bench)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 5
+
+
 def test_boilerplate_and_stopwords_stay_out_of_the_index(spark):
     r = random.Random(5)
     prefix = words(r, 40)
@@ -119,7 +227,8 @@ def test_signature_matches_the_expressions(spark):
     seeds = spark.range(1, 65).select(F.col("id").alias("s"))
     h = spark.createDataFrame([(s,) for s in shingles], "s string").select(hashing.fnv1a(F.col("s")).alias("h"))
     want = [r.v for r in seeds.crossJoin(h).groupBy("s").agg(F.min(hashing.mix(F.col("h"), F.col("s"))).alias("v")).orderBy("s").collect()]
-    assert near.signature(tokens) == want
+    assert near.signature("One two, three four -- five SIX seven!") == want
+    assert near.signature(" .") is None
 
 
 def test_lines_and_records(spark, tmp_path):
@@ -212,7 +321,33 @@ def test_near_tier_finds_edited_copies(spark):
     docs, bench = frame(spark, [edited, words(r, 60)]), items(spark, [" ".join(item)])
     i = build_index(bench)
     none = exact.runs(exact.raw_hits(docs, i), i).limit(0)
-    assert [x.doc_id for x in near.near_tier(docs, bench, none).collect()] == [0]
+    got = near.near_tier(docs, bench, none).collect()
+    assert [x.doc_id for x in got] == [0] and got[0].sample == edited[:240] and near.near_tier(docs, bench.limit(0), none).count() == 0
+    found = spark.createDataFrame([(0, True, False)], "doc_id long, early_rare boolean, truncated boolean")
+    assert near.near_tier(docs, bench, found).count() == 0
+
+
+def test_near_tier_misses_no_pair(spark):
+    """Against a comparison of all signatures, in blocks and in one."""
+    r = random.Random(13)
+    bench = [words(r, r.randint(3, 80)) for _ in range(30)] + ["", "..."]
+    docs = []
+    for _ in range(60):
+        t = r.choice(bench).split()
+        docs.append(" ".join(w if r.random() > 0.04 else "zzz" for w in t) + r.choice(["", " tail words"]))
+    sig = lambda t: near.signature(t)
+    want = set()
+    for d, t in enumerate(docs):
+        for k, b in enumerate(bench):
+            if sig(t) and sig(b):
+                s = sum(x == y for x, y in zip(sig(t), sig(b))) / 64
+                if s >= 0.55:
+                    want.add((d, k, s))
+    df, it = frame(spark, docs), items(spark, bench)
+    none = spark.createDataFrame([], "doc_id long, early_rare boolean, truncated boolean")
+    for block in (100_000, 7):
+        assert {(x.doc_id, x.item_id, x.score) for x in near.near_tier(df, it, none, item_block=block).collect()} == want
+    assert len(want) > 20
 
 
 def test_planted_recall(spark):

@@ -1,31 +1,43 @@
 """Exact tier: verbatim overlaps, merged to runs and judged by document frequency.
 
-Shuffles: gram hits by key (to count documents), then by (document, item). Only
-hits are shuffled; the corpus itself is read once, tokenised and joined to the
-broadcast index in one narrow stage.
+The corpus is read once: an Arrow function tokenises it and probes the broadcast
+index, and the hits, which are few, are written. Everything after works on hits.
+No gram is a hot key: frequencies are partial counts, and of a gram's documents
+only the first ``max_df`` matter, which a group limit keeps on the map side.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textweir.functions.text import scan_tokens
-from textweir.operators.index import Index, grams
+from textweir.functions import rolling
+from textweir.operators.index import BROADCAST_ROWS, Index, grams
+from textweir.storage import materialize, small_batches
 
 MAX_DOC_FREQUENCY = 5
 KEYS_PER_RUN = 256
 CONTEXT = 12
 
 
-def corpus_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id (also the document's place in the corpus) and tokens."""
-    return docs.select("doc_id", scan_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+def raw_hits(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, item_idx, off, key of every corpus gram in the index; ``doc_id`` is also the document's place."""
+    shared, n = index.broadcast(), index.n
+    if shared is None:
+        return grams(docs, n).join(index.rows, "key").select("doc_id", "item_idx", "off", "key")
+    small_batches(docs.sparkSession)
 
+    def run(batches):
+        for b in batches:
+            for at, texts in rolling.chunks(b.column(1)):
+                text, off, keys = rolling.gram_keys(*rolling.token_hashes(texts), n)
+                place, owner = shared.value.probe(keys)
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[place] + at)), pa.array(owner), pa.array(off[place].astype("int32")), pa.array(keys[place])], ["doc_id", "item_idx", "off", "key"])
 
-def raw_hits(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, off, key, item_idx of every corpus gram in the index."""
-    return grams(corpus_tokens(docs), index.n, "doc_id").join(index.for_join(), "key").select("doc_id", "item_idx", "off", "key")
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("item_idx int, off int, key long").fields]))
 
 
 def document_frequency(hits: DataFrame) -> DataFrame:
@@ -33,26 +45,31 @@ def document_frequency(hits: DataFrame) -> DataFrame:
     return hits.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("df"))
 
 
+def frequencies(hits: DataFrame, max_df: int) -> DataFrame:
+    """key, df, and the last document at whose arrival the key was still rare (documents arrive in the order of doc_id)."""
+    pairs = hits.select("key", "doc_id").distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    first = pairs.withColumn("place", place).filter(F.col("place") <= max_df).groupBy("key").agg(F.max("doc_id").alias("last_rare"))
+    return document_frequency(hits).join(first, "key")
+
+
 def runs(hits: DataFrame, index: Index, stride: int = 1, max_df: int = MAX_DOC_FREQUENCY, order_free: bool = False) -> DataFrame:
     """One row per maximal run: doc_id, item_idx, start, stop (tokens), grams, min_df, truncated, early_rare, survives.
 
-    A run lives if some retained gram occurs in at most ``max_df`` documents, or if
-    it had more than ``KEYS_PER_RUN`` distinct grams that were still rare when the
-    document arrived (documents arrive in the order of doc_id). ``order_free``
-    judges by final frequencies alone.
+    A run goes on while the next gram starts at most ``stride`` tokens later. It
+    lives if some retained gram occurs in at most ``max_df`` documents, or if it
+    had more than ``KEYS_PER_RUN`` distinct grams that were still rare when the
+    document arrived. ``order_free`` judges by final frequencies alone.
     """
-    pairs = hits.select("key", "doc_id").distinct()
-    arrival = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-    final = F.count("*").over(Window.partitionBy("key"))
-    seen = pairs.select("key", "doc_id", arrival.alias("df_then"), final.alias("df"))
-    h = hits.join(seen, ["key", "doc_id"])
+    hits = materialize(hits)
+    seen = frequencies(hits, max_df)  # one row a key of the index at most
+    h = hits.join(F.broadcast(seen) if index.rows.count() <= BROADCAST_ROWS else seen, "key").withColumn("rare", F.col("doc_id") <= F.col("last_rare"))
     w = Window.partitionBy("doc_id", "item_idx").orderBy("off")
-    gap = F.coalesce((F.col("off") > F.lag("off").over(w) + (index.n - 1) + stride).cast("int"), F.lit(0))
+    gap = F.coalesce((F.col("off") > F.lag("off").over(w) + stride).cast("int"), F.lit(0))
     h = h.withColumn("gap", gap).withColumn("run", F.sum("gap").over(w))
     in_run = Window.partitionBy("doc_id", "item_idx", "run")
-    rare = F.col("df_then") <= max_df
     first = F.row_number().over(Window.partitionBy("doc_id", "item_idx", "run", "key").orderBy("off")) == 1
-    h = h.withColumn("rare", rare).withColumn("fresh", (first & rare).cast("int"))
+    h = h.withColumn("fresh", (first & F.col("rare")).cast("int"))
     before = F.coalesce(F.sum("fresh").over(in_run.orderBy("off").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     h = h.withColumn("full", before >= KEYS_PER_RUN)
     kept = F.when(F.col("rare") & ~F.col("full"), F.col("df"))
@@ -69,6 +86,11 @@ def runs(hits: DataFrame, index: Index, stride: int = 1, max_df: int = MAX_DOC_F
     return out.withColumn("survives", alive).drop("run", "kept_df")
 
 
+def dropped(all_runs: DataFrame) -> DataFrame:
+    """Runs judged ordinary language, with the frequency that condemned each: its rarest gram's."""
+    return all_runs.filter("not survives").select("doc_id", "item_idx", "start", "stop", "grams", F.col("min_df").alias("condemned_by"), (~F.col("early_rare")).alias("certain_on_arrival"))
+
+
 def evidence(survivors: DataFrame, docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Matched text and ``context`` tokens on either side, cut from the original text of surviving documents only."""
     rx = r"[\p{L}\p{N}'&&[\x{0}-\x{FFFF}]]+"

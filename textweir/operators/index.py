@@ -1,30 +1,41 @@
 """N-gram index of a benchmark: which items own which gram.
 
 The benchmark is small by definition and the corpus is not, so the index is what
-gets broadcast. Its size is checked: above ``spark.sql.autoBroadcastJoinThreshold``
-and ``BROADCAST_ROWS`` the join is left to Catalyst.
+gets broadcast, as sorted arrays. Its size is checked: above ``BROADCAST_ROWS`` the
+corpus's grams meet it in a join.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textweir.errors import EmptyBenchmarkError, ThresholdError
+from textweir.functions import rolling
 from textweir.functions.text import scan_tokens, unsegmented_share
+from textweir.storage import small_batches
 
 N_DEFAULT, N_LEAST, N_MOST = 10, 8, 13
 MAX_ITEMS = 3
 STOP_SIZE, STOP_SHARE, STOP_ITEMS = 200, 0.5, 4
-#: Index rows (about 40 bytes each) that may be broadcast.
+#: Index rows (about 20 bytes each) that may be broadcast.
 BROADCAST_ROWS = 5_000_000
 
 
-def grams(df: DataFrame, n: int, *keep: str, tokens: str = "tokens") -> DataFrame:
-    """(keep..., off, key): one row per window of n tokens. Narrow; texts don't travel with the grams."""
-    size = F.size(tokens)
-    keys = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n)))
-    return df.filter(size >= n).select(*keep, F.posexplode(keys).alias("off", "key"))
+def grams(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """(``key``, off, key): one row per window of n scan tokens of ``text``. Narrow; texts don't travel with the grams."""
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for at, texts in rolling.chunks(b.column(1)):
+                text, off, keys = rolling.gram_keys(*rolling.token_hashes(texts), n)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + at)), pa.array(off.astype(np.int32)), pa.array(keys)], [key, "off", "key"])
+
+    return df.select(key, "text").mapInArrow(run, T.StructType([df.schema[key], *T.StructType.fromDDL("off int, key long").fields]))
 
 
 def tokenised_items(items: DataFrame) -> DataFrame:
@@ -46,14 +57,35 @@ class Index:
 
     def __init__(self, items, rows, n, stats, stop):
         self.items, self.rows, self.n, self.stats, self.stop = items, rows, n, stats, stop
+        self._shared = None
 
     def uncheckable(self) -> DataFrame:
         """Items without any gram in the index, and whether that is for want of word separators."""
         missing = self.items.join(self.rows.select("item_idx").distinct(), "item_idx", "left_anti")
         return missing.select("item_id", F.size("tokens").cast("long").alias("n_tokens"), (unsegmented_share("text") >= 0.5).alias("unsegmented"))
 
-    def for_join(self) -> DataFrame:
-        return F.broadcast(self.rows) if self.rows.count() <= BROADCAST_ROWS else self.rows
+    def broadcast(self):
+        """The whole index as sorted arrays on every worker, or None if it is too large for that."""
+        if self._shared is None and self.rows.count() <= BROADCAST_ROWS:
+            t = self.rows.select("key", "item_idx").toArrow()
+            self._shared = self.items.sparkSession.sparkContext.broadcast(rolling.Lookup(t["key"].to_numpy(), t["item_idx"].to_numpy()))
+        return self._shared
+
+
+def _item_grams(t: DataFrame, n: int, stop: list[str]) -> DataFrame:
+    """item_idx, off, key, dull (stop words alone)."""
+
+    def run(batches):
+        known = np.sort(rolling.token_hashes(stop)[0])
+        for b in batches:
+            for at, texts in rolling.chunks(b.column(1)):
+                tokens, counts = rolling.token_hashes(texts)
+                text, off, keys = rolling.gram_keys(tokens, counts, n)
+                plain = np.concatenate([[0], np.cumsum(~np.isin(tokens, known))])
+                first = off + (np.cumsum(counts) - counts)[text]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + at)), pa.array(off.astype(np.int32)), pa.array(keys), pa.array(plain[first + n] == plain[first])], ["item_idx", "off", "key", "dull"])
+
+    return t.select("item_idx", "text").mapInArrow(run, "item_idx int, off int, key long, dull boolean")
 
 
 def build_index(items: DataFrame, n: int = N_DEFAULT, stride: int = 1, max_items: int | None = MAX_ITEMS, stop_filter: bool = True, discriminative: bool = True) -> Index:
@@ -63,11 +95,8 @@ def build_index(items: DataFrame, n: int = N_DEFAULT, stride: int = 1, max_items
     t = tokenised_items(items).cache()
     if t.isEmpty():
         raise EmptyBenchmarkError("no item to index")
-    stop = stoplist(t)
-    words = F.broadcast(stop.agg(F.collect_list("token").alias("stop")))
-    size = F.size("tokens")
-    spans = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice("tokens", i, n)).alias("key"), F.forall(F.slice("tokens", i, n), lambda w: F.array_contains("stop", w)).alias("dull")))
-    g = t.filter(size >= n).crossJoin(words).select("item_idx", F.posexplode(spans).alias("off", "g")).select("item_idx", "off", "g.key", "g.dull")
+    stop = stoplist(t).cache()
+    g = _item_grams(t, n, [r.token for r in stop.collect()]).cache()  # at most STOP_SIZE stop words
     strided = g.filter(F.col("off") % stride == 0)
     good = strided.filter(~F.col("dull")) if stop_filter else strided
     own = good.select("item_idx", "key").distinct()

@@ -1,6 +1,6 @@
 """MinHash signatures, the near tier, and the near-duplicate signal.
 
-Signatures are made by one Arrow function (vectorised over all hashes of a text).
+Signatures are made by one Arrow function (vectorised over the shingles of many texts).
 Bands meet by an equi-join; buckets outside 2..``BUCKET`` records are left out, as
 the signal defines. The result is one row per record, not pairs.
 """
@@ -9,28 +9,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textweir.functions.text import signal_tokens
+from textweir.storage import materialize, small_batches
 
 HASHES, BAND_ROWS, SHINGLE, MOST_SHINGLES, DUPLICATE, BUCKET = 64, 4, 5, 400, 0.7, 200
 NEAR = 0.55
 _U32 = np.uint64(0xFFFFFFFF)
 
 
-def _fnv(shingles: list[str]) -> np.ndarray:
-    """FNV-1a of many strings at once, by UTF-16 unit."""
-    raw = [np.frombuffer(s.encode("utf-16-le", "surrogatepass"), np.uint16) for s in shingles]
-    lens = np.array([len(r) for r in raw])
-    grid = np.zeros((len(raw), int(lens.max())), np.uint64)
-    for i, r in enumerate(raw):
-        grid[i, : len(r)] = r
-    h = np.full(len(raw), 2166136261, np.uint64)
-    for j in range(grid.shape[1]):
-        on = lens > j
-        h[on] = ((h[on] ^ grid[on, j]) * np.uint64(16777619)) & _U32
-    return h
+def _fnv(units: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """FNV-1a of many stretches of UTF-16 units at once, longest first so that the live ones are a prefix."""
+    order = np.argsort(-lens, kind="stable")
+    at, size = starts[order], lens[order]
+    h = np.full(len(at), 2166136261, np.uint64)
+    live = len(at) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
+    for j, n in enumerate(live.tolist()):
+        x = h[:n]
+        x ^= units[at[:n] + j]
+        x *= np.uint64(16777619)
+        x &= _U32
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -42,30 +46,72 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(15)
 
 
-def signature(tokens: list[str]) -> list[int] | None:
-    if not tokens:
-        return None
-    s = [" ".join(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))]
-    if len(s) > MOST_SHINGLES:  # evenly spread; the step is added up, as its rounding decides the places
-        step, at, picked = len(s) / MOST_SHINGLES, 0.0, []
-        while at < len(s):
-            picked.append(s[int(at)])
-            at += step
-        s = picked
-    return _mixed(_fnv(s)).min(axis=1).astype(np.int64).tolist()
+_WORD = regex.compile(r"[\p{L}\p{N}']+")
+
+
+def signature_rows(texts: list[str], most_units: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the texts that have a token, and their signatures (rows of HASHES)."""
+    places, parts, held, size = [], [], [], 0
+
+    def flush():
+        units = np.frombuffer("".join(x for x, _, _ in held).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
+        sizes = np.array([u for _, u, _ in held])
+        base = np.cumsum(sizes) - sizes
+        starts = np.concatenate([b + s[:, 0] for b, (_, _, s) in zip(base, held)])
+        lens = np.concatenate([s[:, 1] for _, _, s in held])
+        h = _mixed(_fnv(units, starts, lens))
+        n = np.array([len(s) for _, _, s in held])
+        parts.append(np.minimum.reduceat(h, np.cumsum(n) - n, axis=1).T)
+        held.clear()
+
+    for i, t in enumerate(texts):
+        tokens = _WORD.findall((t or "").lower())
+        if not tokens:
+            continue
+        joined = " ".join(tokens)
+        units = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        if not joined.isascii():
+            units = np.fromiter((len(x) + sum(c > "\uffff" for c in x) for x in tokens), np.int64, len(tokens))
+        ends = np.cumsum(units + 1) - 1
+        starts = ends - units
+        n = max(1, len(tokens) - SHINGLE + 1)
+        pick = np.arange(n)
+        if n > MOST_SHINGLES:  # evenly spread; the step is added up, as its rounding decides the places
+            steps = np.cumsum(np.concatenate([[0.0], np.full(MOST_SHINGLES, n / MOST_SHINGLES)]))
+            pick = steps[steps < n].astype(np.int64)
+        last = np.minimum(pick + SHINGLE - 1, len(tokens) - 1)
+        places.append(i)
+        held.append((joined, int(ends[-1]), np.stack([starts[pick], ends[last] - starts[pick]], axis=1)))
+        size += int(ends[-1])
+        if size >= most_units or len(held) >= 64:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return np.array(places, np.int64), (np.concatenate(parts) if parts else np.empty((0, HASHES), np.uint64)).astype(np.int64)
+
+
+def signature(text: str) -> list[int] | None:
+    rows = signature_rows([text])[1]
+    return rows[0].tolist() if len(rows) else None
+
+
+def _batches(column: pa.Array, rows: int = 256):
+    for at in range(0, len(column), rows):
+        yield at, column.slice(at, rows).to_pylist()
 
 
 def signatures(records: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, sig (array of 64; records without a token are left out)."""
-    t = records.select(F.col(key).alias("key"), signal_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).filter(F.size("tokens") > 0)
+    small_batches(records.sparkSession)
 
     def run(batches):
         for b in batches:
-            sig = [signature(x) for x in b.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sig, pa.list_(pa.int64()))], ["key", "sig"])
+            for at, texts in _batches(b.column(1)):
+                place, sig = signature_rows(texts)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place + at)), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * HASHES, pa.int32()), pa.array(sig.ravel()))], [key, "sig"])
 
-    kind = records.schema[key].dataType.simpleString()
-    return t.mapInArrow(run, f"key {kind}, sig array<long>").withColumnRenamed("key", key)
+    return records.select(key, "text").mapInArrow(run, T.StructType([records.schema[key], *T.StructType.fromDDL("sig array<long>").fields]))
 
 
 def estimate(a, b):
@@ -75,9 +121,7 @@ def estimate(a, b):
 
 def near_duplicate_records(records: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_near (partners at the threshold), nearest: one row per record with a signature."""
-    from pyspark import StorageLevel
-
-    sig = signatures(records, key).persist(StorageLevel.MEMORY_AND_DISK)
+    sig = materialize(signatures(records, key))
     bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND_ROWS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * BAND_ROWS + 1, BAND_ROWS)))
     rows = sig.select(key, F.posexplode(bands).alias("band", "bucket"))
     sizes = rows.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter(F.col("n").between(2, BUCKET)).drop("n")
@@ -92,31 +136,60 @@ def near_duplicate_records(records: DataFrame, key: str = "doc_id") -> DataFrame
     return sig.select(key).join(both, F.col(key) == F.col("k"), "left").select(key, F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest")
 
 
-def near_tier(docs: DataFrame, items: DataFrame, exact_runs: DataFrame, threshold: float = NEAR, most_items: int = 100_000) -> DataFrame:
+class _Items:
+    """Item signatures with an index that misses none at the threshold: of HASHES places a
+    match agrees on ``least``, so on one of any HASHES - least + 1."""
+
+    def __init__(self, ids: list, sigs: np.ndarray, threshold: float):
+        self.ids, self.sigs = ids, sigs
+        self.least = max(1, int(np.ceil(threshold * HASHES - 1e-9)))
+        self.order = [np.argsort(sigs[:, p], kind="stable") for p in range(HASHES - self.least + 1)]
+        self.values = [sigs[o, p] for p, o in enumerate(self.order)]
+
+    def matches(self, sigs: np.ndarray):
+        """(row, item, equal places) of all pairs at the threshold, in order."""
+        found = []
+        for p, (values, order) in enumerate(zip(self.values, self.order)):
+            lo, hi = np.searchsorted(values, sigs[:, p]), np.searchsorted(values, sigs[:, p], side="right")
+            n = hi - lo
+            if n.any():
+                ends = np.cumsum(n)
+                inner = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+                found.append(np.repeat(np.arange(len(sigs)), n) * len(self.ids) + order[np.repeat(lo, n) + inner])
+        row, item = np.divmod(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64), max(1, len(self.ids)))
+        equal = (sigs[row] == self.sigs[item]).sum(axis=1)
+        ok = equal >= self.least
+        return row[ok], item[ok], equal[ok]
+
+
+def near_tier(docs: DataFrame, items: DataFrame, exact_runs: DataFrame, threshold: float = NEAR, item_block: int = 100_000) -> DataFrame:
     """Documents without a run that could survive at arrival, against all item signatures.
 
-    doc_id, item_id, score at the threshold or over. The items are a stated query
-    set (its size is checked), broadcast as signatures of 512 bytes.
+    doc_id, item_id, score at the threshold or over, sample (240 characters). Items
+    are taken in blocks, each broadcast as signatures of 512 bytes; every pair at the
+    threshold is found, as with a comparison of all.
     """
+    spark = docs.sparkSession
     open_runs = exact_runs.filter("early_rare or truncated").select("doc_id").distinct()
-    gated = docs.join(open_runs, "doc_id", "left_anti")
-    rows = signatures(items, "item_id").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError("split the items into blocks and unite the results")
-    shared = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], np.array([r.sig for r in rows], np.int64).reshape(-1, HASHES)))
-    item_type = items.schema["item_id"].dataType.simpleString()
-
-    def compare(batches):
-        ids, known = shared.value
-        for b in batches:
-            keys, at, which, scores = b.column("doc_id").to_pylist(), [], [], []
-            for i, sig in enumerate(b.column("sig").to_pylist()):
-                score = (known == np.array(sig)).sum(axis=1) / HASHES
-                for k in np.flatnonzero(score >= threshold).tolist():
-                    at.append(keys[i])
-                    which.append(ids[k])
-                    scores.append(float(score[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(at, b.schema.field("doc_id").type), pa.array(which, pa.string() if item_type == "string" else pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return signatures(gated).mapInArrow(compare, f"doc_id {kind}, item_id {item_type}, score double")
+    gated = docs.select("doc_id", "text").join(open_runs, "doc_id", "left_anti")
+    small_batches(spark)
+    sig = signatures(items, "item_id").withColumn("block", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / item_block).cast("int")).cache()
+    schema = T.StructType([docs.schema["doc_id"], items.schema["item_id"], *T.StructType.fromDDL("score double, sample string").fields])
+    out = None
+    for block in range(-(-sig.count() // item_block)):
+        t = sig.filter(F.col("block") == block).select("item_id", "sig").toArrow().combine_chunks()
+        flat = t["sig"].combine_chunks().values.to_numpy().reshape(-1, HASHES)
+        shared = spark.sparkContext.broadcast((t["item_id"].combine_chunks(), _Items(range(len(flat)), flat, threshold)))
+
+        def compare(batches, shared=shared):
+            ids, known = shared.value
+            for b in batches:
+                for at, texts in _batches(b.column("text")):
+                    place, sigs = signature_rows(texts)
+                    row, item, equal = known.matches(sigs)
+                    here = place[row]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(here + at)), ids.take(pa.array(item)), pa.array(equal / HASHES), pa.array([texts[i][:240] for i in here.tolist()], pa.string())], ["doc_id", "item_id", "score", "sample"])
+
+        got = gated.mapInArrow(compare, schema)
+        out = got if out is None else out.unionByName(got)
+    return spark.createDataFrame([], schema) if out is None else out

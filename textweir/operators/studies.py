@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from textweir.errors import MissingDocumentError
 from textweir.functions.text import squeeze, triage_tokens, word_count
+from textweir.storage import materialize
 
 LEAKED, PARTIAL = (0.5, 5), (0.25, 2)
 TERMINAL = "[.!?\"'”’]\\s*$"
 NOT_CONTENT = r"(?i)^/(robots\.txt|sitemap[^/]*|favicon\.ico|feeds?|rss|atom)(/|$)"
+#: Text of items that may be broadcast.
+MOST_ITEM_BYTES = 256 << 20
 #: A small list to reject pages by; callers bring their own.
 BLOCKLIST = ("idiot", "moron", "worthless", "clown")
 
@@ -43,14 +46,15 @@ def longest_runs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFra
     Equal tokens meet on (pair, token) and are grouped by diagonal; no table of
     all positions against all positions is made.
     """
-    p = pairs.select("doc_id", "item_id").distinct()
-    d = docs.select("doc_id", F.posexplode(triage_tokens("text")).alias("dp", "tok"))
+    p = materialize(pairs.select("doc_id", "item_id").distinct())
+    held = docs.select("doc_id", "text").join(p.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = materialize(held.select("doc_id", triage_tokens("text").alias("t")))
+    d = held.select("doc_id", F.posexplode("t").alias("dp", "tok"))
     i = items.select("item_id", F.posexplode(triage_tokens("text")).alias("ip", "tok"))
     n = items.select("item_id", F.size(triage_tokens("text")).cast("long").alias("item_tokens"))
-    held = p.join(docs.select("doc_id").distinct(), "doc_id", "left_anti")
-    if not held.isEmpty():
+    if not p.join(held.select("doc_id"), "doc_id", "left_anti").isEmpty():
         raise MissingDocumentError("evidence names a document that the corpus does not hold")
-    m = p.join(F.broadcast(i), "item_id").join(d, ["doc_id", "tok"])
+    m = p.join(i, "item_id").join(d, ["doc_id", "tok"])
     w = Window.partitionBy("doc_id", "item_id", (F.col("dp") - F.col("ip"))).orderBy("ip")
     m = m.withColumn("island", F.col("ip") - F.row_number().over(w)).withColumn("diag", F.col("dp") - F.col("ip"))
     best = m.groupBy("doc_id", "item_id", "diag", "island").agg(F.count("*").alias("run")).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
@@ -68,9 +72,12 @@ def triage(longest: DataFrame, n: int) -> DataFrame:
 
 def contains_items(evidence: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) whose squeezed text holds the whole squeezed item; documents of the evidence only."""
-    d = docs.join(evidence.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", squeeze("text").alias("d"))
-    i = items.select("item_id", squeeze("text").alias("i")).filter(F.length("i") > 0)
-    return d.join(F.broadcast(i), F.contains("d", "i")).select("doc_id", "item_id")
+    docs_seen = docs.select("doc_id", "text").join(evidence.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = items.select("item_id", squeeze("text").alias("i")).filter(F.length("i") > 0)
+    whole = rows.select(F.sum(F.octet_length("i"))).collect()[0][0] or 0
+    d = docs_seen.select("doc_id", squeeze("text").alias("d"))
+    rows = F.broadcast(rows) if whole <= MOST_ITEM_BYTES else rows
+    return d.join(rows, F.contains("d", "i")).select("doc_id", "item_id")
 
 
 def cleaning(docs: DataFrame, blocklist=BLOCKLIST) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textweir.functions import hashing, text
 from textweir.operators import exact, near, scoring, signals, studies
-from textweir.operators.index import build_index, serialise
+from textweir.operators.index import build_index, grams, serialise
 from textweir.sources import corpus
 
 QUERIES: dict = {}
@@ -56,7 +56,7 @@ idx AS (SELECT ig.item_id, ig.g FROM ig JOIN own USING (g) WHERE owners <= 3),
 dg AS (SELECT doc_id, o AS off, array_to_string(t[o + 1:o + {{n}}], ' ') AS g FROM (SELECT doc_id, t, unnest(range(0, greatest(len(t) - {{n}} + 1, 0))) AS o FROM dt)),
 hits AS (SELECT doc_id, item_id, off, g FROM dg JOIN idx USING (g)),
 df AS (SELECT g, count(DISTINCT doc_id) AS df FROM hits GROUP BY g),
-h2 AS (SELECT hits.*, df, CASE WHEN off > lag(off) OVER w + {{n}} THEN 1 ELSE 0 END AS gap FROM hits JOIN df USING (g) WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY off)),
+h2 AS (SELECT hits.*, df, CASE WHEN off > lag(off) OVER w + 1 THEN 1 ELSE 0 END AS gap FROM hits JOIN df USING (g) WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY off)),
 h3 AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, item_id ORDER BY off) AS run FROM h2),
 runs AS (SELECT doc_id, item_id, min(off)::BIGINT AS start, (max(off) + {{n}})::BIGINT AS stop, count(*)::BIGINT AS grams, min(df)::BIGINT AS min_df, min(df) <= 5 AS survives FROM h3 GROUP BY doc_id, item_id, run)
 """
@@ -531,9 +531,7 @@ def cleaning_simulation(spark, d):
 
 
 def _grams(spark, d):
-    from textweir.operators.index import grams
-
-    return grams(exact.corpus_tokens(_t(spark, d, "documents")), 10, "doc_id")
+    return grams(_t(spark, d, "documents"), 10)
 
 
 CHECKPOINTS = [100, 200, 500, 1000, 2000, 5000, 10000]

@@ -97,10 +97,12 @@ def portable_owners(index) -> dict[int, list[int]]:
     from pyspark.sql import functions as F
 
     from textweir.functions.hashing import fnv1a, gram_key
+    from textweir.operators.index import grams
 
     n, size = index.n, F.size("tokens")
-    h = F.transform("tokens", fnv1a)
-    spans = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice("tokens", i, n)).alias("key"), gram_key(F.slice("h", i, n)).alias("file_key")))
-    g = index.items.withColumn("h", h).filter(size >= n).select("item_idx", F.explode(spans).alias("g")).select("item_idx", "g.key", "g.file_key").distinct()
-    rows = g.join(index.rows, ["item_idx", "key"], "left_semi").groupBy("file_key").agg(F.collect_set("item_idx").alias("o")).collect()
+    h = index.items.filter(size >= n).withColumn("h", F.transform("tokens", fnv1a))
+    spans = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: gram_key(F.slice("h", i, n)))
+    files = h.select("item_idx", F.posexplode(spans).alias("off", "file_key"))
+    g = grams(index.items, n, "item_idx").join(index.rows, ["item_idx", "key"], "left_semi").join(files, ["item_idx", "off"])
+    rows = g.groupBy("file_key").agg(F.collect_set("item_idx").alias("o")).collect()
     return {r.file_key: sorted(r.o) for r in rows}
