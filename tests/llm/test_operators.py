@@ -386,6 +386,22 @@ def test_decontamination_of_long_and_short_items(spark):
     assert all(x.lcs == x.item_words == len(words_of(dict(items)[x.item_id].encode())) for x in got)
 
 
+def test_decontamination_of_any_ids_in_small_blocks(spark):
+    """Null and textual item ids, blocks of few words, and a tree of few branches give the same rows."""
+    from textweir.llm import decontaminate
+
+    items, table, want = planted(64, 30, (9, 20, 45, 200), 120)
+    items = [(None if i == 0 else f"q{i}", t) for i, t in items]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(9)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = [{(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench, **o).collect()} for o in ({}, {"block_words": 64}, {"item_block": 7})]
+    assert got[0] == got[1] == got[2] >= {(d, items[i][0]) for d, i in want}
+    known = [decontaminate.Item(i, decontaminate.words_of(t.encode())) for i, t in items]
+    one, tree = (decontaminate.fit(docs.select(docs.text.cast("binary").alias("text")), known, 48, 16, fan=f) for f in (64, 2))
+    assert one[0] == tree[0] and (one[1] == tree[1]).all() and np.allclose(one[2], tree[2])
+    assert decontaminate.find_leaks(docs.limit(0), bench).schema == decontaminate.find_leaks(docs, bench).schema == decontaminate.find_leaks(docs, bench.limit(0)).schema
+
+
 def test_pipeline_removes_every_holder_of_an_item(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,7 +1,5 @@
 """Shared plumbing of the training-data operators.
 
-* ``materialize`` cuts lineage with a Parquet table in the folder all executors
-  share (``spark.checkpoint.dir``); losing an executor never loses its rows.
 * ``RepeatFilter`` is a pair of Bloom filters (once seen / twice seen), built by
   hash range on the executors; only the bounded "twice" filter is broadcast.
 * ``arrow_map`` runs a batch function over Arrow batches.
@@ -11,8 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textweir.storage import materialize, shared_dir, small_batches
+
+__all__ = ["materialize", "shared_dir", "small_batches"]
+
 #: ASCII white space: the six bytes that bytes.split() and bytes.strip() use.
 WS = b" \t\n\r\x0b\x0c"
 _CONT = bytes(range(0x80, 0xC0))
@@ -31,34 +31,14 @@ def code_points(b: bytes) -> int:
     return len(b.translate(None, _CONT))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests, a laptop) a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textweir-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/textweir-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; unknown sizes come back as 2**62 at most."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return min(int(str(stats)), 1 << 62)
 
 
-def n_shards(df: DataFrame, per_shard: int = 16 << 20, least: int = 8, most: int = 1 << 16) -> int:
-    """Hash ranges so that each covers about ``per_shard`` bytes of input."""
+def n_shards(df: DataFrame, per_shard: int = 16 << 20, least: int = 8, most: int = 1 << 20) -> int:
+    """Hash ranges so that each covers about ``per_shard`` bytes of input (95 MB of 100 TB)."""
     size = size_in_bytes(df)
     if size >= 1 << 50:  # not a table scan: Spark knows no size
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -78,16 +58,6 @@ def schema_of(fields, ddl: str) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8MB") -> None:
-    """Arrow batches of whole texts are large: bound them by rows and bytes, so that a
-    Python worker holds little. A smaller setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def normalized(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns ``doc_id`` (long), ``text`` (binary, null becomes empty) and ``keep``."""
     small_batches(docs.sparkSession)

@@ -18,13 +18,18 @@
    an item has at most 5/4 of that, so the checked words hold it whole.
 4. Accepted passages are projected; their latent cosine with the item ranks them.
 
-Items are taken in blocks of ``item_block``, so any number works.
+Items are taken in blocks of at most ``item_block`` items and ``block_words``
+words (a longer item is a block of its own), so any number works, the driver holds
+one block at a time, and no broadcast outgrows ``block_words`` x ``rank`` floats.
+The tasks' sketches are summed by a tree of ``fan`` branches.
 
 Defined results
 ---------------
 * null or empty texts and items match nothing; items of fewer than ``min_words``
   words match where all their words follow each other in the text.
-* null and repeated document ids: a row a matched item for each row.
+* null and repeated document ids, and item ids of any type, nulls too: a row a
+  matched item for each row.
+* texts and items of any length are searched whole.
 * of several passages, the one with the greatest subsequence, then cosine, then
   the first, is returned. Empty tables: no rows. Extra columns are ignored.
 """
@@ -35,8 +40,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textweir.llm.common import explode_ranges, normalized
 
@@ -127,7 +135,7 @@ def _add_rows(out: np.ndarray, to: np.ndarray, table: np.ndarray, rows: np.ndarr
         out[k[first]] += np.add.reduceat(table[rows[i : i + chunk]], first)
 
 
-def fit(docs: DataFrame, items: list[Item], window: int, rank: int, seed: int = 7, extra: int = 10):
+def fit(docs: DataFrame, items: list[Item], window: int, rank: int, seed: int = 7, extra: int = 10, fan: int = 64):
     """Term numbers, document frequencies, inverse document frequencies and the latent axes (terms x rank)."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for it in items for w in it.words}))}
     terms, width, chunk = len(vocabulary), rank + extra, 1024
@@ -142,20 +150,29 @@ def fit(docs: DataFrame, items: list[Item], window: int, rank: int, seed: int =
                 base = np.cumsum(blocks) - blocks
                 block = np.repeat(base, lens) + explode_ranges(np.zeros(len(lens), np.int64), lens) // window
                 sums.add(ids, block, int(blocks.sum()))
+        task = TaskContext.get().partitionId()
         for k in range(0, terms, chunk):
-            yield pa.RecordBatch.from_pydict({"chunk": [k], "n": [sums.n], "df": [sums.df[k : k + chunk].tobytes()], "sketch": [sums.sketch[k : k + chunk].tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("df", pa.binary()), ("sketch", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([k], [task], [sums.n], [sums.df[k : k + chunk].tobytes()], [sums.sketch[k : k + chunk].tobytes()]), kinds)], names)
+
+    names, kinds = ["chunk", "branch", "n", "df", "sketch"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def total(t: pa.Table) -> pa.Table:
         df = sum(np.frombuffer(x.as_py(), np.int64) for x in t["df"])
-        sketch = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t["sketch"])
-        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "df": pa.array([df.tobytes()], pa.binary()), "sketch": pa.array([sketch.tobytes()], pa.binary())})
-
-    schema = "chunk int, n long, df binary, sketch binary"
-    rows = sorted(docs.select("text").mapInArrow(run, schema).groupBy("chunk").applyInArrow(total, schema).collect(), key=lambda r: r.chunk)
+        wide = {4: np.float32, 8: np.float64}[len(t["sketch"][0].as_py()) // (len(df) * width)]  # tasks send single precision
+        sketch = sum(np.frombuffer(x.as_py(), wide).astype(np.float64) for x in t["sketch"])
+        return pa.table([pa.array(x, k) for x, k in zip(([t["chunk"][0].as_py()], [t["branch"][0].as_py() // fan], [sum(t["n"].to_pylist())], [df.tobytes()], [sketch.tobytes()]), kinds)], names)
+
+    schema = "chunk int, branch int, n long, df binary, sketch binary"
+    sums = docs.select("text").mapInArrow(run, schema)
+    left = docs.rdd.getNumPartitions()
+    while left > 1:
+        sums = sums.groupBy("chunk", F.floor(F.col("branch") / fan).alias("b")).applyInArrow(total, schema)
+        left = -(-left // fan)
+    rows = sorted(sums.collect(), key=lambda r: r.chunk)
     omega = _random(terms, width, seed)
     n = rows[0].n if rows else 0
     df = np.concatenate([np.frombuffer(r.df, np.int64) for r in rows]) if rows else np.zeros(terms, np.int64)
-    sketch = np.concatenate([np.frombuffer(r.sketch, np.float64) for r in rows]).reshape(terms, width) if rows else np.zeros((terms, width))
+    sketch = np.concatenate([np.frombuffer(r.sketch, np.float64 if len(r.sketch) == len(r.df) * width else np.float32) for r in rows]).reshape(terms, width).astype(np.float64) if rows else np.zeros((terms, width))
     own = _Sums(omega)
     for i in range(0, len(items), 1024):
         part = items[i : i + 1024]
@@ -215,27 +232,39 @@ class _Signatures:
         return np.unique(rows, axis=0).tolist() if len(rows) else []
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 48, rank: int = 192, min_lcs: float = 0.6, sure_lcs: float = 0.8, min_words: int = 8, item_block: int = 20_000) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_block: int, block_words: int):
+    """Items with a word, in blocks; the driver holds one at a time."""
+    held, words = [], 0
+    for r in benchmark.select("item_id", "text").toLocalIterator():
+        w = words_of((r.text or "").encode())
+        if held and w and (len(held) >= item_block or words + len(w) > block_words):
+            yield held
+            held, words = [], 0
+        if w:
+            held.append(Item(r.item_id, w))
+            words += len(w)
+    if held:
+        yield held
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 48, rank: int = 192, min_lcs: float = 0.6, sure_lcs: float = 0.8, min_words: int = 8, item_block: int = 20_000, block_words: int = 1 << 17) -> DataFrame:
     """doc_id, item_id, cosine, lcs, item_words, start and stop (word numbers of the checked passage)."""
-    spark = docs.sparkSession
-    out = None
-    base = normalized(docs)
-    items = [Item(r.item_id, w) for r in benchmark.select("item_id", "text").collect() if (w := words_of((r.text or "").encode()))]
-    for i in range(0, len(items), item_block):
-        got = _find_block(base, items[i : i + item_block], window, rank, min_lcs, sure_lcs, min_words)
+    out, base = None, normalized(docs)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", benchmark.schema["item_id"].dataType), *T.StructType.fromDDL("cosine double, lcs long, item_words long, start long, stop long").fields])
+    for items in _blocks(benchmark, item_block, block_words):
+        got = _find_block(base, items, schema, window, rank, min_lcs, sure_lcs, min_words)
         out = got if out is None else out.unionByName(got)
-    schema = f"doc_id long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, lcs long, item_words long, start long, stop long"
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_lcs: float, sure_lcs: float, min_words: int) -> DataFrame:
+def _find_block(base: DataFrame, items: list[Item], schema: T.StructType, window: int, rank: int, min_lcs: float, sure_lcs: float, min_words: int) -> DataFrame:
     spark = base.sparkSession
     vocabulary, df, idf, axes = fit(base, items, window, min(rank, len({w for it in items for w in it.words})))
     weighted = (idf[:, None] * axes).astype(np.float32)
     signatures = _Signatures(items, vocabulary, df, window, min(min_lcs, sure_lcs), min_words)
     latent = np.array([_unit(weighted, [vocabulary[w] for w in it.words]) for it in items], np.float32)
     shared = spark.sparkContext.broadcast((vocabulary, weighted, latent, signatures, items))
-    id_type = "string" if isinstance(items[0].id, str) else "long"
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def search(batches):
         vocabulary, weighted, latent, signatures, items = shared.value
@@ -264,11 +293,10 @@ def _find_block(base: DataFrame, items: list[Item], window: int, rank: int, min_
                         row = (lcs, float(_unit(weighted, t[t >= 0]) @ latent[k]), -lo, hi)
                         best[at + d, k] = max(row, best.get((at + d, k), row))
             rows = [(doc_ids[d], items[k].id, cos, lcs, items[k].n, -lo, hi) for (d, k), (lcs, cos, lo, hi) in best.items()]
-            kinds = [pa.int64(), pa.string() if id_type == "string" else pa.int64(), pa.float64(), *[pa.int64()] * 4]
             cols = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "cosine", "lcs", "item_words", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], schema.names)
 
-    return base.mapInArrow(search, f"doc_id long, item_id {id_type}, cosine double, lcs long, item_words long, start long, stop long")
+    return base.mapInArrow(search, schema)
 
 
 def _unit(weighted: np.ndarray, terms) -> np.ndarray:
