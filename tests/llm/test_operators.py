@@ -124,6 +124,9 @@ def test_elias_fano():
         f, _ = EliasFano.load(memoryview(e.dump()), 0)
         assert f.decode().tolist() == list(map(int, v))
         assert [f.select(i) for i in range(0, len(v), 37)] == [int(x) for x in list(v)[::37]]
+        for a, z in ((0, len(v)), (3, 4), (511, 513), (512, 1024), (1000, 2900), (len(v) - 1, len(v))):
+            if 0 <= a < z <= len(v):
+                assert f.slice(a, z).tolist() == list(map(int, v[a:z]))
     big = EliasFano.encode(np.sort(r.integers(0, 1 << 30, 10000)))
     assert len(big.dump()) * 8 < 10000 * (2 + 17 + 2)
 
@@ -147,6 +150,37 @@ def test_token_output_round_trip(spark, docs, rows, empty):
     assert read_tokens(spark, write_tokens(empty, PATH)).count() == 0
 
 
+def test_token_shards_are_read_by_offsets(tmp_path):
+    """Blocks of any size, documents longer than a block, nulls, and a file that is cut."""
+    from pyarrow import fs
+
+    from textweir.llm.token_output import Shard, ShardWriter
+
+    r = random.Random(21)
+    lengths = [r.choice([1, 2, 7, 900, 40_000]) for _ in range(700)]
+    doc_ids = [None, None, *sorted(r.randrange(-(10**12), 10**12) for _ in range(698))]
+    ids = np.random.default_rng(1).integers(0, 50_000, sum(lengths))
+    cut = np.cumsum([0, *lengths])
+    local = fs.LocalFileSystem()
+    with local.open_output_stream(f"{tmp_path}/a") as f:
+        w = ShardWriter(f, 2)
+        for a in range(0, 700, 90):
+            z = min(700, a + 90)
+            w.add(doc_ids[a:z], np.array(lengths[a:z]), ids[cut[a] : cut[z]])
+        w.close()
+    with local.open_input_file(f"{tmp_path}/a") as f:
+        s = Shard(f)
+        assert [s.span(i) for i in range(0, 700, 31)] == [(cut[i], cut[i + 1]) for i in range(0, 700, 31)]
+        for docs, most in ((4096, 1 << 22), (13, 1000), (1, 1)):
+            got = list(s.blocks(docs, most))
+            assert [d for b in got for d in b[0]] == doc_ids and np.concatenate([b[3] for b in got]).tolist() == ids.tolist()
+            assert np.concatenate([b[1] for b in got]).tolist() == cut[:-1].tolist() and np.concatenate([b[2] for b in got]).tolist() == cut[1:].tolist()
+    raw = (tmp_path / "a").read_bytes()
+    (tmp_path / "b").write_bytes(raw[:-5])
+    with local.open_input_file(f"{tmp_path}/b") as f, pytest.raises(ValueError):
+        Shard(f)
+
+
 def test_packing(docs, rows, empty):
     from textweir.llm.common import materialize
     from textweir.llm.packing import lower_bound, pack, token_pieces
