@@ -282,16 +282,54 @@ def test_suffix_dedup(docs, rows, empty):
         once[d, th[d, t]] = (t or "").encode()
     order = sorted(once, key=lambda k: (-(2**63) if k[0] is None else k[0], k[1]))
     want = dict(zip(order, substrings([once[k] for k in order], 40)))
-    for r in remove_repeats(docs, 40, 16).collect():
-        got.setdefault((r.doc_id, r.n_bytes), set()).add((r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)))
-    for (d, k), w in want.items():
-        assert w in got[d, w[0]]
+    for hot in (1 << 16, 1, 3):  # no anchor, all, and some are split by windows
+        got = {}
+        for r in remove_repeats(docs, 40, 16, hot=hot).collect():
+            got.setdefault((r.doc_id, r.n_bytes), set()).add((r.n_bytes, r.n_removed, r.n_spans, bytes(r.text)))
+        for (d, k), w in want.items():
+            assert w in got[d, w[0]]
     assert sum(w[1] for w in want.values()) > 1000
     assert remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_at_full_length(spark):
+    """100-byte windows, texts of one boilerplate in different surroundings, a very long text, rows that are there twice."""
+    from textweir.llm.suffix_dedup import remove_repeats
+
+    r = random.Random(22)
+    junk = lambda n: "".join(r.choices("abcdefgh é\n", k=n))
+    block, other = junk(180), junk(400)
+    texts = [junk(r.randint(0, 300)) + block + junk(r.randint(0, 300)) for _ in range(40)]
+    texts += [other[:250] + junk(5) + other[200:], other, block * 3, "", junk(60_000) + other + junk(60_000), block[:100], block[:99]]
+    want = substrings([t.encode() for t in texts], 100)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(5)
+    for hot in (1 << 16, 2, 20):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.text)) for x in remove_repeats(df, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_merged_spans():
+    from textweir.llm.suffix_dedup import merged
+
+    r = random.Random(23)
+    big = 2**63 - 1
+    ids = [-big - 1, 0, 5, 1 << 40, big]
+    spans = [(r.choice(ids), r.choice([0, big]), a := r.randrange(2000), a + r.randint(1, 60)) for _ in range(600)]
+    want = {}
+    for d, k, a, z in sorted(spans):
+        runs = want.setdefault((d, k), [])
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], z)
+        else:
+            runs.append([a, z])
+    assert merged(np.array(spans)).tolist() == [[d, k, a, z] for (d, k), runs in sorted(want.items()) for a, z in runs]
+    n = (1 << 23) + 3  # documents of one task
+    many = np.stack([np.arange(n), np.zeros(n, np.int64), np.full(n, 7), np.full(n, 2**31 - 1)], axis=1)
+    assert (merged(many) == many).all()
+
+
 def test_blind_trie_and_deep_shallow():
-    from textweir.llm.suffix_dedup import blind_trie_order, deep_shallow_order
+    from textweir.llm.suffix_dedup import blind_trie_order, deep_shallow_order, multikey_quicksort
 
     r = random.Random(9)
     for _ in range(100):
@@ -302,6 +340,12 @@ def test_blind_trie_and_deep_shallow():
         for i, x in enumerate(s):
             grid[i, : len(x)] = np.frombuffer(x, np.uint8)
         assert [s[i] for i in deep_shallow_order(grid, lens, 8)] == sorted(s)
+    x = np.random.default_rng(4).integers(0, 3, (5000, 4)).astype(np.uint64)
+    order, ties = multikey_quicksort(x)
+    rows = x[order].tolist()
+    assert rows == sorted(x.tolist()) and sorted(order.tolist()) == list(range(5000))
+    equal = [i for i in range(1, 5000) if rows[i] == rows[i - 1]]
+    assert sorted(i for a, b in ties.tolist() for i in range(a + 1, b)) == equal
 
 
 def test_lm_scores(docs, rows, empty):

@@ -147,26 +147,30 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def emit_hashes(h: np.ndarray, bits: int):
-    """One packed row a hash range: the sorted distinct hashes of this task and
-    the ones it met twice already."""
+def emit_hashes(h: np.ndarray, bits: int, many: int = 256):
+    """One packed row a hash range: the sorted distinct hashes of this task, the ones
+    it met twice already, and those it met ``many`` times with their number."""
     if not len(h):
         return
     u, c = np.unique(h, return_counts=True)
     cut = np.searchsorted(shard_of(u, bits), np.arange((1 << bits) + 1))
-    rows = [(s, u[a:b].tobytes(), u[a:b][c[a:b] > 1].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        ["shard", "hashes", "twice"],
-    )
+    rows = []
+    for s in np.flatnonzero(np.diff(cut)).tolist():
+        k, n = u[cut[s] : cut[s + 1]], c[cut[s] : cut[s + 1]]
+        often = n >= many
+        rows.append((s, k.tobytes(), k[n > 1].tobytes(), np.stack([k[often], n[often].astype(U64)]).T.tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["shard", "hashes", "twice", "often"])
     trim()
 
 
-HASH_SCHEMA = "shard int, hashes binary, twice binary"
+HASH_SCHEMA = "shard int, hashes binary, twice binary, often binary"
 
 
-def repeat_filter(hashes: DataFrame, shards: int, max_bits: int = 1 << 31, per_key: int = 24):
-    """Build the once/twice filter pair from packed rows and broadcast the second.
+def repeat_filter(hashes: DataFrame, shards: int, max_bits: int = 1 << 31, per_key: int = 24, hot: int = 1 << 62, most_hot: int = 1 << 16):
+    """Build the once/twice filter pair from packed rows and broadcast the second,
+    with the sorted hashes that tasks met often, ``hot`` times in all or more (the
+    most frequent ``most_hot / shards`` of a range, one at least).
 
     Each reducer owns a hash range. It adds each task's hashes to its once-seen
     filter and those already in there (or met twice inside the task) to its
@@ -187,11 +191,18 @@ def repeat_filter(hashes: DataFrame, shards: int, max_bits: int = 1 << 31, per_k
         out = Bits(Bits.log2_for(len(t), per_key, most=most))
         out.add(t)
         empty = not len(t)
-        return pa.table({"shard": pa.array([] if empty else [table["shard"][0].as_py()], pa.int32()), "log2": pa.array([] if empty else [out.log2], pa.int32()), "bits": pa.array([] if empty else [out.words.tobytes()], pa.binary())})
-
-    rows = hashes.groupBy("shard").applyInArrow(build, "shard int, log2 int, bits binary").collect()
+        often = np.concatenate([np.frombuffer(x.as_py(), U64) for x in table["often"]]).reshape(-1, 2)
+        k, at = np.unique(often[:, 0], return_inverse=True)
+        n = np.bincount(at, often[:, 1].astype(np.float64), len(k))
+        best = np.argsort(-n, kind="stable")[: max(1, most_hot // shards)]
+        heavy = k[best][n[best] >= hot]
+        return pa.table({"shard": pa.array([] if empty else [table["shard"][0].as_py()], pa.int32()), "log2": pa.array([] if empty else [out.log2], pa.int32()), "bits": pa.array([] if empty else [out.words.tobytes()], pa.binary()), "heavy": pa.array([] if empty else [heavy.tobytes()], pa.binary())})
+
+    rows = hashes.groupBy("shard").applyInArrow(build, "shard int, log2 int, bits binary, heavy binary").collect()
     spark = hashes.sparkSession
-    return spark.sparkContext.broadcast(RepeatFilter(shards, {r.shard: (r.log2, bytes(r.bits)) for r in rows}))
+    found = RepeatFilter(shards, {r.shard: (r.log2, bytes(r.bits)) for r in rows})
+    found.hot = np.sort(np.concatenate([np.empty(0, U64), *(np.frombuffer(bytes(r.heavy), U64) for r in rows)]))
+    return spark.sparkContext.broadcast(found)
 
 
 def concat(arrays, dtype=U64) -> np.ndarray:

@@ -14,6 +14,9 @@ grams of the string, a choice that depends on the string alone. So:
    words to a shallow depth, then blind tries for the groups that still agree.
    With the arrays of common prefixes, equal windows are equal pairs of a left
    class and a right class, at any group size, without comparing pairs;
+   an anchor met ``hot`` times or more doesn't go to one reducer: its contexts are
+   cut into windows where they are, each distinct window of a flush goes on as a
+   128-bit hash with its first place, and reducers own hash ranges of windows;
 4. spans meet their texts by document; texts without spans are not shuffled.
 
 Defined results
@@ -22,7 +25,10 @@ Defined results
 * null ``doc_id``: a document before all ids. Rows with the same id and text are
   one document, so all keep the same bytes; rows with the same id and other
   texts count as documents ordered by a hash of the text.
-* empty table: no rows. Columns in ``keep`` pass through.
+* ties: of equal strings the one in the smallest document, then at the least
+  place, stays. Texts of any length up to 2**31 - 1 bytes are read whole.
+* empty table: no rows. Columns in ``keep`` pass through (any name but those of
+  the result); others, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, n_shards, repeat_filter, schema_of, shard_of, small_batches, trim
+from textweir.llm.common import HASH_SCHEMA, U64, Bits, RepeatFilter, concat, emit_hashes, explode_ranges, materialize, mix64, n_shards, repeat_filter, schema_of, shard_of, small_batches, trim
 
 MAX = U64(0xFFFFFFFFFFFFFFFF)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
@@ -151,21 +157,53 @@ def blind_trie_order(texts: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``words``, and (start, stop) of the groups that agree in every word.
+
+    Three-way partitioning on one word around a pivot (the median of three): the
+    smaller and the greater go on at the same depth, the equal at the next. All
+    groups of a round are partitioned together.
+    """
+    n, depth_of_all = words.shape
+    order, ties = np.arange(n), []
+    start, size, depth = np.array([0] * (n > 1)), np.array([n] * (n > 1)), np.zeros(int(n > 1), np.int64)
+    while len(start):
+        at = explode_ranges(start, size)
+        rows, group = order[at], np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        w = words[rows, depth[group]]
+        trio = w[np.stack([first, first + size // 2, first + size - 1])]
+        pivot = np.sort(trio, axis=0)[1][group]
+        less, more = w < pivot, w > pivot
+        same = ~(less | more)
+        n_less, n_same = np.add.reduceat(less.astype(np.int64), first), np.add.reduceat(same.astype(np.int64), first)
+        place = np.empty(len(rows), np.int64)
+        for side, shift in ((less, 0 * size), (same, n_less), (more, n_less + n_same)):
+            rank = np.cumsum(side) - 1
+            before = (rank - side + 1)[first]  # of this side in earlier groups
+            place[side] = (start + shift - before)[group[side]] + rank[side]
+        order[place] = rows
+        done = depth + 1 == depth_of_all
+        tied = done & (n_same > 1)
+        ties.append(np.stack([(start + n_less)[tied], (start + n_less + n_same)[tied]], axis=1))
+        parts = [(start, n_less, depth), ((start + n_less)[~done], n_same[~done], depth[~done] + 1), (start + n_less + n_same, size - n_less - n_same, depth)]
+        start, size, depth = (np.concatenate(x) for x in zip(*parts))
+        big = size > 1
+        start, size, depth = start[big], size[big], depth[big]
+    return order, np.concatenate(ties) if ties else np.empty((0, 2), np.int64)
+
+
 def deep_shallow_order(rows: np.ndarray, lens: np.ndarray, shallow: int) -> np.ndarray:
-    """Order of byte strings (rows padded with zeros): words of eight bytes to the
-    depth ``shallow``, three-way by equal groups, then blind tries."""
-    n = len(rows)
+    """Order of byte strings (rows padded with zeros): multikey quicksort on words of
+    eight bytes to the depth ``shallow``, then blind tries for what still agrees."""
     words = np.ascontiguousarray(rows[:, :shallow]).view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    w = words[order]
-    cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]).any(axis=1), [True]])) if n else np.array([0])
+    order, ties = multikey_quicksort(words)
     width = rows.shape[1]
     raw = rows.tobytes()
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        if b - a > 1:
-            group = order[a:b]
-            texts = [raw[i * width : i * width + k] for i, k in zip(group.tolist(), lens[group].tolist())]
-            order[a:b] = group[blind_trie_order(texts)]
+    for a, b in ties.tolist():
+        group = order[a:b]
+        texts = [raw[i * width : i * width + k] for i, k in zip(group.tolist(), lens[group].tolist())]
+        order[a:b] = group[blind_trie_order(texts)]
     return order
 
 
@@ -215,7 +253,50 @@ def repeated_windows(right, r_len, left, l_len, length: int, gram: int):
     return lo, hi
 
 
-_PACK = "shard int, n int, hash binary, rid binary, th binary, pos binary, l_len binary, r_len binary, body binary, spans binary"
+def window_hashes(body: np.ndarray, l_len: np.ndarray, r_len: np.ndarray, length: int):
+    """(row, bytes before the anchor, two hashes) of every whole window in contexts (right, then left turned round)."""
+    reach = body.shape[1] - length
+    whole = np.concatenate([body[:, length:][:, ::-1], body[:, :length]], axis=1)
+    o = np.arange(reach + 1)
+    row, before = np.nonzero((l_len[:, None] >= o) & (r_len[:, None] >= length - o))
+    a, z = reach - before, reach - before + length
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            up, down = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(whole.shape[1], U64(m))])) for m in (base, pow(base, -1, 1 << 64)))
+            sums = np.concatenate([np.zeros((len(whole), 1), U64), np.cumsum(_TABLE[whole] * up[:-1], axis=1, dtype=U64)], axis=1)
+            out.append(mix64((sums[row, z] - sums[row, a]) * down[a]))
+    return row, before, *out
+
+
+def first_windows(w: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows (two hashes, rid, th, start): the first of each, and the spans of the others."""
+    if not len(w):
+        return w, np.empty((0, 4), np.int64)
+    w = w[np.lexsort((w[:, 4], w[:, 3], w[:, 2], w[:, 1], w[:, 0]))]
+    new = np.concatenate([[True], (w[1:, :2] != w[:-1, :2]).any(axis=1)])
+    group = np.cumsum(new) - 1
+    first = w[new]
+    again = (w[:, 2:] != first[group, 2:]).any(axis=1)  # a row that is there twice is one document
+    gone = w[again, 2:]
+    return first, np.concatenate([gone, gone[:, 2:] + length], axis=1)
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (rid, th, start, stop) with those of one document that touch made one, by counting what is open."""
+    n = len(spans)
+    if not n:
+        return spans
+    rid, th = np.tile(spans[:, 0], 2), np.tile(spans[:, 1], 2)
+    at, end = np.concatenate([spans[:, 2], spans[:, 3]]), np.repeat([0, 1], n)
+    order = np.lexsort((end, at, th, rid))
+    open_now = np.cumsum(1 - 2 * end[order])
+    stop = order[open_now == 0]
+    start = order[np.concatenate([[True], open_now[:-1] == 0])]
+    return np.stack([rid[start], th[start], at[start], at[stop]], axis=1)
+
+
+_PACK = "shard int, n int, hash binary, rid binary, th binary, pos binary, l_len binary, r_len binary, body binary, spans binary, windows binary"
 SPANS = "rid long, th long, start int, stop int"
 
 
@@ -248,7 +329,7 @@ def _repeats(order, new, rid, th, pos) -> np.ndarray:
     return np.concatenate([[False], ~new[1:] & (rid[a] == rid[b]) & (th[a] == th[b]) & (pos[a] == pos[b])])
 
 
-def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filter_bits: int = 1 << 31) -> DataFrame:
+def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filter_bits: int = 1 << 31, hot: int = 1 << 16) -> DataFrame:
     """(rid, th, start, stop) spans to remove from rows (rid, th, text)."""
     if gram not in (2, 4, 8, 16, 32) or gram > length:
         raise ValueError("gram must be a power of two up to 32 and at most length")
@@ -261,9 +342,9 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
         for b in batches:
             for _, buf, starts, lens in _all_chunks(b.column(0), length):
                 got.append(anchors(buf, starts, lens, length, gram)[1])
-        yield from emit_hashes(concat(got), bits)
+        yield from emit_hashes(concat(got), bits, min(hot, 64))
 
-    twice = repeat_filter(base.select("text").mapInArrow(hashes, HASH_SCHEMA), shards, max_filter_bits, per_key=16)
+    twice = repeat_filter(base.select("text").mapInArrow(hashes, HASH_SCHEMA), shards, max_filter_bits, per_key=16, hot=hot)
 
     def ship(held):
         """Contexts of one flush: one of each kind, packed by hash range; the others' spans."""
@@ -277,16 +358,27 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
         once = ~_repeats(order, new, rid, th, pos)
         again, keep = order[same & once], order[~same & once]
         covers = again[l_len[again] + r_len[again] >= length]
+        spans = np.stack([rid[covers], th[covers], pos[covers] - l_len[covers], pos[covers] + r_len[covers]], axis=1)
+        span_of = h[covers]
+        # Contexts of hot anchors go on as windows, in pieces of bounded size.
+        busy = np.isin(h[keep], twice.value.hot)
+        windows = np.empty((0, 5), np.int64)
+        for at in np.array_split(keep[busy], 1 + busy.sum() // 2000) if busy.any() else ():
+            row, before, x, y = window_hashes(body[at, : length + reach], l_len[at], r_len[at], length)
+            k = at[row]
+            windows, gone = first_windows(np.concatenate([windows, np.stack([x.view(np.int64), y.view(np.int64), rid[k], th[k], pos[k] - before], axis=1)]), length)
+            gone = merged(gone)
+            spans, span_of = np.concatenate([spans, gone]), np.concatenate([span_of, mix64(gone[:, 1].view(U64))])
+        keep = keep[~busy]
         keep = keep[np.argsort(shard_of(h[keep], bits), kind="stable")]
-        covers = covers[np.argsort(shard_of(h[covers], bits), kind="stable")]
+        spans = spans[np.argsort(shard_of(span_of, bits), kind="stable")]
+        windows = windows[np.argsort(windows[:, 0].view(U64), kind="stable")]
         edges = np.arange(shards + 1)
-        cut, cut2 = np.searchsorted(shard_of(h[keep], bits), edges), np.searchsorted(shard_of(h[covers], bits), edges)
-        spans = np.stack([rid[covers], th[covers], pos[covers] - l_len[covers], pos[covers] + r_len[covers]], axis=1)
+        cut, cut2, cut3 = (np.searchsorted(np.sort(shard_of(x, bits)), edges) for x in (h[keep], span_of, windows[:, 0].copy().view(U64)))
         out = []
-        for s in range(shards):
-            k, c = keep[cut[s] : cut[s + 1]], spans[cut2[s] : cut2[s + 1]]
-            if len(k) or len(c):
-                out.append((s, len(k), *(x[k].tobytes() for x in (h, rid, th, pos, l_len, r_len)), body[k, : length + reach].tobytes(), c.tobytes()))
+        for s in np.flatnonzero(np.diff(cut) + np.diff(cut2) + np.diff(cut3)).tolist():
+            k = keep[cut[s] : cut[s + 1]]
+            out.append((s, len(k), *(x[k].tobytes() for x in (h, rid, th, pos, l_len, r_len)), body[k, : length + reach].tobytes(), spans[cut2[s] : cut2[s + 1]].tobytes(), windows[cut3[s] : cut3[s + 1]].tobytes()))
         cols = list(zip(*out))
         names = [x.split()[0] for x in _PACK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(cols)], names)
@@ -320,7 +412,7 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
         h, rid, th, pos, l_len, r_len = col("hash", np.uint64), col("rid"), col("th"), col("pos"), col("l_len"), col("r_len")
         ready = col("spans").reshape(-1, 4)
         body = col("body", np.uint8).reshape(-1, length + reach)
-        out = [ready]
+        out = [ready, first_windows(col("windows").reshape(-1, 5), length)[1]]
         if len(h):
             pad = np.zeros((len(h), -(length + reach) % 8), np.uint8)
             m = np.concatenate([np.concatenate([body, pad], axis=1).view(np.uint64), (l_len * 256 + r_len).astype(np.uint64)[:, None]], axis=1)
@@ -339,29 +431,19 @@ def repeated_spans(base: DataFrame, length: int = 100, gram: int = 32, max_filte
             hit = hi >= 0
             k = keep[hit]
             out.append(np.stack([rid[k], th[k], pos[k] - hi[hit], pos[k] - lo[hit] + length], axis=1))
-        got = np.concatenate(out)
-        # Spans of one document that touch become one.
-        order = np.lexsort((got[:, 2], got[:, 1], got[:, 0]))
-        got = got[order]
-        if len(got):
-            doc = np.concatenate([[0], np.cumsum((got[1:, :2] != got[:-1, :2]).any(axis=1))])
-            reach_to = np.maximum.accumulate(got[:, 3] + doc * (1 << 40)) - doc * (1 << 40)
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (got[1:, 2] > reach_to[:-1])])
-            first = np.flatnonzero(new)
-            stop = reach_to[np.concatenate([first[1:], [len(got)]]) - 1]
-            got = np.stack([got[first, 0], got[first, 1], got[first, 2], stop], axis=1)
+        got = merged(np.concatenate(out))
         trim()
         return pa.table({"rid": got[:, 0], "th": got[:, 1], "start": got[:, 2].astype(np.int32), "stop": got[:, 3].astype(np.int32)})
 
     return base.mapInArrow(contexts, _PACK).groupBy("shard").applyInArrow(solve, SPANS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tuple[str, ...] = (), max_filter_bits: int = 1 << 31) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, keep: tuple[str, ...] = (), max_filter_bits: int = 1 << 31, hot: int = 1 << 16) -> DataFrame:
     """doc_id, ``keep``, n_bytes, n_removed, n_spans, text (bytes that are left, binary)."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("rid"), F.xxhash64(text).alias("th"), *keep)
-    spans = materialize(repeated_spans(base.select("rid", "th", "text"), length, gram, max_filter_bits))
+    spans = materialize(repeated_spans(base.select("rid", "th", "text"), length, gram, max_filter_bits, hot))
     per_doc = spans.groupBy("rid", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     # A filter of the documents that lose something; a false positive only costs its text's shuffle.
     docs_hit = spans.select(F.xxhash64("rid", "th").alias("h")).distinct()
