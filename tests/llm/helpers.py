@@ -77,3 +77,28 @@ def unigrams(docs):
     c = Counter(x for d, t in docs if not held(d) for x in tokens(t))
     n, v = sum(c.values()), len(c)
     return n, [(d, held(d), len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens(t))) for d, t in docs]
+
+
+def bigrams(docs, strength=4.0):
+    """docs: (id, text). Each text's score under the pair model, with counts as the filter's levels show them; and the model."""
+    least = sorted({1, *(x << k for x in (2, 3) for k in range(40))})
+    low = lambda c: max((x for x in least if x <= c), default=0)
+    high = lambda c: next(x for x in least if x > c) - 1 if c else 0
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    trained = [tokens(t) for d, t in docs if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
+    word, context, pair, kept = Counter(), Counter(), Counter(), Counter()
+    for t in trained:
+        word.update(t)
+        context.update([None, *t])
+        pair.update(zip([None, *t], t))
+    context[b""] = word[b""]  # the end counts as a context that nothing follows
+    for (v, _), c in pair.items():
+        kept[v] += c if c > 1 else 0
+    n, size = sum(word.values()), len(word)
+
+    def p(v, w):
+        c = pair[v, w]
+        single = (low(word[w]) + 1) / (n + size + 1)
+        return (low(c if c > 1 else 0) + (strength + low(context[v] - kept[v])) * single) / (high(context[v]) + strength)
+
+    return [(d, sum(math.log10(p(v, w)) for v, w in zip([None, *tokens(t)], tokens(t)))) for d, t in docs], p, word

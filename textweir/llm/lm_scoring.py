@@ -1,27 +1,32 @@
 """N-gram LM scoring with a log-frequency Bloom filter.
 
-Training packs hashed n-grams and their counts by hash range (aggregated inside
-each task first, so a frequent word leaves a task once). A reducer sums its
-range and writes a slice of the filter: an n-gram with count c is inserted with
-the levels 1 .. level(c), level growing with log2 of the count; a count is found
-by probing level after level until one is missing. N-grams of two words and more
-are kept from ``min_count`` on, all of them: the filter grows with the corpus. Up
-to ``max_bits`` bits workers get it by broadcast. A larger one stays where it is:
-batches of texts send their packed distinct n-grams to the slices of their hash
-ranges, and the levels found come back to the batch.
-
-p(w | v) = weight * c(v w) / c(v) + (1 - weight) * p(w), p(w) = (c(w) + 1) / (N + V + 1)
-
-with counts as probed. The base score uses exact unigram counts: the most
-frequent of each hash range (``max_exact`` in all) are broadcast, the rest meet
-the texts' rare words in a join, which therefore has no hot key.
+Training packs words and word pairs with their counts by hash range (aggregated
+inside each task first, so a frequent word leaves a task once; a pair is two
+32-bit word hashes). Reducers sum their range and write slices of the filter: a
+count is inserted with the levels 1 .. level(count), levels being two a doubling,
+and found again by probing level after level until one is missing. Pairs are kept
+from a count of two on, all of them; what a context's other pairs held together,
+its loose mass, is kept beside its count. The filter grows with the corpus. Up to
+``max_bits`` bits workers get it by broadcast. A larger one stays where it is:
+batches of texts send the packed remainders of their distinct n-grams to the
+slices of their hash ranges, and the levels found come back to the batch.
+
+    p(w | v) = (c(v w) + (k + loose(v)) * p(w)) / (c(v) + k),    p(w) = (c(w) + 1) / (N + V + 1)
+
+Counts of pairs and words and the loose mass are read as the least value of their
+level, the count of the context as the greatest, so the probabilities of all words
+after v never add up to more than one. The base score uses exact unigram counts:
+the most frequent of each hash range (``max_exact`` in all) are broadcast, the
+rest meet the texts' rare words in a join, which therefore has no hot key.
 
 Defined results
 ---------------
-* null or empty text: the end token alone.
+* null or empty text: the end token alone, after the start of a text.
 * null ``doc_id``: its number's text is empty (crc32 0), so it is trained on.
 * rows with the same id and text get the same result, each its own row.
 * no training rows: N = V = 0, every count 0. Empty table: no rows.
+* texts of any length are counted and scored whole; ties don't arise. Extra
+  columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,18 +42,24 @@ from pyspark.sql import functions as F
 from textweir.llm.common import U64, Bits, RepeatFilter, materialize, mix64, n_shards, shard_of, small_batches
 
 END, START = U64(xxhash.xxh3_64_intdigest(b"")), U64(xxhash.xxh3_64_intdigest(b"\n"))
-_LEVEL = U64(0xA24BAED4963EE407)
+_LEVEL, _LOOSE, _PAIR = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(1 << 63)
+#: The least count of each level: 1, 2, 3, 4, 6, 8, 12, 16, ...
+LEAST = np.array(sorted({1, *(x << k for x in (2, 3) for k in range(60))}), np.int64)
 
 
 def level_of(c: np.ndarray) -> np.ndarray:
-    """1 for a count of one, and one more for each doubling."""
-    return np.frexp(c.astype(np.float64))[1].astype(np.int64)
+    """0 for none, then one more at each count of ``LEAST``."""
+    return np.searchsorted(LEAST, c, side="right")
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The count a level stands for: the middle of its counts."""
-    level = np.asarray(level, np.float64)
-    return np.where(level > 0, (2 ** (level - 1) + 2**level - 1) / 2, 0)
+def least_of(level: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return np.where(level > 0, LEAST[np.maximum(level, 1) - 1], 0)
+
+
+def most_of(level: np.ndarray) -> np.ndarray:
+    """The greatest count of a level."""
+    return np.where(level > 0, LEAST[np.minimum(level, len(LEAST) - 1)] - 1, 0)
 
 
 def at_level(keys: np.ndarray, level: int) -> np.ndarray:
@@ -64,37 +75,46 @@ def token_hashes(text: bytes) -> np.ndarray:
     return out
 
 
-def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of (word before, word); ``first`` are the positions where a text starts."""
+def pairs_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(word before, word) as two 32-bit hashes; ``first`` are the places where a text starts."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[first] = START
-    with np.errstate(over="ignore"):
-        return mix64(before * U64(0x9E3779B97F4A7C15) + h), before
+    return before & ~U64(0xFFFFFFFF) | h >> U64(32)
+
+
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """Filter keys of words: the first bit is 0, the hash range that of the word."""
+    return h >> U64(1)
+
+
+def loose_keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """Filter keys of the words' loose masses, in the ranges of the words."""
+    return in_shard(word_keys(h), mix64(h ^ _LOOSE), bits)
+
+
+def pair_keys(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Filter keys of pairs: the first bit is 1, then the hash range and 32 bits more."""
+    return mix64(pairs) >> U64(1) & ~U64((1 << (63 - 32 - (bits - 1))) - 1) | _PAIR
 
 
 class CountFilter:
-    """The broadcast filter: levels of any keys, by probes."""
+    """Levels of any keys, by probes. Ranges of words come first, then as many of pairs."""
 
-    def __init__(self, shards: int, slices: dict):
-        self.bits, self.filter = shards.bit_length() - 1, RepeatFilter(shards, slices)
-        self.shards = shards
+    def __init__(self, ranges: int, slices: dict, most: int):
+        self.bits, self.filter, self.most = ranges.bit_length() - 1, RepeatFilter(ranges, slices), most
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
-        level = 1
-        while len(alive):
-            # An n-gram's levels lie in its own slice: the top bits stay those of the key.
-            probe = self._in_shard(keys[alive], at_level(keys[alive], level))
-            alive = alive[self.filter.has(probe)]
+        for level in range(1, self.most + 1):
+            # A key's levels lie in its own slice: the top bits stay those of the key.
+            alive = alive[self.filter.has(in_shard(keys[alive], at_level(keys[alive], level), self.bits))]
+            if not len(alive):
+                break
             out[alive] = level
-            level += 1
         return out
 
-    def _in_shard(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return in_shard(keys, h, self.bits)
-
 
 def in_shard(keys: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
@@ -103,8 +123,40 @@ def in_shard(keys: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return keys & ~low | h & low
 
 
+def fill(keys: list[np.ndarray], levels: list[np.ndarray], bits: int, per_key: int) -> Bits:
+    """A filter slice with every level of its keys."""
+    k, n = np.concatenate(keys), np.concatenate(levels)
+    out = Bits(Bits.log2_for(int(n.sum()), per_key))
+    k, n, step = k[n > 0], n[n > 0], 1
+    while len(k):
+        out.add(in_shard(k, at_level(k, step), bits))
+        more = n > step
+        k, n, step = k[more], n[more], step + 1
+    return out
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their sums."""
+    k = np.concatenate([np.empty(0, U64), *keys])
+    if not len(k):
+        return k, np.empty(0, np.int64)
+    c = np.concatenate(counts).astype(np.int64)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(c[order], first)
+
+
+#: kind 0: words with counts; 1: pairs met once in a batch; 2: pairs with counts; 3: contexts with the mass of their kept pairs; 4: words summed by range
 _COUNTS = "shard int, kind int, keys binary, counts binary"
-_SLICE = "shard int, total long, distinct long, log2 int, bits binary, top_keys binary, top_counts binary, rest_keys binary, rest_counts binary"
+_PAIRS = "shard int, log2 int, bits binary, most int, words binary, counts binary, contexts binary, kept binary"
+_SLICE = "shard int, total long, distinct long, log2 int, bits binary, most int, top_keys binary, top_counts binary, rest_keys binary, rest_counts binary"
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
 def _batches(texts, limit: int = 4 << 20):
@@ -119,11 +171,17 @@ def _batches(texts, limit: int = 4 << 20):
         yield held
 
 
+def packed(keys: np.ndarray, counts: np.ndarray | None, kind: int, shard: np.ndarray, shards: int) -> list[tuple]:
+    """Rows of ``_COUNTS``; keys come sorted by their range."""
+    cut = np.searchsorted(shard, np.arange(shards + 1))
+    return [(s, kind, keys[cut[s] : cut[s + 1]].tobytes(), b"" if counts is None else counts[cut[s] : cut[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(cut)).tolist()]
+
+
 class Model:
     """What training gathered: the filter (broadcast if small) and its slices, exact counts of frequent words, and the table of the rest."""
 
-    def __init__(self, total, distinct, counts, slices, shards, top, rest):
-        self.total, self.distinct, self.counts, self.slices, self.shards, self.top, self.rest = total, distinct, counts, slices, shards, top, rest
+    def __init__(self, total, distinct, counts, slices, shards, most, top, rest):
+        self.total, self.distinct, self.counts, self.slices, self.shards, self.most, self.top, self.rest = total, distinct, counts, slices, shards, most, top, rest
 
 
 def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exact: int = 1 << 20, per_key: int = 14) -> Model:
@@ -132,60 +190,91 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
     shards = n_shards(docs, per_shard=8 << 20)
     bits = shards.bit_length() - 1
 
-    def pack(keys, kind):
-        u, c = np.unique(keys, return_counts=True)
-        c = c.astype(np.uint32)
-        cut = np.searchsorted(shard_of(u, bits), np.arange(shards + 1))
-        return [(s, kind, u[a:b].tobytes(), c[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-
     def count(batches):
         for b in batches:
             for texts in _batches((t.as_py() for t in b.column(0)), 8 << 20):
                 parts = [token_hashes(t) for t in texts]
                 h = np.concatenate(parts)
                 first = np.cumsum([0, *map(len, parts[:-1])])
-                rows = pack(h, 0) + pack(pair_keys(h, first)[0], 1)
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["shard", "kind", "keys", "counts"])
-
-    def total_of(t, kind):
-        mask = t["kind"].to_numpy() == kind
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x, m in zip(t["keys"], mask) if m]
-        counts = [np.frombuffer(x.as_py(), np.uint32) for x, m in zip(t["counts"], mask) if m]
-        if not keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(k)
-        k = k[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[first], np.add.reduceat(c[order], first)
-
-    def build(t: pa.Table) -> pa.Table:
-        words, n = total_of(t, 0)
-        pairs, m = total_of(t, 1)
+                w, n = np.unique(np.concatenate([h, np.full(len(texts), START)]), return_counts=True)
+                rows = packed(w, n.astype(np.uint32), 0, shard_of(w, bits), shards)
+                p, n = np.unique(pairs_of(h, first), return_counts=True)
+                shard = shard_of(mix64(p), bits)
+                order = np.argsort(shard, kind="stable")
+                p, n, shard = p[order], n[order].astype(np.uint32), shard[order]
+                once = n == 1
+                rows += packed(p[once], None, 1, shard[once], shards) + packed(p[~once], n[~once], 2, shard[~once], shards)
+                yield _batch(_COUNTS, rows)
+
+    def of_kind(t, kind, key=U64):
+        held = [(k.as_py(), c.as_py()) for k, c, x in zip(t["keys"], t["counts"], t["kind"].to_pylist()) if x == kind]
+        keys = [np.frombuffer(k, key) for k, _ in held]
+        return keys, [np.frombuffer(c, np.uint32 if kind < 3 else np.int64) if c else np.ones(len(k), np.uint32) for k, (_, c) in zip(keys, held)]
+
+    def count_pairs(t: pa.Table) -> pa.Table:
+        """The slice of a range of pairs, and what its kept pairs are to their contexts."""
         shard = t["shard"][0].as_py()
-        w_level = level_of(n)
+        words, n = summed(*of_kind(t, 0))
+        (a, x), (b, y) = of_kind(t, 1), of_kind(t, 2)
+        pairs, m = summed(a + b, x + y)
         keep = m >= min_count
-        pairs, p_level = pairs[keep], level_of(m[keep])
-        out = Bits(Bits.log2_for(int(w_level.sum() + p_level.sum()), per_key))
-        for keys, level in ((words, w_level), (pairs, p_level)):
-            step = 1
-            while len(keys):
-                out.add(in_shard(keys, at_level(keys, step), bits))
-                more = level > step
-                keys, level, step = keys[more], level[more], step + 1
+        pairs, m = pairs[keep], m[keep]
+        level = level_of(m)
+        out = fill([pair_keys(pairs, bits + 1)], [level], bits + 1, per_key)
+        contexts, kept = summed([pairs >> U64(32)], [m])
+        return pa.Table.from_batches([_batch(_PAIRS, [(shard, out.log2, out.words.tobytes(), int(level.max(initial=0)), words.tobytes(), n.tobytes(), contexts.astype(np.uint32).tobytes(), kept.tobytes())])])
+
+    table = materialize(docs.select("text").mapInArrow(count, _COUNTS).groupBy("shard").applyInArrow(count_pairs, _PAIRS))
+
+    def to_words(batches):
+        """Counts of words as they are, and the mass of contexts by the words' ranges, summed in each task first."""
+        held: list[tuple] = []
+
+        def flush():
+            contexts, kept = summed([np.concatenate([k for k, _ in held])], [np.concatenate([c for _, c in held])])
+            held.clear()
+            return packed(contexts.astype(np.uint32), kept, 3, shard_of(contexts << U64(32), bits), shards)
+
+        for b in batches:
+            for shard, words, n, contexts, kept in zip(*(b.column(c).to_pylist() for c in ("shard", "words", "counts", "contexts", "kept"))):
+                yield _batch(_COUNTS, [(shard, 4, words, n)])
+                held.append((np.frombuffer(contexts, np.uint32).astype(U64), np.frombuffer(kept, np.int64)))
+                if sum(len(k) for k, _ in held) >= 1 << 21:
+                    yield _batch(_COUNTS, flush())
+        if held and (rows := flush()):
+            yield _batch(_COUNTS, rows)
+
+    def count_words(t: pa.Table) -> pa.Table:
+        """The slice of a range of words: counts and loose masses."""
+        shard = t["shard"][0].as_py()
+        words, n = summed(*of_kind(t, 4))
+        contexts, kept = summed(*(lambda k, c: ([x.astype(U64) for x in k], c))(*of_kind(t, 3, np.uint32)))
+        # Words of one 32-bit hash are one context.
+        of, at = np.unique(words >> U64(32), return_inverse=True)
+        mass = np.zeros(len(of), np.int64)
+        np.add.at(mass, at, n)
+        if len(contexts) and len(of):
+            place = np.minimum(np.searchsorted(of, contexts), len(of) - 1)
+            hit = of[place] == contexts
+            np.subtract.at(mass, place[hit], kept[hit])
+        level, loose = level_of(n), level_of(np.maximum(mass, 0))[at]
+        out = fill([word_keys(words), loose_keys(words, bits + 1)], [level, loose], bits + 1, per_key)
+        n = np.where(words == START, 0, n)  # a context, but no token
+        words, n = words[n > 0], n[n > 0]
         top = np.zeros(len(words), bool)
         most_exact = max(1, max_exact // shards)
         top[np.argpartition(-n, min(most_exact, len(n) - 1))[:most_exact] if len(n) else []] = True
-        row = (shard, int(n.sum()), len(words), out.log2, out.words.tobytes(), words[top].tobytes(), n[top].tobytes(), words[~top].tobytes(), n[~top].tobytes())
-        return pa.table({c.split()[0]: [v] for c, v in zip(_SLICE.split(", "), row)}, schema=pa.schema([("shard", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("log2", pa.int32()), ("bits", pa.binary()), ("top_keys", pa.binary()), ("top_counts", pa.binary()), ("rest_keys", pa.binary()), ("rest_counts", pa.binary())]))
+        row = (shard, int(n.sum()), len(words), out.log2, out.words.tobytes(), int(max(level.max(initial=0), loose.max(initial=0))), words[top].tobytes(), n[top].tobytes(), words[~top].tobytes(), n[~top].tobytes())
+        return pa.Table.from_batches([_batch(_SLICE, [row])])
 
-    table = materialize(docs.select("text").mapInArrow(count, _COUNTS).groupBy("shard").applyInArrow(build, _SLICE))
-    rows = table.drop("rest_keys", "rest_counts", "bits").collect()
+    words = materialize(table.drop("log2", "bits", "most").mapInArrow(to_words, _COUNTS).groupBy("shard").applyInArrow(count_words, _SLICE))
+    rows = words.drop("rest_keys", "rest_counts", "bits").collect()
     total, distinct = sum(r.total for r in rows), sum(r.distinct for r in rows)
-    slices, counts = table.select("shard", "log2", "bits"), None
-    if sum(1 << r.log2 for r in rows) <= max_bits:
-        counts = spark.sparkContext.broadcast(CountFilter(shards, {r.shard: (r.log2, bytes(r.bits)) for r in slices.collect()}))
+    slices = words.select("shard", "log2", "bits", "most").unionByName(table.select((F.col("shard") + shards).alias("shard"), "log2", "bits", "most"))
+    size, most = slices.agg(F.sum(F.octet_length("bits")), F.max("most")).collect()[0]
+    counts = None
+    if (size or 0) * 8 <= max_bits:
+        counts = spark.sparkContext.broadcast(CountFilter(2 * shards, {r.shard: (r.log2, bytes(r.bits)) for r in slices.collect()}, most or 0))
     keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.top_keys, np.uint64) for r in rows)])
     c = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r.top_counts, np.int64) for r in rows)])
     order = np.argsort(keys)
@@ -198,18 +287,18 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
                 for i in range(0, len(k), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["word", "c"])
 
-    return Model(total, distinct, counts, slices, shards, top, table.select("rest_keys", "rest_counts").mapInArrow(rest, "word long, c long"))
+    return Model(total, distinct, counts, slices, shards, most or 0, top, words.select("rest_keys", "rest_counts").mapInArrow(rest, "word long, c long"))
 
 
-def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, model: Model, strength: float = 4.0) -> DataFrame:
     """doc_id, th, n_tokens, n_known, base_score, score of each distinct row of ``docs`` (doc_id, th, text), and its copies."""
     total, distinct = model.total, model.distinct
     denominator = total + distinct + 1
-    counts, top, bits = model.counts, model.top, model.shards.bit_length() - 1
+    counts, top, bits, most = model.counts, model.top, model.shards.bit_length(), model.most  # bits of a range of words or pairs
 
     def measure(ids, ths, texts, look_up):
-        """Results of some texts; ``look_up`` takes the words and pairs and gives the function from keys to levels."""
-        keys, exact = top.value
+        """Results of some texts; ``look_up`` gives the levels of filter keys."""
+        known_words, exact = top.value
         n_rows = len(texts)
         parts = [token_hashes(t) for t in texts]
         h = np.concatenate(parts)
@@ -217,25 +306,25 @@ def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
         first = np.cumsum(lens) - lens
         doc = np.repeat(np.arange(n_rows), lens)
         u, inv = np.unique(h, return_inverse=True)
-        place = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-        known = keys[place] == u if len(keys) else np.zeros(len(u), bool)
-        c = np.where(known, exact[place], 0) if len(keys) else np.zeros(len(u), np.int64)
+        place = np.minimum(np.searchsorted(known_words, u), max(0, len(known_words) - 1))
+        known = known_words[place] == u if len(known_words) else np.zeros(len(u), bool)
+        c = np.where(known, exact[place], 0) if len(known_words) else np.zeros(len(u), np.int64)
         part = np.where(known, np.log10((c + 1) / denominator), 0.0)
         base = np.bincount(doc, part[inv], n_rows)
         n_known = np.bincount(doc, known[inv], n_rows).astype(np.int64)
-        # The model: probes for words, then for pairs.
-        pair, before = pair_keys(h, first)
-        v, inv2 = np.unique(pair, return_inverse=True)
-        levels = look_up(u, v)
-        c1 = count_of(levels(u))
-        c2 = count_of(levels(v))[inv2]
-        start = count_of(levels(np.array([END])))[0]  # as many starts as ends
-        c_before = np.empty(len(h))
-        c_before[1:] = c1[inv[:-1]]
-        c_before[first] = start
-        single = (c1[inv] + 1) / denominator
-        seen = np.where(c2 > 0, c2 / np.maximum(np.maximum(c_before, c2), 1), 0.0)
-        logs = np.bincount(doc, np.log10(weight * seen + (1 - weight) * single), n_rows)
+        # The model: probes for words, contexts and pairs.
+        p, inv2 = np.unique(pairs_of(h, first), return_inverse=True)
+        contexts = np.append(u, START)
+        keys = [word_keys(contexts), loose_keys(contexts, bits), pair_keys(p, bits)]
+        found = look_up(np.concatenate(keys))
+        of_word, of_loose, of_pair = np.split(found, np.cumsum(list(map(len, keys[:-1]))))
+        before = np.empty(len(h), np.int64)
+        before[1:] = inv[:-1]
+        before[first] = len(u)
+        single = ((least_of(of_word) + 1) / denominator)[inv]
+        loose, mass = least_of(of_loose)[before], most_of(of_word)[before]
+        p = (least_of(of_pair)[inv2] + (strength + loose) * single) / (mass + strength)
+        logs = np.bincount(doc, np.log10(p), n_rows)
         rare = np.flatnonzero(~known[inv])
         order = np.lexsort((h[rare], doc[rare]))
         r_doc, r_word = doc[rare][order], h[rare][order]
@@ -253,18 +342,28 @@ def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
         for b in batches:
             at = 0
             for texts in _batches(t.as_py() for t in b.column("text")):
-                yield measure(b.column("doc_id").slice(at, len(texts)), b.column("th").slice(at, len(texts)), texts, lambda u, v: counts.value.levels)
+                yield measure(b.column("doc_id").slice(at, len(texts)), b.column("th").slice(at, len(texts)), texts, counts.value.levels)
                 at += len(texts)
 
-    def asked(u, v):
-        """All keys of a batch, in order, and where each hash range begins."""
-        keys = np.unique(np.concatenate([u, v]))  # the end token is among the words
+    def asked(h, first):
+        """The distinct filter keys of a batch, in order, and where each hash range begins."""
+        w = np.append(np.unique(h), START)
+        keys = np.unique(np.concatenate([word_keys(w), loose_keys(w, bits), pair_keys(np.unique(pairs_of(h, first)), bits)]))
         return keys, np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
 
+    def rest_of(keys, shard):
+        """A range's keys without its number: pairs need 32 bits, words what is left of 64."""
+        return (keys >> U64(32 - bits)).astype(np.uint32) if shard >> (bits - 1) else keys
+
+    def whole_of(raw, shard):
+        if not shard >> (bits - 1):
+            return np.frombuffer(raw, U64)
+        return np.frombuffer(raw, np.uint32).astype(U64) << U64(32 - bits) | U64(shard) << U64(64 - bits)
+
     def hold(batches):
         for b in batches:
             at = 0
-            for texts in _batches(t.as_py() for t in b.column("text")):
+            for texts in _batches((t.as_py() for t in b.column("text")), 8 << 20):
                 whole, n = b"".join(texts), len(texts)
                 cols = [[uuid.uuid4().hex], [b.column("doc_id").slice(at, n).to_pylist()], [b.column("th").slice(at, n).to_pylist()], [[len(t) for t in texts]], [len(whole)], [pa.compress(whole, "zstd", asbytes=True)]]
                 kinds = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.binary()]
@@ -280,30 +379,29 @@ def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
         for b in batches:
             for batch, lens, size, data in zip(*(b.column(c).to_pylist() for c in ("batch", "lens", "size", "texts"))):
                 parts = [token_hashes(t) for t in unpack(lens, size, data)]
-                h = np.concatenate(parts)
-                keys, cut = asked(h, pair_keys(h, np.cumsum([0, *map(len, parts[:-1])]))[0])
-                some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some)), pa.array(some, pa.int32()), pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())], ["batch", "shard", "keys"])
+                keys, cut = asked(np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]))
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some)), pa.array(some, pa.int32()), pa.array([rest_of(keys[cut[k] : cut[k + 1]], k).tobytes() for k in some], pa.binary())], ["batch", "shard", "keys"])
 
     def answer(asks: pa.Table, part: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in asks["keys"]]
+        keys = [whole_of(k.as_py(), s) for k, s in zip(asks["keys"], asks["shard"].to_pylist())]
         found = [np.zeros(len(k), np.uint8) for k in keys]
         if keys and part.num_rows:
-            f = CountFilter(1 << bits, {part["shard"][0].as_py(): (part["log2"][0].as_py(), part["bits"][0].as_py())})
+            f = CountFilter(1 << bits, {part["shard"][0].as_py(): (part["log2"][0].as_py(), part["bits"][0].as_py())}, most)
             found = np.split(f.levels(np.concatenate(keys)).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"batch": asks["batch"], "shard": asks["shard"], "levels": pa.array([x.tobytes() for x in found], pa.binary())})
 
     def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = held.to_pylist()
 
-        def look_up(u, v):
-            keys, cut = asked(u, v)
-            level = np.zeros(len(keys), np.int64)
-            for k, x in zip(answers["shard"].to_pylist(), answers["levels"].to_pylist()):
-                level[cut[k] : cut[k + 1]] = np.frombuffer(x, np.uint8)
-            return lambda some: level[np.searchsorted(keys, some)]
-
-        return pa.Table.from_batches([measure(pa.array(row["ids"], pa.int64()), pa.array(row["ths"], pa.int64()), unpack(row["lens"], row["size"], row["texts"]), look_up)])
+        texts = unpack(row["lens"], row["size"], row["texts"])
+        parts = [token_hashes(t) for t in texts]
+        keys, cut = asked(np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]))
+        level = np.zeros(len(keys), np.int64)
+        for k, x in zip(answers["shard"].to_pylist(), answers["levels"].to_pylist()):
+            level[cut[k] : cut[k + 1]] = np.frombuffer(x, np.uint8)
+        look_up = lambda some: level[np.searchsorted(keys, some)]
+        return pa.Table.from_batches([measure(pa.array(row["ids"], pa.int64()), pa.array(row["ths"], pa.int64()), texts, look_up)])
 
     schema = "doc_id long, th long, n_tokens long, n_known long, base_score double, score double, words array<long>, tfs array<long>"
     texts = docs.select("doc_id", "th", "text")
@@ -323,14 +421,14 @@ def score(docs: DataFrame, model: Model, weight: float = 0.1) -> DataFrame:
     return out.select("doc_id", "th", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("base_score") / F.col("copies")).alias("base_score"), "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, weight: float = 0.1, **options) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, strength: float = 4.0, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds) == held
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"), held_out.alias("held_out"))
     model = train(base.filter(~F.col("held_out")).select("text"), **options)
-    out = score(base.select("doc_id", "th", "text"), model, weight)
+    out = score(base.select("doc_id", "th", "text"), model, strength)
     held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds) == held
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
