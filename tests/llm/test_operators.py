@@ -72,10 +72,17 @@ def test_line_dedup_with_a_full_filter(docs, rows):
 
 
 def test_quality_rules(docs, rows, empty):
-    from textweir.llm.quality_rules import line_first_rules, line_fails, repeated_words
+    from textweir.llm.quality_rules import failing_lines, line_fails, line_first_rules, repeated_words
 
     assert line_fails(b"a | b | c | d") and line_fails(b"BUY!! NOW!! HERE!! OK!!") and line_fails(b"Released under the MIT License.")
     assert not line_fails(b"A plain sentence with words, and more.") and not line_fails(b" \t")
+    assert line_fails(b"Home | About | Contact") and line_fails(b"  Home About Us Contact ") and line_fails(b"Next Previous >>") and not line_fails(b"We went home to search for help.")
+    assert line_fails(" ".join(["Wörter"] * 25).encode()) and not line_fails((" ".join(["wörter"] * 30) + "。").encode()) and not line_fails(b"word " * 24)
+    long = b"word, " * 30
+    assert line_fails(b"all rights reserved, " + b"x " * 20) and not line_fails(b"all rights reserved " + long) and line_fails(b"all rights reserved, privacy policy " + b"x, " * 30)
+    labels = [b"Red shoes", b"", b"Blue shoes", b"Hats", b"Coats and gloves"]
+    assert failing_lines(labels) == [True, False, True, True, True] and failing_lines([*labels[:4], b"So we left."]) == [False] * 5
+    assert failing_lines([b"Prose, with marks."] * 5) == [False] * 5 and failing_lines([b"x", *labels]) == [True, True, False, True, True, True]
     assert repeated_words(b"a b c d e a b c d e".split()) == 10 and repeated_words(b"a a a a a a".split()) == 6 and repeated_words(b"a b c d e".split()) == 0
     out = line_first_rules(docs)
     assert out.count() == len(rows)
@@ -85,6 +92,25 @@ def test_quality_rules(docs, rows, empty):
     assert line_first_rules(empty).count() == 0
 
 
+def test_quality_rules_against_sql(spark, tmp_path):
+    """Lines of every rule, in texts that also have nulls, ties and repeated rows."""
+    import duckdb
+
+    from textweir.llm.quality_rules import OP3_SQL, op3_quality_rules
+
+    r = random.Random(31)
+    pool = ["Home About Contact", "Login Register Search |", "Red shoes", "Hats", "", " \t", "A sentence of prose, closed.", "all rights reserved", "Licensed under X " * 9, "w " * 26, "BUY!! NOW!! IT!! IS!!", "# a | b", "é … d’une “chose”", "文章です。", "{ x }", "word " * 12 + "terms of use", "Terms of use privacy policy " + "y, " * 40, "back to top", "Next Page", "Sign in", "tail\u00a0nbsp", "x y z w"]
+    table = [(i, "\n".join(r.choices(pool, k=r.randint(0, 14)))) for i in range(400)] + [(None, None), (7, "Hats\nHats\nHats\nHats")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(OP3_SQL).fetchall()
+    names = [c[0] for c in con.sql(OP3_SQL).description]
+    got = op3_quality_rules(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert {g.kept for g in got if not g.base_failed} == {True, False}
+
+
 def test_url_filters(spark):
     from textweir.llm.url_filters import RULES, judge_by_join, judge_urls
 
