@@ -245,7 +245,7 @@ def test_lower_bound_holds():
 def test_edit_counts(spark, rows):
     from tokenizers import Tokenizer
 
-    from textweir.llm.token_counts import edit_counts, op2_token_counts, redaction_edits, segments
+    from textweir.llm.token_counts import edit_counts, redaction_edits, segments
 
     tok = Tokenizer.from_file(PATH)
     count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
@@ -266,7 +266,43 @@ def test_edit_counts(spark, rows):
     assert by_id(edit_counts(df, PATH, segment=16, with_text=True), "doc_id", "n_tokens", "n_tokens_after", "text") == sorted(want, key=repr)
     assert "".join(segments("a b  c " * 99, 16)) == "a b  c " * 99
     found = redaction_edits(spark.createDataFrame([(1, "mail a.b@c.org or 10.0.0.1, 5555-123456 end")], "doc_id long, text string")).collect()[0]
-    assert len(found.edits) == 3 and op2_token_counts is not None
+    assert len(found.edits) == 3
+
+
+def test_op2_redacts_and_counts_whole_documents(spark, tmp_path):
+    """The query itself against the substitution of every match and the encoding of whole texts."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    from textweir.llm.token_counts import op2_token_counts
+
+    plain = r"[\w.+-]+@[\w-]+\.[\w.]+|\b[0-9a-f]{32,}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d(?:[ -]?\d){6,}\b"
+    r = random.Random(41)
+    odd = ["a.b@c.org", "@@x", "+a-b.@d-e.f.g", "abcdef" * 6, "0" * 31, "f" * 32 + "g", "f" * 40, "10.0.0.1", "1.2.3", "٣٤٥٦٧٨٩", "4111 1111 1111 1111", "555-1234", "x@y", "word", "\n", "é@ü.de", "a" * 300 + "@b.c"]
+    table = [(i, " ".join(r.choices(odd, k=r.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "x" * 20_000 + " " + "f" * 36), (None, "a@b.c"), (62, "a@b.cd " * 900)]
+    spark.createDataFrame(table, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(PATH)
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    want = [(d, count(t or ""), len(re.findall(plain, t or "")), count(re.sub(plain, "[redacted]", t or "")), len(re.sub(plain, "[redacted]", t or ""))) for d, t in table]
+    got = by_id(op2_token_counts(spark, str(tmp_path)), "doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars")
+    assert got == sorted(want, key=repr) and sum(w[2] for w in want) > 200
+
+
+def test_a_segment_that_grows_is_cut_anew():
+    from textweir.llm.bpe import WordEncoder
+    from textweir.llm.token_counts import TokenTree, segments
+
+    enc, r = WordEncoder(PATH), random.Random(42)
+    cut = segments("one two three " * 40, 64)
+    tree, text = TokenTree(cut, enc.counts(cut), enc, 64), "one two three " * 40
+    for _ in range(400):  # all at one place
+        word = r.choice(["alpha ", "beta, ", "gamma\n", " "])
+        at = 100 + r.randint(0, 3)
+        text = text[:at] + word + text[at:]
+        assert tree.edit(at, at, word) == enc.counts([text])[0]
+    assert tree.text() == text and tree.size == len(text)
+    assert max(map(len, tree.leaves)) < 400 and tree.encoded < 400 * 400
 
 
 def test_simhash(spark, docs, rows, empty):

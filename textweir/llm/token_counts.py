@@ -5,7 +5,9 @@ a token always ends: before a space that a visible character follows. A segment
 tree over them holds characters and tokens of every subtree. An edit finds the
 segments it touches, with two characters of context on either side (the
 boundary rule looks that far), re-encodes only those, and updates the sums on
-the way up. The count is always that of encoding the whole new text.
+the way up. A region that has outgrown its segments is cut anew and the tree built
+again from the counts there are, without encoding more. The count is always that
+of encoding the whole new text.
 
 Defined results
 ---------------
@@ -13,6 +15,7 @@ Defined results
 * null, empty or overlong edits: an edit is clipped to the text; null edit
   lists, and edits with a null bound, do nothing; a null replacement is empty.
 * overlapping edits apply in the order given, each to the text as it is then.
+* texts of any length are counted whole. Ties don't arise.
 * null ids, repeated rows, extra columns named in ``keep``: each row by itself.
 * empty table: no rows.
 """
@@ -48,9 +51,12 @@ def segments(text: str, size: int = 256) -> list[str]:
 class TokenTree:
     """Segment tree of characters and tokens; leaves hold the text."""
 
-    def __init__(self, leaves: list[str], counts, enc: WordEncoder):
-        self.enc, self.leaves, self.encoded = enc, list(leaves), 0
-        self.base = 1
+    def __init__(self, leaves: list[str], counts, enc: WordEncoder, segment: int = 256):
+        self.enc, self.encoded, self.segment = enc, 0, segment
+        self._build(list(leaves), counts)
+
+    def _build(self, leaves: list[str], counts) -> None:
+        self.leaves, self.base = leaves, 1
         while self.base < len(leaves):
             self.base *= 2
         self.chars = [0] * (2 * self.base)
@@ -101,12 +107,14 @@ class TokenTree:
         z, z_at = self._find(min(self.size, end + CONTEXT))
         old = "".join(self.leaves[a : z + 1])
         region = old[: start - a_at] + new + old[end - a_at :]
-        parts = segments(region)
-        room = z - a + 1
-        if len(parts) > room:
-            parts[room - 1 :] = ["".join(parts[room - 1 :])]
+        parts = segments(region, self.segment)
         counts = self.enc.counts(parts)
         self.encoded += len(region)
+        room = z - a + 1
+        if len(parts) > room:
+            held = self.tokens[self.base : self.base + len(self.leaves)]
+            self._build(self.leaves[:a] + parts + self.leaves[z + 1 :], [*held[:a], *counts.tolist(), *held[z + 1 :]])
+            return self.count
         for k in range(room):
             t = parts[k] if k < len(parts) else ""
             if t or self.leaves[a + k]:
@@ -141,7 +149,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, edits: str = "edits", keep: tup
                         size = sum(map(len, c))
                         rows.append((before, 0, before, size, 0, "".join(c)))
                         continue
-                    tree = TokenTree(c, n, enc)
+                    tree = TokenTree(c, n, enc, segment)
                     for e in todo:
                         tree.edit(e["start"], e["stop"], e["new"] or "")
                     rows.append((before, len(todo), tree.count, tree.size, tree.encoded, tree.text()))
@@ -152,8 +160,10 @@ def edit_counts(docs: DataFrame, tokenizer: str, edits: str = "edits", keep: tup
     return base.mapInArrow(run, schema)
 
 
-#: What a redaction replaces: mail addresses, card and phone numbers, long hexadecimal keys, addresses of hosts.
-REDACTIONS = r"[\w.+-]+@[\w-]+\.[\w.]+|\b[0-9a-f]{32,}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d(?:[ -]?\d){6,}\b"
+#: What a redaction replaces: mail addresses, long hexadecimal keys, addresses of hosts, card and phone numbers.
+REDACTIONS = r"(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.]+|\b[0-9a-f]{32,}+\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d(?:[ -]?\d){6,}\b"
+#: One of these is in every text that ``REDACTIONS`` matches somewhere.
+_NEEDED = tuple(map(re.compile, ("@", r"\d", "[a-f]{32}")))
 
 
 def redaction_edits(docs: DataFrame, pattern: str = REDACTIONS, new: str = "[redacted]", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -163,14 +173,9 @@ def redaction_edits(docs: DataFrame, pattern: str = REDACTIONS, new: str = "[red
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("new", pa.string())]))
 
     def find(batches):
-        rx = re.compile(pattern)
+        rx, needed = re.compile(pattern), _NEEDED if pattern == REDACTIONS else (re.compile(""),)
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                if "@" in t or any(c in t for c in "0123456789"):
-                    out.append([{"start": m.start(), "stop": m.end(), "new": new} for m in rx.finditer(t)][::-1])
-                else:
-                    out.append([])
+            out = [[{"start": m.start(), "stop": m.end(), "new": new} for m in rx.finditer(t)][::-1] if any(x.search(t) for x in needed) else [] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, "edits"])
 
     return base.mapInArrow(find, schema)
