@@ -112,7 +112,7 @@ def test_quality_rules_against_sql(spark, tmp_path):
 
 
 def test_url_filters(spark):
-    from textweir.llm.url_filters import RULES, judge_by_join, judge_urls
+    from textweir.llm.url_filters import RULE, RULES, host_path, judge_by_join, judge_urls
 
     urls = ["https://example.org/es/1", "https://a.b.Example.org/en/12?x", "http://example.org", "http://x.org/a#b", "ftp://com/fr/", "http://www.com/de/x/fr/", "http://acom/fr/", None, "", "no scheme", "http://", "://org/", "http://forg/", "http://example.org/en/1", "http://example.org/e", "http://u:p@org:8/x"]
     pages = spark.createDataFrame([(i % 12, u, "x", "y") for i, u in enumerate(urls * 2)], "page_id long, url string, host string, key string")
@@ -123,7 +123,34 @@ def test_url_filters(spark):
     got = {r.page_id: r.rule for r in judge_urls(one).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    assert judge_by_join is not None and len(RULES) == 5
+    table = spark.createDataFrame(RULES, RULE)
+    for rules, bound in ((table, 1), (table, 10)):
+        assert by_id(judge_urls(pages, rules, max_broadcast_rules=bound), "page_id", "host", "path", "rule", "verdict") == a
+    host, path = host_path(pages.url)
+    salted = judge_by_join(pages.select("page_id", host.alias("host"), path.alias("path")), table, "allow", hot=1, salts=3)
+    assert by_id(salted, "page_id", "host", "path", "rule", "verdict") == a
+
+
+def test_url_filters_against_every_rule(spark):
+    """The longest fitting rule by a plain search, for many nested rules and hosts."""
+    from textweir.llm.url_filters import judge_urls
+
+    r = random.Random(51)
+    host = lambda: ".".join(r.choices(["a", "b", "co", "uk", "org"], k=r.randint(1, 4)))
+    path = lambda: "".join(r.choices(["/", "x", "y", "/x"], k=r.randint(0, 4)))
+    rules = sorted({(host(), "/" + path()): r.choice(["allow", "block"]) for _ in range(80)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    urls = [f"http://{host()}/{path()}{r.choice(['', '?q=/x', '#y'])}" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    want = []
+    for i, u in enumerate(urls):
+        h, _, p = u[7:].partition("/")
+        p = "/" + p.split("?")[0].split("#")[0]
+        fits = [(len(a) + len(b), len(a), v == "block", a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        best = max(fits, default=None)
+        want.append((i, h, p, best and best[3], best[4] if best else "block"))
+    for bound in (1000, 1):
+        assert by_id(judge_urls(pages, rules, "block", bound), "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
 
 
 ODD = ["a  b", "\n\nx", " x ", "x\n", "", "a\tb c", "é ñ x <|endoftext|> y", "don't I'll  \n  z", "x\n y", "日本 語", "a ​z", "🙂 🙂🙂x", "1 2\n3", "a\nb\nc.", "\n", "'tis a.b,c !!x", "Ünî.", "x²", "ª", " a", "\r", "a \x00 b"]
@@ -208,23 +235,34 @@ def test_token_shards_are_read_by_offsets(tmp_path):
 
 
 def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+
     from textweir.llm.common import materialize
     from textweir.llm.packing import lower_bound, pack, token_pieces
 
+    tok, want = Tokenizer.from_file(PATH), {}
+    for d, t in rows:  # pieces from the end, so that only the first may be shorter; rows that share an id all count
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        cuts = [0, *range((len(ids) - 1) % 64 + 1, len(ids) + 1, 64)]
+        want.setdefault(d, []).extend((k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:])))
+    want = {d: sorted(x) for d, x in want.items()}
     pieces = materialize(token_pieces(docs, PATH, 64))
+    for r in materialize(token_pieces(docs, PATH, 64, with_ids=True)).collect():
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     for size in (7, 1 << 18):
         got = pack(pieces, 64, per_group=size).collect()
         assert len(got) == pieces.count()
         by, docs_of = {}, {}
         for r in got:
             by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-            docs_of.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+            docs_of.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
         for seq in by.values():
             at = 0
             for offset, length in sorted(seq):
                 assert offset == at
                 at += length
             assert at <= 64
+        assert {d: sorted(x) for d, x in docs_of.items()} == want
         counts = np.bincount([r.length for r in got if r.length < 64], minlength=65)
         bound = lower_bound(counts, 64) + sum(r.length == 64 for r in got)
         assert bound <= len(by) <= 1.02 * bound  # groups of seven pieces, too

@@ -9,6 +9,8 @@ Defined results
 * null or empty text: one empty line, never dropped.
 * null ``doc_id``: a document of its own that ranks below every id; rows that
   share an id are one document for counting, and each is returned.
+* ties: rows that share the largest id all keep the key's lines. Texts and lines of
+  any length are judged whole.
 * keys shorter than ``min_chars`` code points are never dropped.
 * empty table: no rows. Other columns of the input are ignored, or kept where
   named in ``keep`` (any name but those of the result).

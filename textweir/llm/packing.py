@@ -13,7 +13,8 @@ Defined results
 * null or empty text: one piece that is the end id.
 * null ids and repeated rows: each row is packed by itself.
 * ties in length: any order; the number of sequences doesn't depend on it.
-* empty table: no rows. Extra columns are ignored.
+* texts of any length are encoded whole and cut only where they exceed ``capacity``.
+* empty table: no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,13 +8,15 @@ with a stack of the active nested host rules, and tests their path prefixes.
 The longest rule (host and path together) wins; of two as long, the one with
 the longer host, then ``block``.
 
-Rules are broadcast only up to ``max_broadcast_rules``; beyond that every page
-meets its host suffixes' rules by an equi-join with the same result.
+Rules (a list, or a DataFrame of r_host, r_path, r_verdict) are broadcast only up to
+``max_broadcast_rules``; beyond that every page meets its host suffixes' rules by
+an equi-join with the same result, the suffixes of many pages spread by salts.
 
 Defined results
 ---------------
 * null url, or one without ``://``: host and path empty, so no rule fits.
 * null page ids, repeated rows and extra columns: each row is judged alone.
+* hosts and paths of any length are judged whole; ties as above.
 * no fitting rule: rule null, verdict ``default``. Empty tables: no rows.
 """
 
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textweir.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -85,9 +89,14 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow", max_broadc
     """page_id, host, path, rule, verdict of each row."""
     host, path = host_path(F.col("url"))
     p = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
-    rules = list(rules)
-    if len(rules) > max_broadcast_rules:
-        return judge_by_join(p, rules, default)
+    if isinstance(rules, DataFrame):
+        table = rules.select("r_host", "r_path", "r_verdict")
+        rules = None if table.count() > max_broadcast_rules else [tuple(r) for r in table.collect()]
+    else:
+        rules = list(rules)
+        table = pages.sparkSession.createDataFrame(rules, RULE) if len(rules) > max_broadcast_rules else None
+    if rules is None or table is not None and len(rules) > max_broadcast_rules:
+        return judge_by_join(p, table, default)
     p = p.withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(rules)
@@ -111,17 +120,28 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow", max_broadc
     return p.mapInArrow(sweep, f"page_id {id_type}, host string, path string, rule string, verdict string")
 
 
-def judge_by_join(p: DataFrame, rules, default: str) -> DataFrame:
-    """The same for any number of rules: pages meet the rules of their host's suffixes."""
-    spark = p.sparkSession
-    table = spark.createDataFrame(rules, "r_host string, r_path string, r_verdict string") if not isinstance(rules, DataFrame) else rules
-    q = p.withColumn("row", F.monotonically_increasing_id())
+RULE = "r_host string, r_path string, r_verdict string"
+
+
+def judge_by_join(p: DataFrame, table: DataFrame, default: str, hot: int = 100_000, salts: int = 64) -> DataFrame:
+    """The same for any number of rules: pages meet the rules of their host's suffixes.
+
+    A suffix of more than ``hot`` pages and 0.1 % of all suffixes (so fewer than
+    1,000 of them) is spread over ``salts`` tasks, its rules going to each.
+    """
+    q = materialize(p.withColumn("row", F.monotonically_increasing_id()))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hit = q.select("*", F.explode(suffixes).alias("r_host")).join(table, "r_host").filter(F.expr("startswith(path, r_path)"))
+    each = q.select("row", "path", F.explode(suffixes).alias("r_host"))
+    uses = materialize(each.groupBy("r_host").agg(F.count("*").alias("n")))
+    least = max(hot, (uses.agg(F.sum("n")).collect()[0][0] or 0) // 1000)
+    many = F.broadcast(uses.filter(F.col("n") > least).select("r_host", F.lit(salts).alias("salts")))
+    left = each.join(many, "r_host", "left").withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1)))).drop("salts")
+    right = table.join(many, "r_host", "left").select("r_host", "r_path", "r_verdict", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
+    hit = left.join(right, ["r_host", "salt"]).filter(F.expr("startswith(path, r_path)"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("l"), F.length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("v"))
-    best = hit.groupBy(F.struct("page_id", "host", "path").alias("k")).agg(F.max(rank).alias("m"))
-    return q.join(best, F.struct("page_id", "host", "path").eqNullSafe(F.col("k")), "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.v", F.lit(default)).alias("verdict"))
+    best = hit.groupBy("row").agg(F.max(rank).alias("m"))
+    return q.join(best, "row", "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.v", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
