@@ -78,7 +78,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, length: int,
     low = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
     high = _window(low, w, np.maximum)[: len(h)]
     at = np.flatnonzero((h == high) & (h != MAX))
-    return at, h[at]
+    return at, mix64(h[at])  # least hashes crowd the low ranges
 
 
 def _chunks(texts: list[bytes], length: int, size: int = 1 << 18):
