@@ -31,15 +31,16 @@ Defined results
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweir.llm.common import U64, Bits, RepeatFilter, materialize, mix64, n_shards, shard_of, small_batches
+from textweir.llm.common import U64, Bits, RepeatFilter, materialize, mix64, n_shards, shard_of, small_batches, trim
 
 END, START = U64(xxhash.xxh3_64_intdigest(b"")), U64(xxhash.xxh3_64_intdigest(b"\n"))
 _LEVEL, _LOOSE, _PAIR = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(1 << 63)
@@ -75,6 +76,13 @@ def token_hashes(text: bytes) -> np.ndarray:
     return out
 
 
+def tokens_of(texts: list[bytes]):
+    """Token hashes of all texts, the number of each text's, and where it starts."""
+    parts = [token_hashes(t) for t in texts]
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.concatenate(parts), lens, np.cumsum(lens) - lens
+
+
 def pairs_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(word before, word) as two 32-bit hashes; ``first`` are the places where a text starts."""
     before = np.empty_like(h)
@@ -159,16 +167,18 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
-def _batches(texts, limit: int = 4 << 20):
+def _batches(batches, limit: int = 6 << 20):
+    """Rows of several Arrow batches (text last) as columns of about ``limit`` bytes of text."""
     held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= limit:
-            yield held
-            held, size = [], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            held.append(row)
+            size += len(row[-1])
+            if size >= limit:
+                yield [list(c) for c in zip(*held)]
+                held, size = [], 0
     if held:
-        yield held
+        yield [list(c) for c in zip(*held)]
 
 
 def packed(keys: np.ndarray, counts: np.ndarray | None, kind: int, shard: np.ndarray, shards: int) -> list[tuple]:
@@ -191,20 +201,18 @@ def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exac
     bits = shards.bit_length() - 1
 
     def count(batches):
-        for b in batches:
-            for texts in _batches((t.as_py() for t in b.column(0)), 8 << 20):
-                parts = [token_hashes(t) for t in texts]
-                h = np.concatenate(parts)
-                first = np.cumsum([0, *map(len, parts[:-1])])
-                w, n = np.unique(np.concatenate([h, np.full(len(texts), START)]), return_counts=True)
-                rows = packed(w, n.astype(np.uint32), 0, shard_of(w, bits), shards)
-                p, n = np.unique(pairs_of(h, first), return_counts=True)
-                shard = shard_of(mix64(p), bits)
-                order = np.argsort(shard, kind="stable")
-                p, n, shard = p[order], n[order].astype(np.uint32), shard[order]
-                once = n == 1
-                rows += packed(p[once], None, 1, shard[once], shards) + packed(p[~once], n[~once], 2, shard[~once], shards)
-                yield _batch(_COUNTS, rows)
+        for (texts,) in _batches(batches):
+            h, _, first = tokens_of(texts)
+            w, n = np.unique(np.concatenate([h, np.full(len(texts), START)]), return_counts=True)
+            rows = packed(w, n.astype(np.uint32), 0, shard_of(w, bits), shards)
+            p, n = np.unique(pairs_of(h, first), return_counts=True)
+            shard = shard_of(mix64(p), bits)
+            order = np.argsort(shard, kind="stable")
+            p, n, shard = p[order], n[order].astype(np.uint32), shard[order]
+            once = n == 1
+            rows += packed(p[once], None, 1, shard[once], shards) + packed(p[~once], n[~once], 2, shard[~once], shards)
+            yield _batch(_COUNTS, rows)
+            trim()
 
     def of_kind(t, kind, key=U64):
         held = [(k.as_py(), c.as_py()) for k, c, x in zip(t["keys"], t["counts"], t["kind"].to_pylist()) if x == kind]
@@ -297,15 +305,13 @@ def score(docs: DataFrame, model: Model, strength: float = 4.0) -> DataFrame:
     counts, top, bits, most = model.counts, model.top, model.shards.bit_length(), model.most  # bits of a range of words or pairs
 
     def measure(ids, ths, texts, look_up):
-        """Results of some texts; ``look_up`` gives the levels of filter keys."""
+        """Results of some texts; ``look_up`` gives levels: of words, of their loose masses, and of pair keys."""
         known_words, exact = top.value
         n_rows = len(texts)
-        parts = [token_hashes(t) for t in texts]
-        h = np.concatenate(parts)
-        lens = np.fromiter(map(len, parts), np.int64, n_rows)
-        first = np.cumsum(lens) - lens
+        h, lens, first = tokens_of(texts)
         doc = np.repeat(np.arange(n_rows), lens)
-        u, inv = np.unique(h, return_inverse=True)
+        u, inv = np.unique(np.append(h, START), return_inverse=True)
+        inv, start = inv[:-1], int(inv[-1])
         place = np.minimum(np.searchsorted(known_words, u), max(0, len(known_words) - 1))
         known = known_words[place] == u if len(known_words) else np.zeros(len(u), bool)
         c = np.where(known, exact[place], 0) if len(known_words) else np.zeros(len(u), np.int64)
@@ -313,14 +319,11 @@ def score(docs: DataFrame, model: Model, strength: float = 4.0) -> DataFrame:
         base = np.bincount(doc, part[inv], n_rows)
         n_known = np.bincount(doc, known[inv], n_rows).astype(np.int64)
         # The model: probes for words, contexts and pairs.
-        p, inv2 = np.unique(pairs_of(h, first), return_inverse=True)
-        contexts = np.append(u, START)
-        keys = [word_keys(contexts), loose_keys(contexts, bits), pair_keys(p, bits)]
-        found = look_up(np.concatenate(keys))
-        of_word, of_loose, of_pair = np.split(found, np.cumsum(list(map(len, keys[:-1]))))
+        pairs, inv2 = np.unique(pair_keys(pairs_of(h, first), bits), return_inverse=True)
+        of_word, of_loose, of_pair = look_up(u, pairs)
         before = np.empty(len(h), np.int64)
         before[1:] = inv[:-1]
-        before[first] = len(u)
+        before[first] = start
         single = ((least_of(of_word) + 1) / denominator)[inv]
         loose, mass = least_of(of_loose)[before], most_of(of_word)[before]
         p = (least_of(of_pair)[inv2] + (strength + loose) * single) / (mass + strength)
@@ -338,78 +341,77 @@ def score(docs: DataFrame, model: Model, strength: float = 4.0) -> DataFrame:
             ["doc_id", "th", "n_tokens", "n_known", "base_score", "score", "words", "tfs"],
         )
 
+    def probe(words, pairs):
+        return tuple(map(counts.value.levels, (word_keys(words), loose_keys(words, bits), pairs)))
+
     def run(batches):
-        for b in batches:
-            at = 0
-            for texts in _batches(t.as_py() for t in b.column("text")):
-                yield measure(b.column("doc_id").slice(at, len(texts)), b.column("th").slice(at, len(texts)), texts, counts.value.levels)
-                at += len(texts)
-
-    def asked(h, first):
-        """The distinct filter keys of a batch, in order, and where each hash range begins."""
-        w = np.append(np.unique(h), START)
-        keys = np.unique(np.concatenate([word_keys(w), loose_keys(w, bits), pair_keys(np.unique(pairs_of(h, first)), bits)]))
-        return keys, np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
-
-    def rest_of(keys, shard):
-        """A range's keys without its number: pairs need 32 bits, words what is left of 64."""
-        return (keys >> U64(32 - bits)).astype(np.uint32) if shard >> (bits - 1) else keys
-
-    def whole_of(raw, shard):
-        if not shard >> (bits - 1):
-            return np.frombuffer(raw, U64)
-        return np.frombuffer(raw, np.uint32).astype(U64) << U64(32 - bits) | U64(shard) << U64(64 - bits)
+        for ids, ths, texts in _batches(batches, 4 << 20):
+            yield measure(pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), texts, probe)
+
+    def named(batches):
+        """Batches with names that both passes over the texts give them: task, number, checksum."""
+        for k, (ids, ths, texts) in enumerate(_batches(batches)):
+            whole = b"".join(texts)
+            yield f"{TaskContext.get().partitionId()}-{k}-{zlib.crc32(whole):08x}", ids, ths, texts, whole
 
     def hold(batches):
-        for b in batches:
-            at = 0
-            for texts in _batches((t.as_py() for t in b.column("text")), 8 << 20):
-                whole, n = b"".join(texts), len(texts)
-                cols = [[uuid.uuid4().hex], [b.column("doc_id").slice(at, n).to_pylist()], [b.column("th").slice(at, n).to_pylist()], [[len(t) for t in texts]], [len(whole)], [pa.compress(whole, "zstd", asbytes=True)]]
-                kinds = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["batch", "ids", "ths", "lens", "size", "texts"])
-                at += n
+        for name, ids, ths, texts, whole in named(batches):
+            cols = [[name], [ids], [ths], [[len(t) for t in texts]], [len(whole)], [pa.compress(whole, "zstd", asbytes=True)]]
+            kinds = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["batch", "ids", "ths", "lens", "size", "texts"])
 
     def unpack(lens, size, data):
         whole = pa.decompress(data, size, "zstd", asbytes=True) if size else b""
         ends = np.cumsum(lens)
         return [whole[z - n : z] for z, n in zip(ends.tolist(), lens)]
 
+    def by_range(keys, offset):
+        """Sorted filter keys by their ranges: (range, from, to)."""
+        cut = np.searchsorted(shard_of(keys, bits), np.arange(offset, offset + (1 << (bits - 1)) + 1))
+        return [(offset + k, int(cut[k]), int(cut[k + 1])) for k in np.flatnonzero(np.diff(cut)).tolist()]
+
     def ask(batches):
-        for b in batches:
-            for batch, lens, size, data in zip(*(b.column(c).to_pylist() for c in ("batch", "lens", "size", "texts"))):
-                parts = [token_hashes(t) for t in unpack(lens, size, data)]
-                keys, cut = asked(np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]))
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some)), pa.array(some, pa.int32()), pa.array([rest_of(keys[cut[k] : cut[k + 1]], k).tobytes() for k in some], pa.binary())], ["batch", "shard", "keys"])
+        """The distinct words (whole) and pairs (32 bits beside their range) of each batch, for the ranges that know them."""
+        for name, _, _, texts, _ in named(batches):
+            h, _, first = tokens_of(texts)
+            words, pairs = np.unique(np.append(h, START)), np.unique(pair_keys(pairs_of(h, first), bits))
+            short = (pairs >> U64(32 - bits)).astype(np.uint32)
+            rows = [(s, words[a:z].tobytes()) for s, a, z in by_range(word_keys(words), 0)] + [(s, short[a:z].tobytes()) for s, a, z in by_range(pairs, 1 << (bits - 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["batch", "shard", "keys"])
 
     def answer(asks: pa.Table, part: pa.Table) -> pa.Table:
-        keys = [whole_of(k.as_py(), s) for k, s in zip(asks["keys"], asks["shard"].to_pylist())]
-        found = [np.zeros(len(k), np.uint8) for k in keys]
-        if keys and part.num_rows:
-            f = CountFilter(1 << bits, {part["shard"][0].as_py(): (part["log2"][0].as_py(), part["bits"][0].as_py())}, most)
-            found = np.split(f.levels(np.concatenate(keys)).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"batch": asks["batch"], "shard": asks["shard"], "levels": pa.array([x.tobytes() for x in found], pa.binary())})
+        """Levels of the keys asked for; those of words are followed by those of their loose masses."""
+        if not asks.num_rows:
+            return pa.table({"batch": pa.array([], pa.string()), "shard": pa.array([], pa.int32()), "levels": pa.array([], pa.binary())})
+        shard = asks["shard"][0].as_py()
+        of_words = not shard >> (bits - 1)
+        parts = [np.frombuffer(k.as_py(), U64 if of_words else np.uint32) for k in asks["keys"]]
+        whole, lens = np.concatenate(parts), list(map(len, parts))
+        keys = [word_keys(whole), loose_keys(whole, bits)] if of_words else [whole.astype(U64) << U64(32 - bits) | U64(shard) << U64(64 - bits)]
+        f = CountFilter(1 << bits, {shard: (part["log2"][0].as_py(), part["bits"][0].as_py())} if part.num_rows else {}, most if part.num_rows else 0)
+        found = [np.split(f.levels(k).astype(np.uint8), np.cumsum(lens)[:-1]) for k in keys]
+        return pa.table({"batch": asks["batch"], "shard": asks["shard"], "levels": pa.array([b"".join(x.tobytes() for x in xs) for xs in zip(*found)], pa.binary())})
 
     def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
+        if held.num_rows != 1 or not answers.num_rows:
+            raise ValueError("the texts came in another order the second time: write them as a table first")
         (row,) = held.to_pylist()
+        levels = {s: np.frombuffer(x, np.uint8).astype(np.int64) for s, x in zip(answers["shard"].to_pylist(), answers["levels"].to_pylist())}
+
+        def look_up(words, pairs):
+            both = [levels[s].reshape(2, -1) for s, _, _ in by_range(word_keys(words), 0)]
+            of_word, of_loose = np.concatenate(both, axis=1)
+            return of_word, of_loose, np.concatenate([levels[s] for s, _, _ in by_range(pairs, 1 << (bits - 1))])
 
-        texts = unpack(row["lens"], row["size"], row["texts"])
-        parts = [token_hashes(t) for t in texts]
-        keys, cut = asked(np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]))
-        level = np.zeros(len(keys), np.int64)
-        for k, x in zip(answers["shard"].to_pylist(), answers["levels"].to_pylist()):
-            level[cut[k] : cut[k + 1]] = np.frombuffer(x, np.uint8)
-        look_up = lambda some: level[np.searchsorted(keys, some)]
-        return pa.Table.from_batches([measure(pa.array(row["ids"], pa.int64()), pa.array(row["ths"], pa.int64()), texts, look_up)])
+        return pa.Table.from_batches([measure(pa.array(row["ids"], pa.int64()), pa.array(row["ths"], pa.int64()), unpack(row["lens"], row["size"], row["texts"]), look_up)])
 
     schema = "doc_id long, th long, n_tokens long, n_known long, base_score double, score double, words array<long>, tfs array<long>"
     texts = docs.select("doc_id", "th", "text")
     if counts is not None:
         scored = materialize(texts.mapInArrow(run, schema))
     else:
-        held = materialize(texts.mapInArrow(hold, "batch string, ids array<long>, ths array<long>, lens array<long>, size long, texts binary"))
-        asks = held.select("batch", "lens", "size", "texts").mapInArrow(ask, "batch string, shard int, keys binary")
+        held = texts.mapInArrow(hold, "batch string, ids array<long>, ths array<long>, lens array<long>, size long, texts binary")
+        asks = texts.mapInArrow(ask, "batch string, shard int, keys binary")
         answers = asks.groupBy("shard").cogroup(model.slices.groupBy("shard")).applyInArrow(answer, "batch string, shard int, levels binary")
         scored = materialize(held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, schema))
     rare = scored.select("doc_id", "th", F.explode(F.arrays_zip("words", "tfs")).alias("x")).select("doc_id", "th", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
