@@ -30,6 +30,59 @@ def test_contaminate_from_files(spark, tmp_path, capsys):
         cli.contaminate(spark, flags | {"--corpus": "/nowhere"})
 
 
+def test_index_files_and_the_guard(spark, tmp_path, capsys):
+    other = " ".join(f"beta{k}" for k in range(20))
+    edited = " ".join(w if k % 9 else "zzz" for k, w in enumerate((" ".join(f"gamma{k}" for k in range(60))).split()))
+    rows = [("q", ITEM), ("e", " ".join(f"gamma{k}" for k in range(60)))]
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"id": i, "text": t}) + "\n" for i, t in rows))
+    (tmp_path / "other.jsonl").write_text(json.dumps({"id": "q", "text": other}) + "\n")
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps({"id": str(i), "text": t}) + "\n" for i, t in enumerate(["clean text", f"x {ITEM} y", edited])))
+    assert cli.build(spark, {"--bench": f"{tmp_path}/b.jsonl", "--out": f"{tmp_path}/mine.idx.bin.gz", "--item-noun": "task"}) == 0
+    flags = {"--corpus": f"{tmp_path}/c.jsonl", "--index": "mine", "--index-dir": str(tmp_path), "--out": f"{tmp_path}/r.json"}
+    assert cli.contaminate(spark, flags) == 0
+    r = json.loads((tmp_path / "r.json").read_text())
+    assert r["exact"]["items_hit"] == 1 and not r["near"]["available"] and r["receipt"]["item_noun"] == {"one": "task", "many": "tasks"}
+    assert r["receipt"]["corpus"]["tokens"] == 2 + 22 + 60 and r["receipt"]["corpus"]["bytes"] == (tmp_path / "c.jsonl").stat().st_size
+    assert cli.contaminate(spark, flags | {"--bench": f"{tmp_path}/b.jsonl"}) == 0
+    with pytest.raises(errors.BenchmarkMismatchError):
+        cli.contaminate(spark, flags | {"--bench": f"{tmp_path}/other.jsonl"})
+    with pytest.raises(errors.IndexMissingError):
+        cli.contaminate(spark, flags | {"--index": "nothing"})
+    with pytest.raises(errors.MissingValueError):
+        cli.contaminate(spark, {"--corpus": f"{tmp_path}/c.jsonl"})
+
+
+def test_baselines_and_score(spark, tmp_path, capsys, monkeypatch):
+    """The commands over two of the six signals, so that draws are quick."""
+    import random
+
+    from textweir.operators import signals
+
+    two = lambda records: signals.template(records).unionByName(signals.length_shape(records))
+    monkeypatch.setattr(signals, "run_signals", two)
+    monkeypatch.setattr(signals, "flagged", lambda records: {"near_dup": ["a<b"]})
+    r = random.Random(5)
+    pools = {"human": [f"h{k}" for k in range(400)], "machine": [f"m{k}" for k in range(60)]}
+
+    def text(side):
+        n = (3, 25) if side == "human" else (9, 11)
+        return " ".join(" ".join(r.choices(pools[side], k=r.randint(*n))) + "." for _ in range(4))
+
+    for side in pools:
+        (tmp_path / f"{side}.jsonl").write_text("".join(json.dumps({"id": f"{side}{k}", "text": text(side)}) + "\n" for k in range(320)))
+        flags = {"--corpus": f"{tmp_path}/{side}.jsonl", "--label": side, "--chunk": "100", "--draws": "3", "--out": f"{tmp_path}/{side}.json"}
+        assert cli.baseline(spark, flags) == 0
+    (tmp_path / "batch.jsonl").write_text("".join(json.dumps({"text": text("human")}) + "\n" for _ in range(100)) + "not json\n")
+    flags = {"--batch": f"{tmp_path}/batch.jsonl", "--human": f"{tmp_path}/human.json", "--machine": f"{tmp_path}/machine.json", "--out": f"{tmp_path}/s.json", "--html": f"{tmp_path}/s.html"}
+    assert cli.score(spark, flags) == 0
+    s = json.loads((tmp_path / "s.json").read_text())
+    assert s["purity"] >= 85 and s["verdict"] == "human" and s["records"] == 100 and s["skipped"] == 1
+    page = (tmp_path / "s.html").read_text()
+    assert len(s["signals"]) == 2 and "<meter" in page and "a&lt;b" in page
+    with pytest.raises(errors.InputMissingError):
+        cli.score(spark, flags | {"--human": "/nowhere"})
+
+
 def test_streaming_retracts_what_became_common(spark, tmp_path):
     index = build_index(spark.createDataFrame([(0, ITEM)], "item_id long, text string"))
     src = f"{tmp_path}/in"

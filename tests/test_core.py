@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql.functions import max as F_max
 
 from textweir import errors
 from textweir.functions import hashing, text
@@ -261,16 +262,52 @@ def test_index_file_round_trip(spark):
         decode_index(raw[:8] + b"\x09" + raw[9:])
 
 
+def test_index_files_scan_like_the_built_index(spark, tmp_path):
+    from textweir.operators.index import Index
+    from textweir.sources.index_codec import read_index, resolve_index, write_index
+
+    r = random.Random(18)
+    bench = [words(r, 30) for _ in range(6)] + ["short one", "短い日本語の文章です。" * 4]
+    bench[1] = "İx ÉCOLE " + bench[1]
+    docs = [f"{words(r, 20)} {b.upper() if k % 2 else b} {words(r, 20)}" for k, b in enumerate(bench)]
+    i, want = scan(spark, docs, bench)
+    want = sorted(map(tuple, want.collect()))
+    for name in ("a.idx.bin", "a.idx.bin.gz", "a.json"):
+        path = f"{tmp_path}/{name}"
+        meta = write_index(i, path, "b", benchmark_identity(items(spark, bench)))
+        loaded = Index.from_file(spark, *read_index(path))
+        got = exact.runs(exact.raw_hits(frame(spark, docs), loaded), loaded)
+        assert sorted(map(tuple, got.collect())) == want and meta["uncheckableItemIds"] == ["6", "7"]
+        assert {(x.item_id, x.unsegmented) for x in loaded.uncheckable().collect()} == {("6", False), ("7", True)}
+    assert resolve_index("a", str(tmp_path)) == f"{tmp_path}/a.idx.bin.gz"
+    with pytest.raises(errors.IndexMissingError, match="there are a"):
+        resolve_index("b", str(tmp_path))
+    with pytest.raises(errors.IndexUnreadableError):
+        resolve_index(str(tmp_path))
+    raw = (tmp_path / "a.idx.bin.gz").read_bytes()
+    for name, data, error in (("c.gz", raw[:-20], errors.IndexTruncatedError), ("d", b"<html>", errors.IndexUnreadableError), ("e.json", b"{", errors.IndexUnreadableError), ("f.json", b'{"formatVersion": 2, "keys": [], "items": []}', errors.IndexVersionError), ("g.json", b'{"formatVersion": 3, "keys": [1], "items": []}', errors.IndexTruncatedError)):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(error):
+            read_index(f"{tmp_path}/{name}")
+
+
 def test_report(spark):
     r = random.Random(8)
-    item = "<b> " + words(r, 20)
-    docs, bench = frame(spark, [f"x {item} y"]), items(spark, [item, "short"])
+    item, common = "<b> " + words(r, 20), words(r, 15)
+    texts = [f"x {item} y"] + [f"{words(r, 3)} {common}" for _ in range(7)]
+    docs, bench = frame(spark, texts), items(spark, [item, "short", common])
     i = build_index(bench)
-    runs = exact.runs(exact.raw_hits(docs, i), i)
-    report = scan_report(i, runs, exact.evidence(runs.filter("survives"), docs), bench)
-    assert report["exact"]["items_hit"] == 1 and len(report["uncheckable"]) == 1
-    assert report["receipt"]["benchmark_hash"] == benchmark_identity(bench)
-    assert "1 of 2 items" in text_summary(report) and "<mark>" in html_page(report)
+    hits, totals = exact.scan(docs, i)
+    assert totals == {"documents": 8, "tokens": 23 + 7 * 18}
+    runs = exact.runs(hits, i)
+    close = near.near_tier(docs, bench, runs)
+    report = scan_report(i, runs, docs, benchmark_identity(bench), totals, near=close)
+    assert report["exact"]["items_hit"] == 1 and report["uncheckable"]["items"] == 1
+    assert {x["condemned_by"] for x in report["dropped"]} == {7} and report["dropped"][0]["matched"] == common
+    assert report["near"]["hits"] == 2 and report["near"]["shown"][0]["sample"] == texts[6] and report["contaminated_items"] == ["0", "2"]
+    assert "1 of 3 items" in text_summary(report) and "<mark>" in html_page(report) and "<b> " not in html_page(report).split("<h2>Matches")[1].split("<h2>")[0].replace("&lt;b&gt;", "")
+    alone = scan_report(i, runs, docs, "x", totals)
+    assert not alone["near"]["available"] and alone["contaminated_items"] == ["0"] and "hashes only" in html_page(alone)
 
 
 def test_triage_rules(spark):
@@ -293,7 +330,7 @@ def test_scoring(spark):
     assert {r.skip_reason for r in far.collect()} == {"out of range", "unavailable"} and scoring.score(far, 1000).collect()[0].purity is None
     with pytest.raises(errors.BatchTooSmallError):
         scoring.score(s, 5)
-    assert sorted(scoring.shuffled(20, 3)) == list(range(20)) and len(set(scoring.drawn(20, 8, 3))) == 8
+    assert sorted(scoring.shuffled(20, 3).tolist()) == list(range(20)) and scoring.drawn(20, 20, 3) != list(range(20)) and len(set(scoring.drawn(20, 8, 3))) == 8
 
 
 def test_baseline_and_split(spark):
@@ -360,6 +397,125 @@ def test_planted_recall(spark):
     assert text.suggest_flag("--treshold", ["--threshold", "--out"]) == "--threshold"
 
 
+def test_lexical_cluster_against_a_plain_version(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(31)
+    vocab = [f"t{k}" for k in range(150)]
+    texts = [" ".join(r.choices(vocab, k=r.randint(5, 60))) for _ in range(80)]
+    tokens = [t.split() for t in texts]
+    df = Counter(w for t in tokens for w in set(t))
+    first = {}
+    for d, t in enumerate(tokens):
+        for k, w in enumerate(t):
+            first.setdefault(w, (d, k))
+    terms = sorted((w for w in df if 3 <= df[w] <= max(3, int(80 * 0.6))), key=lambda w: (-df[w], first[w]))[:4000]
+    vecs = []
+    for t in tokens:
+        v = {w: (1 + math.log(c)) * math.log(80 / df[w]) for w, c in Counter(t).items() if w in set(terms)}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        vecs.append({w: x / n for w, x in v.items()} if n else {})
+    full = [d for d, v in enumerate(vecs) if v]
+    draw, sims = hashing.Mulberry(signals.PAIR_SEED), []
+    for _ in range(min(40_000, len(full) * (len(full) - 1) // 2)):
+        i, j = int(draw() * len(full)), int(draw() * len(full))
+        j = (j + 1) % len(full) if i == j else j
+        a, b = vecs[full[i]], vecs[full[j]]
+        sims.append(sum(x * b.get(w, 0) for w, x in a.items()))
+    value, near50 = signals.lexical_cluster(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3))
+    row = value.collect()[0]
+    assert row.available and row.n == len(sims) and row.value == pytest.approx(sum(sims) / len(sims)) and near50.count() == 50
+
+
+def styled(r, n, authors=4):
+    pools = [["the", "of", "and", "x", "y"], ["i", "you", "we", "x", "z"], ["on", "in", "at", "q"], ["but", "so", "x"]]
+    return [(k, " ".join(r.choices(pools[k % authors], k=20)) + r.choice([".", "!", "; ok", ", yes. No?"]), f"a{k % authors}") for k in range(n)]
+
+
+def test_author_distances_and_dispersion(spark):
+    import math
+
+    rows = styled(random.Random(32), 130)
+    df = spark.createDataFrame(rows, "id long, text string, author_id string")
+    vec = {x.author_id: list(x.vector) for x in signals.style_vectors(df, "author_id").collect()}
+    one = {x.id: list(x.vector) for x in signals.style_vectors(df, "author_id", "id").collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    got = {x.author_id: x.mean_distance for x in signals.author_distances(df).collect()}
+    for a in vec:
+        assert got[a] == pytest.approx(sum(1 - cos(vec[a], vec[b]) for b in vec if b != a) / 3)
+    spread = {x.author_id: (x.n_records, x.dispersion) for x in signals.author_dispersion(df).collect()}
+    for a in vec:
+        mine = [1 - cos(one[k], vec[a]) for k, _, b in rows if b == a]
+        assert spread[a] == (len(mine), pytest.approx(sum(mine) / len(mine)))
+    lens = [len(t.replace(".", " ").replace(",", " ").replace("!", " ").replace(";", " ").replace("?", " ").split()) for _, t, _ in rows]
+    mean = sum(lens) / len(lens)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in lens) / (len(lens) - 1))
+    assert signals.length_variation(df).collect()[0].variation == pytest.approx(sd / mean)
+
+
+def test_winnow_crawl_and_run_signals(spark):
+    from pyspark.sql import functions as F
+
+    keys = [5, 16, 16, 64, -64, 256, 7]
+    got = {x.rate: (x.grams, x.distinct_grams) for x in studies.winnowed(spark.createDataFrame([(k,) for k in keys], "key long")).collect()}
+    assert got == {1: (7, 6), 16: (5, 4), 64: (3, 3), 256: (1, 1)}
+    pages = spark.createDataFrame([(3, "x" * 250), (1, "x" * 250), (2, "short"), (4, "y" * 200), (5, None)], "page_id long, html string")
+    assert sorted((x.page_id, x.n_pages, x.n_chars) for x in corpus.crawl_slice(pages, F.col("html")).collect()) == [(1, 2, 250), (4, 1, 200)]
+    df = spark.createDataFrame(styled(random.Random(33), 130), "id long, text string, author_id string")
+    rows = signals.run_signals(df).orderBy("place").collect()
+    assert [x.key for x in rows] == ["near_dup", "lexical_cluster", "stylometry", "template", "length_shape", "lexical_variety"]
+    assert {x.key for x in rows if not x.available} == {"lexical_cluster"} and all((x.value is None) != x.available for x in rows)
+    with pytest.raises(errors.TooFewTextsError):
+        signals.run_signals(df.limit(1))
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    import gzip
+
+    lines = [f"line {k} é" * (1 + k % 3) for k in range(5000)] + ["", "last\r"]
+    raw = "\n".join(lines).encode()
+    (tmp_path / "p").mkdir()
+    for name, data in (("a.txt", raw), ("b.txt.gz", gzip.compress(raw)), ("c.bin", gzip.compress(raw))):
+        (tmp_path / name).write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = corpus.read_lines(spark, [f"{tmp_path}/{n}" for n in ("a.txt", "b.txt.gz", "c.bin")])
+        for rank in range(3):
+            assert [x.value for x in got.filter(f"file = {rank}").orderBy("line").collect()] == lines
+            assert got.filter(f"file = {rank}").agg(F_max("line")).collect()[0][0] == len(lines)
+        assert corpus.corpus_bytes(got.filter("file = 0"), f"{tmp_path}/a.txt") == len(raw)
+        assert corpus.corpus_bytes(got.filter("file = 1"), f"{tmp_path}/b.txt.gz") == len(raw) + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_numbered_places(spark):
+    from textweir.storage import numbered
+
+    r = random.Random(34)
+    ids = [r.randrange(10**6) for _ in range(500)]
+    got = numbered(spark.createDataFrame([(i,) for i in ids], "id long").repartition(7), "id").orderBy("k").collect()
+    assert [x.k for x in got] == list(range(500)) and [x.id for x in got] == sorted(ids)
+
+
+def test_spike_summary():
+    rows = [{"ratio": a, "draw": d, "purity": p} for a, ps in ((0, [90, 92, 80]), (0.1, [88, 86, 90]), (0.5, [50, 40, 45])) for d, p in enumerate(ps)]
+    got = scoring.spike_summary(rows)
+    assert got["floor"] == 0.5 and got["false_positives"] == pytest.approx(1 / 3) and not got["monotonic"]
+
+
+def test_pretraining_scan_goes_on_where_it_stopped(spark, tmp_path):
+    r = random.Random(19)
+    bench = {name: items(spark, [words(r, 30) for _ in range(3)]) for name in ("a", "b")}
+    texts = [f"{words(r, 5)} {x.text}" for b in bench.values() for x in b.collect()[:2]]
+    got = studies.pretraining_scan(frame(spark, texts), bench, f"file://{tmp_path}/out", ns=(10,)).collect()
+    assert {(x.benchmark, x.n, x.item_id, x.docs) for x in got} == {(b, 10, i, 1) for b in bench for i in (0, 1)}
+    again = studies.pretraining_scan(frame(spark, ["nothing"]), bench, f"file://{tmp_path}/out", ns=(10,)).collect()
+    assert sorted(again) == sorted(got)
+
+
 def test_capture_rules(spark):
     from pyspark.sql import functions as F
 

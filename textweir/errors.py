@@ -37,6 +37,10 @@ class ThresholdError(TextweirError):
     """A threshold that is no positive integer."""
 
 
+class IndexMissingError(TextweirError):
+    """No index of that path or name."""
+
+
 class IndexUnreadableError(TextweirError):
     """Not an index file."""
 

@@ -64,7 +64,7 @@ def gram_key(hashes: Column) -> Column:
     return a * F.lit(2097152) + F.shiftrightunsigned(b, 11)
 
 
-def portable_hash(parts: list[str]) -> str:
+def portable_hash(parts) -> str:
     """128 bits in hex from four FNV lanes over the parts, each closed by a separator."""
     lanes = [0x811C9DC5, 0x01000193, 0x9E3779B9, 0x85EBCA6B]
     for part in parts:

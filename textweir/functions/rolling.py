@@ -29,6 +29,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return inside, np.random.default_rng(11).integers(0, 1 << 64, 1 << 16, U64)[low]
 
 
+@functools.cache
+def _lower() -> np.ndarray:
+    """The lower-case unit of each unit of the basic plane."""
+    return np.array([ord(l) if len(l := chr(c).lower()) == 1 and ord(l) < 1 << 16 else c for c in range(1 << 16)], U64)
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -60,9 +66,9 @@ def _spans(x: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np
         return _mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and how many each text has."""
-    inside, word = _tables()
+def _tokens(texts: list[str]):
+    """Characters of all texts, where tokens start and end, and how many each text has."""
+    inside, _ = _tables()
     joined = "\n".join(texts)
     cp = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     if cp.dtype == np.uint32:
@@ -71,15 +77,63 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(sizes + 1) - sizes - 1
-    return _spans(word[cp], _M, starts, ends), np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+    return cp, starts, ends, np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+
+
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and how many each text has."""
+    cp, starts, ends, counts = _tokens(texts)
+    return _spans(_tables()[1][cp], _M, starts, ends), counts
+
+
+_U32 = U64(0xFFFFFFFF)
+
+
+def fnv(units: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """FNV-1a of many stretches of 16-bit units at once, longest first so that the live ones are a prefix."""
+    order = np.argsort(-lens, kind="stable")
+    at, size = starts[order], lens[order]
+    h = np.full(len(at), 2166136261, U64)
+    live = len(at) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
+    for j, n in enumerate(live.tolist()):
+        x = h[:n]
+        x ^= units[at[:n] + j]
+        x *= U64(16777619)
+        x &= _U32
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def file_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(text, offset, key) of every window of n tokens, with the 53-bit keys of index files; and the number of tokens."""
+    cp, starts, ends, counts = _tokens(texts)
+    h = fnv(_lower()[cp], starts, ends - starts)
+    text, off, at = windows(counts, n)
+    a, b = np.zeros(len(at), U64), np.zeros(len(at), U64)
+    for j in range(n):
+        a = (a * U64(0x01000193) + h[at + j]) & _U32
+        b = (b * U64(0x85EBCA6B) + h[at + j]) & _U32
+    return text, off, (a * U64(1 << 21) + (b >> U64(11))).view(np.int64), len(h)
+
+
+def grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(text, offset, key) of every window of n tokens; and the number of tokens."""
+    tokens, counts = token_hashes(texts)
+    return *gram_keys(tokens, counts, n), len(tokens)
+
+
+def windows(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, offset, place among all tokens) of windows; they never cross texts."""
+    size = np.maximum(counts - n + 1, 0)
+    text = np.repeat(np.arange(len(counts)), size)
+    off = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    return text, off, off + np.repeat(np.cumsum(counts) - counts, size)
 
 
 def gram_keys(tokens: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, offset, key) of every window of n tokens; windows never cross texts."""
-    windows = np.maximum(counts - n + 1, 0)
-    text = np.repeat(np.arange(len(counts)), windows)
-    off = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = off + np.repeat(np.cumsum(counts) - counts, windows)
+    """(text, offset, key) of every window of n token hashes."""
+    text, off, at = windows(counts, n)
     return text, off, _spans(tokens, _Q, at, at + n).view(np.int64)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweir.functions import rolling
+from textweir.functions.text import scan_tokens
 from textweir.operators.index import BROADCAST_ROWS, Index, grams
 from textweir.storage import materialize, small_batches
 
@@ -22,22 +23,44 @@ KEYS_PER_RUN = 256
 CONTEXT = 12
 
 
-def raw_hits(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, item_idx, off, key of every corpus gram in the index; ``doc_id`` is also the document's place."""
-    shared, n = index.broadcast(), index.n
-    if shared is None:
-        return grams(docs, n).join(index.rows, "key").select("doc_id", "item_idx", "off", "key")
+_HITS = "item_idx int, off int, key long"
+
+
+def _probe(docs: DataFrame, index: Index, totals: bool) -> DataFrame:
+    """Hits, and with ``totals`` a row a batch without an item: documents in ``off``, tokens in ``key``."""
+    shared, n, make = index.broadcast(), index.n, index.make
     small_batches(docs.sparkSession)
+    names = ["doc_id", *(x.split()[0] for x in _HITS.split(", "))]
 
     def run(batches):
         for b in batches:
+            kind = b.schema.field(0).type
             for at, texts in rolling.chunks(b.column(1)):
-                text, off, keys = rolling.gram_keys(*rolling.token_hashes(texts), n)
+                text, off, keys, tokens = make(texts, n)
                 place, owner = shared.value.probe(keys)
                 if len(place):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[place] + at)), pa.array(owner), pa.array(off[place].astype("int32")), pa.array(keys[place])], ["doc_id", "item_idx", "off", "key"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[place] + at)), pa.array(owner), pa.array(off[place].astype("int32")), pa.array(keys[place])], names)
+                if totals:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.array([len(texts)], pa.int32()), pa.array([tokens])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("item_idx int, off int, key long").fields]))
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(_HITS).fields]))
+
+
+def raw_hits(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, item_idx, off, key of every corpus gram in the index; ``doc_id`` is also the document's place."""
+    if index.broadcast() is None:
+        return grams(docs, index.n, make=index.make).join(index.rows, "key").select("doc_id", "item_idx", "off", "key")
+    return _probe(docs, index, False)
+
+
+def scan(docs: DataFrame, index: Index) -> tuple[DataFrame, dict]:
+    """Written hits and the totals (documents, tokens) of the corpus, from one pass over it."""
+    if index.broadcast() is None:
+        n = docs.select(F.lit(1).alias("d"), F.size(scan_tokens(F.coalesce("text", F.lit("")))).alias("t")).agg(F.sum("d").alias("documents"), F.sum("t").alias("tokens"))
+        return materialize(raw_hits(docs, index)), n.na.fill(0).collect()[0].asDict()
+    found = materialize(_probe(docs, index, True))
+    total = found.filter("item_idx is null").agg(F.coalesce(F.sum("off"), F.lit(0)).alias("documents"), F.coalesce(F.sum("key"), F.lit(0)).alias("tokens"))
+    return found.filter("item_idx is not null"), total.collect()[0].asDict()
 
 
 def document_frequency(hits: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ STOP_SIZE, STOP_SHARE, STOP_ITEMS = 200, 0.5, 4
 BROADCAST_ROWS = 5_000_000
 
 
-def grams(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+def grams(df: DataFrame, n: int, key: str = "doc_id", make=rolling.grams) -> DataFrame:
     """(``key``, off, key): one row per window of n scan tokens of ``text``. Narrow; texts don't travel with the grams."""
     small_batches(df.sparkSession)
 
     def run(batches):
         for b in batches:
             for at, texts in rolling.chunks(b.column(1)):
-                text, off, keys = rolling.gram_keys(*rolling.token_hashes(texts), n)
+                text, off, keys, _ = make(texts, n)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + at)), pa.array(off.astype(np.int32)), pa.array(keys)], [key, "off", "key"])
 
     return df.select(key, "text").mapInArrow(run, T.StructType([df.schema[key], *T.StructType.fromDDL("off int, key long").fields]))
@@ -53,14 +53,28 @@ def stoplist(tokenised: DataFrame) -> DataFrame:
 
 
 class Index:
-    """``rows`` (key, item_idx), ``items``, and the counters of what was left out."""
+    """``rows`` (key, item_idx), ``items``, and the counters of what was left out; ``make`` gives the keys of texts' grams."""
 
-    def __init__(self, items, rows, n, stats, stop):
-        self.items, self.rows, self.n, self.stats, self.stop = items, rows, n, stats, stop
+    def __init__(self, items, rows, n, stats, stop, make=rolling.grams, stride=1):
+        self.items, self.rows, self.n, self.stats, self.stop, self.make, self.stride = items, rows, n, stats, stop, make, stride
         self._shared = None
 
+    @classmethod
+    def from_file(cls, spark, meta: dict, owners: dict[int, list[int]]) -> "Index":
+        """An index read from a file: ids without texts, and the file's own gram keys."""
+        ids = list(enumerate(meta["itemIds"]))
+        items = spark.createDataFrame([(i, str(x)) for i, x in ids], "item_idx int, item_id string")
+        rows = spark.createDataFrame(pa.table({"key": pa.array([k for k, o in owners.items() for _ in o], pa.int64()), "item_idx": pa.array([i for o in owners.values() for i in o], pa.int32())}))
+        stats = spark.createDataFrame([tuple(meta["stats"].values())], ", ".join(f"{k} long" for k in meta["stats"]))
+        out = cls(items, rows, meta["n"], stats, None, rolling.file_grams, meta.get("stride", 1))
+        blind, unsegmented = meta.get("uncheckableItemIds", []), set(meta.get("unsegmentedItemIds", []))
+        out._blind = spark.createDataFrame([(str(x), None, x in unsegmented) for x in blind], "item_id string, n_tokens long, unsegmented boolean")
+        return out
+
     def uncheckable(self) -> DataFrame:
         """Items without any gram in the index, and whether that is for want of word separators."""
+        if hasattr(self, "_blind"):
+            return self._blind
         missing = self.items.join(self.rows.select("item_idx").distinct(), "item_idx", "left_anti")
         return missing.select("item_id", F.size("tokens").cast("long").alias("n_tokens"), (unsegmented_share("text") >= 0.5).alias("unsegmented"))
 
@@ -112,7 +126,7 @@ def build_index(items: DataFrame, n: int = N_DEFAULT, stride: int = 1, max_items
         .crossJoin(own.agg(F.count("*").alias("item_grams")))
         .select("item_count", "grams_seen", "dropped_stride", "dropped_stop", "item_grams", "distinct_grams", "grams_kept", (F.col("distinct_grams") - F.col("grams_kept")).alias("dropped_common"))
     )
-    return Index(t, rows, n, stats, stop)
+    return Index(t, rows, n, stats, stop, stride=stride)
 
 
 def serialise(index: Index) -> DataFrame:

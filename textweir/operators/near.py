@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textweir.functions.rolling import fnv
 from textweir.storage import materialize, small_batches
 
 HASHES, BAND_ROWS, SHINGLE, MOST_SHINGLES, DUPLICATE, BUCKET = 64, 4, 5, 400, 0.7, 200
@@ -21,22 +22,6 @@ NEAR = 0.55
 _U32 = np.uint64(0xFFFFFFFF)
 
 
-def _fnv(units: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """FNV-1a of many stretches of UTF-16 units at once, longest first so that the live ones are a prefix."""
-    order = np.argsort(-lens, kind="stable")
-    at, size = starts[order], lens[order]
-    h = np.full(len(at), 2166136261, np.uint64)
-    live = len(at) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
-    for j, n in enumerate(live.tolist()):
-        x = h[:n]
-        x ^= units[at[:n] + j]
-        x *= np.uint64(16777619)
-        x &= _U32
-    out = np.empty_like(h)
-    out[order] = h
-    return out
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     """HASHES rows of mixed values."""
     seeds = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B1)) & _U32
@@ -59,7 +44,7 @@ def signature_rows(texts: list[str], most_units: int = 1 << 20) -> tuple[np.ndar
         base = np.cumsum(sizes) - sizes
         starts = np.concatenate([b + s[:, 0] for b, (_, _, s) in zip(base, held)])
         lens = np.concatenate([s[:, 1] for _, _, s in held])
-        h = _mixed(_fnv(units, starts, lens))
+        h = _mixed(fnv(units, starts, lens))
         n = np.array([len(s) for _, _, s in held])
         parts.append(np.minimum.reduceat(h, np.cumsum(n) - n, axis=1).T)
         held.clear()

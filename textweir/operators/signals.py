@@ -14,6 +14,7 @@ from textweir.errors import NotFiniteError, TooFewTextsError
 from textweir.functions.hashing import mulberry
 from textweir.functions.text import FUNCTION_WORDS, punctuation_rates, sentences, signal_tokens
 from textweir.operators.near import near_duplicate_records
+from textweir.storage import materialize, numbered
 
 EDGE, EDGE_SHARE = 4, 0.01
 SCAFFOLD = r"^\s*(?:[-*•]|\d+[.)]|#{1,6}\s|\*\*)"
@@ -51,13 +52,11 @@ def tfidf(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
 def lexical_cluster(records: DataFrame, pairs: int = PAIRS):
     """Mean cosine of seeded pairs of records, and the 50 records nearest to all others."""
     spark = records.sparkSession
-    t = records.select("id", signal_tokens("text").alias("tokens")).cache()
+    t = materialize(records.select("id", signal_tokens("text").alias("tokens")))
     terms = vocabulary(t).cache()
     vec = tfidf(t, terms).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term_idx", "w"))).alias("v"))
-    # Places 0..m-1 in the order of ids: ranges first, so no task numbers all of them.
-    ids = vec.select("id").orderBy("id").rdd.map(lambda r: r[0]).zipWithIndex()
-    kind = records.schema["id"].dataType.simpleString()
-    place = spark.createDataFrame(ids, f"id {kind}, k long").cache()
+    vec = materialize(vec)
+    place = numbered(vec.select("id"), "id").cache()
     m, n_terms = place.count(), terms.count()
     if m < 2 or n_terms < LEAST_TERMS:
         one = spark.range(1).select(F.lit(m).alias("m"))
@@ -87,9 +86,9 @@ def style_vectors(records: DataFrame, *by: str) -> DataFrame:
     uses = words.groupBy(*by).agg(F.count("*").alias("types"), F.map_from_entries(F.collect_list(F.when(F.col("w").isin(FUNCTION_WORDS), F.struct("w", "c")))).alias("uses"))
     x = totals.join(uses, list(by), "left")
     per = 1000.0 / F.greatest(F.col("n_tokens"), F.lit(1))
-    cells = [F.coalesce(F.element_at("uses", F.lit(w)), F.lit(0)) * per for w in FUNCTION_WORDS]
-    cells += [F.col(f"p_{k}") for k in names] + [F.coalesce("sent_len", F.lit(0.0)), F.coalesce(F.col("types") / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(0.0))]
-    return x.select(*by, "n_records", F.array(*cells).alias("vector"))
+    rates_of = F.transform(F.array(*[F.lit(w) for w in FUNCTION_WORDS]), lambda w: F.coalesce(F.try_element_at("uses", w), F.lit(0)) * per)
+    cells = [F.col(f"p_{k}") for k in names] + [F.coalesce("sent_len", F.lit(0.0)), F.coalesce(F.col("types") / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(0.0))]
+    return x.select(*by, "n_records", F.concat(rates_of, F.array(*cells)).alias("vector"))
 
 
 def cosine(a, b):
@@ -115,6 +114,14 @@ def author_distances(records: DataFrame, author: str = "author_id", least: int =
     return unit.select(author, "n_records").join(dots, author).crossJoin(F.broadcast(m)).filter("m >= 2").select(author, "n_records", (1 - F.col("d") / (F.col("m") - 1)).alias("mean_distance"))
 
 
+def author_dispersion(records: DataFrame, author: str = "author_id", least: int = AUTHOR_RECORDS) -> DataFrame:
+    """author, n_records, dispersion: mean cosine distance of an author's records to the author's own vector."""
+    r = records.filter(F.col(author).isNotNull())
+    whole = style_vectors(r, author).filter(F.col("n_records") >= least).select(author, "n_records", F.col("vector").alias("centre"))
+    one = style_vectors(r.select(author, "id", "text"), author, "id").select(author, "vector")
+    return one.join(whole, author).groupBy(author).agg(F.max("n_records").alias("n_records"), F.avg(1 - cosine(F.col("vector"), F.col("centre"))).alias("dispersion"))
+
+
 def stylometry(records: DataFrame, author: str = "author_id"):
     """Mean distance between authors, and the ten authors closest to all others."""
     d = author_distances(records, author).cache()
@@ -136,14 +143,24 @@ def edge_groups(records: DataFrame, edge: str, *by: str) -> DataFrame:
 
 
 def template_parts(records: DataFrame) -> DataFrame:
-    """records, opener_rate, closer_rate, scaffold_rate, score in one row."""
+    """records, opener_rate, closer_rate, scaffold_rate, score in one row, from one scan and one count by gram."""
+    t = records.select(signal_tokens("text").alias("t"), F.exists(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(SCAFFOLD)).alias("s"))
+    long = F.size("t") >= EDGE
+
+    def edge(name, gram):
+        return F.struct(F.lit(name).alias("edge"), F.array_join(gram, " ").alias("gram"))
 
-    def rate(edge):
-        return edge_groups(records, edge).agg(F.coalesce(F.sum(F.when(F.col("shared"), F.col("uses"))) / F.sum("uses"), F.lit(0.0)).alias(f"{edge}_rate"))
+    cells = F.array(F.when(long, edge("start", F.slice("t", 1, EDGE))), F.when(long, edge("end", F.slice("t", -EDGE, EDGE))), F.when(F.col("s"), edge("scaffold", F.array().cast("array<string>"))), edge("all", F.array().cast("array<string>")))
+    g = t.select(F.explode(F.array_compact(cells)).alias("x")).groupBy("x.edge", "x.gram").agg(F.count("*").alias("uses"))
+    counted = g.groupBy("edge").agg(F.sum("uses").alias("counted"))  # four rows, from the same exchange
+    x = g.join(F.broadcast(counted), "edge")
+    shared = F.col("uses") >= F.greatest(F.lit(2), F.ceil(F.col("counted") * EDGE_SHARE))
 
-    scaffold = records.agg(F.count("*").alias("records"), F.coalesce(F.avg(F.exists(F.split("text", "\n"), lambda x: x.rlike(SCAFFOLD)).cast("double")), F.lit(0.0)).alias("scaffold_rate"))
-    x = scaffold.crossJoin(rate("start")).crossJoin(rate("end"))
-    return x.select("records", F.col("start_rate").alias("opener_rate"), F.col("end_rate").alias("closer_rate"), "scaffold_rate", (0.5 * F.col("start_rate") + 0.3 * F.col("end_rate") + 0.2 * F.col("scaffold_rate")).alias("score"))
+    def total(name, which=F.lit(True)):
+        return F.coalesce(F.sum(F.when((F.col("edge") == name) & which, F.col("uses"))), F.lit(0))
+
+    out = x.agg(total("all").alias("records"), *[F.coalesce(F.try_divide(total(e, shared), total(e)), F.lit(0.0)).alias(f"{e}_rate") for e in ("start", "end")], F.coalesce(F.try_divide(total("scaffold"), total("all")), F.lit(0.0)).alias("scaffold_rate"))
+    return out.select("records", F.col("start_rate").alias("opener_rate"), F.col("end_rate").alias("closer_rate"), "scaffold_rate", (0.5 * F.col("start_rate") + 0.3 * F.col("end_rate") + 0.2 * F.col("scaffold_rate")).alias("score"))
 
 
 def template(records: DataFrame) -> DataFrame:
@@ -160,24 +177,44 @@ def burstiness(records: DataFrame) -> DataFrame:
     return x.select("id", n.cast("long").alias("n_sentences"), "n_tokens", F.when(n >= 2, F.sqrt(var) / mean).alias("burst"))
 
 
+def length_variation(records: DataFrame) -> DataFrame:
+    """records and the variation (sample deviation over mean) of their lengths in tokens, in one row."""
+    n = records.select(F.size(signal_tokens(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*").alias("records"), F.avg("n").alias("m"), F.stddev_samp("n").alias("sd"))
+    return n.select("records", F.coalesce(F.try_divide("sd", "m"), F.lit(0.0)).alias("variation"))
+
+
 def length_shape(records: DataFrame) -> DataFrame:
     b = burstiness(records).agg(F.avg("burst").alias("x"), F.count("burst").alias("n"))
     return _row(b, "length_shape", F.col("x"), F.col("n") >= 10, "fewer than ten records with two sentences", F.col("n"))
 
 
 def variety_parts(records: DataFrame) -> DataFrame:
-    """tokens, types, ratio, rare_rate (mean share of tokens used at most twice in the batch) in one row."""
-    t = records.select("id", F.explode(signal_tokens("text")).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
-    uses = t.groupBy("w").agg(F.sum("c").alias("uses"))
-    rare = uses.filter("uses <= 2").select("w")
-    per = t.groupBy("id").agg(F.sum("c").alias("n")).join(t.join(rare, "w", "left_semi").groupBy("id").agg(F.sum("c").alias("r")), "id", "left")
-    return uses.agg(F.sum("uses").alias("tokens"), F.count("*").alias("types")).crossJoin(per.agg(F.avg(F.coalesce("r", F.lit(0)) / F.col("n")).alias("rare_rate"))).select("tokens", "types", F.try_divide("types", "tokens").alias("ratio"), "rare_rate")
+    """tokens, types, ratio, rare_rate (mean share of tokens used at most twice in the batch) in one row.
+
+    One scan, one count by word: a word used at most twice adds the reciprocal
+    lengths of its records, which are the least and the greatest it met.
+    """
+    t = records.select(signal_tokens("text").alias("t"))
+    w = t.select(F.explode("t").alias("w"), F.size("t").alias("n")).groupBy("w").agg(F.count("*").alias("uses"), F.min("n").alias("a"), F.max("n").alias("z"), F.sum(1.0 / F.col("n")).alias("share"))
+    rare = F.when(F.col("uses") == 1, 1.0 / F.col("a")).when(F.col("uses") == 2, 1.0 / F.col("a") + 1.0 / F.col("z")).otherwise(0.0)
+    out = w.agg(F.sum("uses").alias("tokens"), F.count("*").alias("types"), F.sum(rare).alias("r"), F.round(F.sum("share")).alias("records"))  # each record's shares add up to one
+    return out.select("tokens", "types", F.try_divide("types", "tokens").alias("ratio"), F.try_divide("r", "records").alias("rare_rate"))
 
 
 def lexical_variety(records: DataFrame) -> DataFrame:
     return _row(variety_parts(records), "lexical_variety", F.col("ratio"), F.coalesce(F.col("tokens") >= 500, F.lit(False)), "fewer than 500 tokens", F.coalesce("tokens", F.lit(0)))
 
 
+def flagged(records: DataFrame, most: int = 200) -> dict[str, list]:
+    """Ids (or authors) that each signal points at: near copies (``most`` at most), the 50 most central, the ten closest authors."""
+    near = near_duplicate_records(records, "id").filter("n_near > 0").orderBy("id").limit(most)
+    _, central = lexical_cluster(records)
+    out = {"near_dup": [r.id for r in near.collect()], "lexical_cluster": [r.id for r in central.collect()] if central is not None else []}
+    if "author_id" in records.columns:
+        out["stylometry"] = [r.author_id for r in stylometry(records)[1].collect()]
+    return out
+
+
 def run_signals(records: DataFrame) -> DataFrame:
     """All six in their fixed order: place, key, value, available, reason, n."""
     if records.select("text").distinct().limit(2).count() < 2:

@@ -29,6 +29,36 @@ def registry(found: dict[tuple[str, int], DataFrame]) -> DataFrame:
     return out
 
 
+def pretraining_scan(docs: DataFrame, benchmarks: dict[str, DataFrame], out: str, ns=(10, 13), max_df: int = 5) -> DataFrame:
+    """One pass per benchmark and n, never merged indexes; each pass's flagged items are written before the next begins.
+
+    A pass whose result is there is not run again, so a long scan goes on where it
+    stopped. Returns benchmark, n, item_id, docs (those that hold it) of all passes.
+    """
+    from textweir.operators.exact import raw_hits, runs, with_item_ids
+    from textweir.operators.index import build_index
+
+    spark = docs.sparkSession
+    jvm = spark._jvm
+    done = None
+    for name, items in benchmarks.items():
+        for n in ns:
+            path = jvm.org.apache.hadoop.fs.Path(f"{out}/benchmark={name}/n={n}")
+            if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                i = build_index(items, n)
+                live = with_item_ids(runs(raw_hits(docs, i), i, max_df=max_df).filter("survives"), i)
+                live.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs")).write.mode("overwrite").parquet(path.toString())
+            got = spark.read.parquet(path.toString()).select(F.lit(name).alias("benchmark"), F.lit(n).cast("long").alias("n"), "item_id", "docs")
+            done = got if done is None else done.unionByName(got)
+    return done
+
+
+def recall_sweep(docs: DataFrame, items: DataFrame, ns=(8, 10, 13), strides=(1, 2, 4), **options) -> list[dict]:
+    """Planted recall, verbatim and edited, over n (stride 1) and over strides (n 10), with and without the filter of common grams."""
+    grid = [(n, 1, True) for n in ns] + [(10, s, True) for s in strides if s > 1] + [(10, 1, False)]
+    return [planted_recall(docs, items, n, s, edited, discriminative=keep, **options) | {"edited": edited, "discriminative": keep} for n, s, keep in grid for edited in (False, True)]
+
+
 def canonical(hits: DataFrame, least: int = 2) -> DataFrame:
     """item_id and the number of corpora (``source``) that hold it, from ``least`` on."""
     return hits.groupBy("item_id").agg(F.count_distinct("source").alias("sources"), F.count_distinct("doc_id").alias("docs")).filter(F.col("sources") >= least)

@@ -296,6 +296,21 @@ def contaminated_items(spark, d):
     return exact.with_item_ids(r.filter("survives").select("item_idx").distinct(), i)
 
 
+@query(_exact(10, "SELECT doc_id, item_id, start, stop, grams, min_df AS condemned_by FROM runs WHERE NOT survives").replace("FROM documents)", "FROM (SELECT doc_id * 8 + k AS doc_id, source, text FROM documents, (SELECT unnest(range(8)) AS k)))", 1))
+def dropped_runs(spark, d):
+    """Runs dropped as ordinary language, with the frequency that condemned each, in a corpus that holds every document eight times."""
+    i = _index(spark, d)
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select((F.col("doc_id") * 8 + F.col("k")).alias("doc_id"), "text")
+    return exact.with_item_ids(exact.dropped(exact.runs(exact.raw_hits(docs, i), i)), i).select("doc_id", "item_id", "start", "stop", "grams", "condemned_by")
+
+
+@query(rf"SELECT count(*)::BIGINT AS documents, sum(len({TOK}))::BIGINT AS tokens FROM documents")
+def corpus_totals(spark, d):
+    """Documents and tokens as the scan's receipt counts them, beside the hits, in its one pass."""
+    totals = exact.scan(_t(spark, d, "documents"), _index(spark, d))[1]
+    return spark.createDataFrame([(totals["documents"], totals["tokens"])], "documents long, tokens long")
+
+
 @query()
 def exact_evidence(spark, d):
     """Matched text and context of surviving runs (tests hold it against slices of the text)."""
@@ -397,6 +412,30 @@ def minhash_signatures(spark, d):
     return s.select("item_id", F.posexplode("sig").alias("p", "value")).select("item_id", (F.col("p") + 1).cast("long").alias("place"), "value")
 
 
+def _signature_sql(name, source):
+    """Signatures of (id, t) rows: ``name`` (id, i, value)."""
+    return rf"""{name}_s AS (SELECT id, array_to_string(t[o:o + 4], ' ') AS g FROM (SELECT id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS o FROM {source} WHERE len(t) > 0)),
+{name}_f AS (SELECT DISTINCT id, ({FNV.format(c='g')}) AS h FROM {name}_s), {name}_b AS (SELECT id, i, {_B} AS b FROM {name}_f, (SELECT unnest(range(1, 65))::HUGEINT AS i)),
+{name}_c AS (SELECT id, i, {_C} AS c FROM {name}_b), {name} AS (SELECT id, i, min(xor(c, c // 32768)) AS value FROM {name}_c GROUP BY id, i)"""
+
+
+COPIES = "SELECT item_id * 8 + k AS doc_id, item_id, CASE WHEN k < 6 THEN text ELSE text || ' and so it goes' END AS text FROM benchmark, (SELECT unnest(range(8)) AS k)"
+
+
+@query(_exact(10, rf""", cd AS (SELECT doc_id, text, {TOK} AS t FROM ({COPIES})),
+cg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(t) - 8, 1)), lambda o: array_to_string(t[o:o + 9], ' '))) AS g FROM cd) WHERE g IN (SELECT g FROM idx)),
+early AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS place FROM cg) WHERE place <= 5),
+ci AS (SELECT item_id AS id, t FROM it), cc AS (SELECT doc_id AS id, t FROM cd WHERE doc_id NOT IN (SELECT doc_id FROM early)), {_signature_sql('si', 'ci')}, {_signature_sql('sd', 'cc')}
+SELECT d.id AS doc_id, s.id AS item_id, count(*) / 64.0::DOUBLE AS score, substr(any_value(text), 1, 240) AS sample FROM sd d JOIN si s ON d.i = s.i AND d.value = s.value JOIN cd ON cd.doc_id = d.id GROUP BY d.id, s.id HAVING count(*) >= 36"""))
+def near_copies(spark, d):
+    """The near tier over eight copies of every item, two of them edited: the first five are the exact tier's, the others ordinary language to it."""
+    items = _t(spark, d, "benchmark")
+    copies = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "text")
+    docs = copies.select((F.col("item_id") * 8 + F.col("k")).alias("doc_id"), F.when(F.col("k") < 6, F.col("text")).otherwise(F.concat("text", F.lit(" and so it goes"))).alias("text"))
+    i = build_index(items, 10)
+    return near.near_tier(docs, items, exact.runs(exact.raw_hits(docs, i), i))
+
+
 @query()
 def near_duplicate_records(spark, d):
     return near.near_duplicate_records(_t(spark, d, "documents"))
@@ -476,6 +515,16 @@ def author_distances(spark, d):
     return signals.author_distances(_records(spark, d))
 
 
+@query()
+def author_dispersion(spark, d):
+    return signals.author_dispersion(_records(spark, d))
+
+
+@query(rf"SELECT count(*)::BIGINT AS records, round(stddev_samp(len({TOK})) / avg(len({TOK})), 9) AS variation FROM documents")
+def length_variation(spark, d):
+    return signals.length_variation(_records(spark, d)).withColumn("variation", F.round("variation", 9))
+
+
 @query("WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT count(*)::BIGINT AS authors, count(*) FILTER (WHERE n >= 30)::BIGINT AS with_enough FROM c")
 def author_stats(spark, d):
     return scoring.author_stats(_records(spark, d))
@@ -534,17 +583,21 @@ def _grams(spark, d):
     return grams(_t(spark, d, "documents"), 10)
 
 
-CHECKPOINTS = [100, 200, 500, 1000, 2000, 5000, 10000]
+STEPS = [m * 10**k for k in range(2, 13) for m in (1, 2, 5)]
 POINTS = rf"""WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), g AS (SELECT doc_id, array_to_string(t[o:o + 9], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 8, 1))) AS o FROM t)),
-f AS (SELECT g, min(doc_id) AS d FROM g GROUP BY g), n AS (SELECT doc_id AS d, count(*) AS c FROM g GROUP BY doc_id), p AS (SELECT unnest([{", ".join(map(str, CHECKPOINTS))}])::BIGINT AS checkpoint),
+f AS (SELECT g, min(doc_id) AS d FROM g GROUP BY g), n AS (SELECT doc_id AS d, count(*) AS c FROM g GROUP BY doc_id), m AS (SELECT max(doc_id) + 1 AS m FROM documents),
+p AS (SELECT checkpoint FROM (SELECT unnest([{", ".join(map(str, STEPS))}])::BIGINT AS checkpoint), m WHERE checkpoint < m UNION ALL SELECT m FROM m),
 x AS (SELECT checkpoint, (SELECT coalesce(sum(c), 0) FROM n WHERE d < checkpoint)::BIGINT AS total, (SELECT count(*) FROM f WHERE d < checkpoint)::BIGINT AS distinct_grams FROM p)
 """
 
 
 def _points(spark, d):
+    """Checkpoints go on geometrically to the largest id; the last is the whole table."""
+    docs = _t(spark, d, "documents")
+    whole = (docs.agg(F.max("doc_id")).collect()[0][0] or 0) + 1
     g = _grams(spark, d)
     first = g.groupBy("key").agg(F.min("doc_id").alias("doc"))
-    return studies.heaps_points(first, g.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("grams")), CHECKPOINTS)
+    return studies.heaps_points(first, g.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("grams")), [c for c in STEPS if c < whole] + [whole])
 
 
 @query(POINTS + "SELECT checkpoint, total, distinct_grams FROM x")

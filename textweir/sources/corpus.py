@@ -6,11 +6,17 @@ line), computed from partition offsets, never by sorting the corpus in one task.
 
 from __future__ import annotations
 
+import gzip
+import itertools
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textweir.errors import EmptyBatchError, EmptyCorpusError, SchemaMismatchError
 from textweir.functions.text import is_blank, normalise, slug, word_count
+from textweir.storage import materialize
 
 TEXT_FIELDS = ("text", "response", "output", "completion", "content", "answer")
 ID_FIELDS = ("id", "_id", "record_id", "uuid")
@@ -19,21 +25,61 @@ PROMPT_FIELDS = ("prompt", "instruction", "question", "input")
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """(file, line, value) of text files, gzip by extension; line counts from 1 in each file.
+    """(file, line, value) of text files, in the order given; line counts from 1 in each file.
 
-    Files keep the order given. zipWithIndex needs one pass for partition sizes
-    and no shuffle.
+    gzip is known by its extension, and in local files by its first bytes too. A
+    line's number is its place in its split plus the lines of the splits before,
+    counted in one pass; no row leaves the JVM and nothing is shuffled.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     out = None
     for rank, path in enumerate(paths):
-        lines = spark.read.option("lineSep", "\n").text(path)
-        numbered = lines.rdd.zipWithIndex().map(lambda x, rank=rank: (rank, x[1] + 1, x[0][0]))
-        df = spark.createDataFrame(numbered, "file int, line long, value string")
+        if _hidden_gzip(path):
+            df = _unzipped(spark, path).select(F.lit(rank).alias("file"), "line", "value")
+        else:
+            meta = [F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("start")]
+            lines = spark.read.option("lineSep", "\n").text(path).select("value", *meta, F.monotonically_increasing_id().alias("m"))
+            splits = lines.groupBy("f", "start").agg(F.count("*").alias("n"), F.min("m").alias("least"), F.min("name").alias("name"))
+            before = Window.orderBy("name", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+            splits = materialize(splits.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))).select("f", "start", "least", "at")
+            df = lines.join(F.broadcast(splits), ["f", "start"]).select(F.lit(rank).alias("file"), (F.col("at") + F.col("m") - F.col("least") + 1).alias("line"), "value")
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def _hidden_gzip(path: str) -> bool:
+    """A local file that is gzip without saying so in its name."""
+    local = path.removeprefix("file://")
+    if "://" in local or not os.path.isfile(local) or local.endswith(".gz"):
+        return False
+    with open(local, "rb") as f:
+        return f.read(2) == b"\x1f\x8b"
+
+
+def _unzipped(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
+    """line, value of a gzip file whatever its name, read as a stream by one task, as gzip can't be split."""
+    local = os.path.abspath(path.removeprefix("file://"))
+
+    def read(batches):
+        for _ in batches:
+            with gzip.open(local, "rt", encoding="utf-8", errors="replace", newline="\n") as f:
+                at = 1
+                while part := [x.removesuffix("\n") for x in itertools.islice(f, rows)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], ["line", "value"])
+                    at += len(part)
+
+    return spark.range(1, numPartitions=1).mapInArrow(read, "line long, value string")
+
+
+def corpus_bytes(lines: DataFrame, paths) -> int:
+    """The size of one plain local file, else the bytes of all lines with their ends, uncompressed."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    local = paths[0].removeprefix("file://")
+    if len(paths) == 1 and os.path.isfile(local) and not local.endswith(".gz") and not _hidden_gzip(local):
+        return os.path.getsize(local)
+    return lines.agg(F.sum(F.octet_length("value") + 1)).collect()[0][0] or 0
+
+
 def _field(v, name: str):
     """A field's text if it is a string that isn't blank."""
     kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
@@ -136,8 +182,9 @@ def reference_subset(docs: DataFrame, dropped: list[str]) -> DataFrame:
 
 
 def category_subset(docs: DataFrame, categories: list[str], min_words: int = 10) -> DataFrame:
-    """Documents of the categories with enough words, and a running number (ranges, then places inside them)."""
-    kept = docs.filter(F.col("lang").isin(categories) & (word_count("text") >= min_words)).select("doc_id", "lang", word_count("text").cast("long").alias("n_words"))
+    """Documents of the categories with enough words, no context (where they have that column), and a running number."""
+    alone = is_blank(F.coalesce("context", F.lit(""))) if "context" in docs.columns else F.lit(True)
+    kept = docs.filter(F.col("lang").isin(categories) & (word_count("text") >= min_words) & alone).select("doc_id", "lang", word_count("text").cast("long").alias("n_words"))
     w = Window.partitionBy("lang").orderBy("doc_id")
     return kept.withColumn("k", F.row_number().over(w).cast("long")).select("doc_id", "lang", "n_words", F.concat(F.col("lang"), F.lit("-"), F.col("k")).alias("run_id"))
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 import struct
+import zlib
 
-from textweir.errors import IndexTruncatedError, IndexUnreadableError, IndexVersionError
+from textweir.errors import IndexMissingError, IndexTruncatedError, IndexUnreadableError, IndexVersionError
 
 MAGIC, CODEC, FORMAT = b"TXWEIRIX", 1, 3
 
@@ -106,3 +108,73 @@ def portable_owners(index) -> dict[int, list[int]]:
     g = grams(index.items, n, "item_idx").join(index.rows, ["item_idx", "key"], "left_semi").join(files, ["item_idx", "off"])
     rows = g.groupBy("file_key").agg(F.collect_set("item_idx").alias("o")).collect()
     return {r.file_key: sorted(r.o) for r in rows}
+
+
+def load_json(raw: bytes) -> tuple[dict, dict[int, list[int]]]:
+    """The plain form: ``keys`` and ``items`` side by side among the metadata."""
+    meta = json.loads(raw)
+    if not isinstance(meta, dict) or "keys" not in meta or "items" not in meta:
+        raise IndexUnreadableError("no keys and items")
+    if meta.get("formatVersion") != FORMAT:
+        raise IndexVersionError(f"format {meta.get('formatVersion')}, this reads {FORMAT}")
+    keys, items = meta.pop("keys"), meta.pop("items")
+    if len(keys) != len(items):
+        raise IndexTruncatedError(f"{len(keys)} keys, {len(items)} lists of items")
+    return meta, {int(k): sorted(o) for k, o in zip(keys, items)}
+
+
+def resolve_index(value: str, folder: str | None = None) -> str:
+    """A path, or the name of an index in ``folder``."""
+    if os.path.isdir(value):
+        raise IndexUnreadableError(f"{value} is a folder, not an index file")
+    if os.path.exists(value):
+        return value
+    known = sorted(f.removesuffix(SUFFIX) for f in (os.listdir(folder) if folder and os.path.isdir(folder) else ()) if f.endswith(SUFFIX))
+    if value in known:
+        return os.path.join(folder, value + SUFFIX)
+    raise IndexMissingError(f"no index {value}" + (f"; there are {', '.join(known)}" if known else ""))
+
+
+#: Index files are found by their name with this behind it.
+SUFFIX = ".idx.bin.gz"
+
+
+def read_index(path: str, magic: bytes = MAGIC) -> tuple[dict, dict[int, list[int]]]:
+    """Metadata and owners from a file, JSON by its name, else binary; gzip by its first bytes."""
+    try:
+        with open(path, "rb") as f:
+            raw = f.read()
+    except OSError as e:
+        raise IndexUnreadableError(f"{path}: {e}") from e
+    try:
+        if path.endswith(".json"):
+            return load_json(raw)
+        return decode_index(raw, magic)
+    except (EOFError, zlib.error, gzip.BadGzipFile) as e:
+        raise IndexTruncatedError(f"{path}: the gzip data is cut short or broken ({len(raw)} bytes were read)") from e
+    except (json.JSONDecodeError, UnicodeDecodeError) as e:
+        raise IndexUnreadableError(f"{path}: {e}") from e
+
+
+def index_meta(index, benchmark: str, identity: str, noun: tuple[str, str] = ("item", "items")) -> dict:
+    """Metadata of a built index, as files carry it."""
+    blind = index.uncheckable().collect()
+    stats = index.stats.collect()[0].asDict()
+    return {
+        "benchmark": benchmark, "benchmarkHash": identity, "n": index.n, "stride": index.stride, "itemNoun": {"one": noun[0], "many": noun[1]}, "stats": stats,
+        "itemIds": [str(r.item_id) for r in index.items.select("item_idx", "item_id").orderBy("item_idx").collect()],
+        "uncheckableItemIds": sorted(str(r.item_id) for r in blind), "unsegmentedItemIds": sorted(str(r.item_id) for r in blind if r.unsegmented),
+    }
+
+
+def write_index(index, path: str, benchmark: str, identity: str, noun: tuple[str, str] = ("item", "items")) -> dict:
+    """Write a built index: JSON if the name says so, else the binary form, gzipped if the name ends in .gz. Returns the metadata."""
+    meta, owners = index_meta(index, benchmark, identity, noun), portable_owners(index)
+    if path.endswith(".json"):
+        raw = json.dumps({"formatVersion": FORMAT} | meta | {"keys": sorted(owners), "items": [owners[k] for k in sorted(owners)]}, ensure_ascii=False).encode()
+    else:
+        raw = encode_index(meta, owners)
+        raw = gzip.compress(raw, 9, mtime=0) if path.endswith(".gz") else raw
+    with open(path, "wb") as f:
+        f.write(raw)
+    return meta

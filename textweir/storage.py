@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -42,3 +43,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8MB") -> N
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "k") -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of some columns: ranges are sorted
+    apart, and their sizes, one row a partition, make the offsets. Written, so that it holds still."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("m__", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("m__", 33)
+    at, rows = 0, []
+    for r in t.groupBy(part.alias("p__")).agg(F.count("*").alias("n")).orderBy("p__").collect():
+        rows.append((r.p__, at))
+        at += r.n
+    offsets = spark.createDataFrame(rows, "p__ long, at__ long")
+    placed = t.withColumn("p__", part).join(F.broadcast(offsets), "p__")
+    return placed.withColumn(name, F.col("at__") + F.col("m__").bitwiseAND(F.lit((1 << 33) - 1))).drop("p__", "m__", "at__")
