@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``docs``; ``n_chars`` follows the text. Whatever else the table
 carries passes through unread, under any name.
+
+Defined results, beside those of the operators
+----------------------------------------------
+* null texts: quality rules reject them as empty; the later stages, called alone,
+  take them as empty. Null ids pass through every stage; rows of equal ids are
+  rows of their own, but in line dedup, where an id is a document.
+* ties: of near duplicates with one id the first row stays.
+* empty tables (documents or benchmark): empty results, or all documents kept.
+* texts of any length are judged, compared and packed whole.
 """
 
 from pyspark.sql import functions as F
