@@ -194,7 +194,7 @@ class Model:
         self.total, self.distinct, self.counts, self.slices, self.shards, self.most, self.top, self.rest = total, distinct, counts, slices, shards, most, top, rest
 
 
-def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 29, max_exact: int = 1 << 20, per_key: int = 14) -> Model:
+def train(docs: DataFrame, min_count: int = 2, max_bits: int = 1 << 26, max_exact: int = 1 << 20, per_key: int = 14) -> Model:
     """Count all words and word pairs of ``docs.text`` (binary)."""
     spark = docs.sparkSession
     shards = n_shards(docs, per_shard=8 << 20)
