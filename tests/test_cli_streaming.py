@@ -84,11 +84,22 @@ def test_baselines_and_score(spark, tmp_path, capsys, monkeypatch):
 
 
 def test_streaming_retracts_what_became_common(spark, tmp_path):
-    index = build_index(spark.createDataFrame([(0, ITEM)], "item_id long, text string"))
-    src = f"{tmp_path}/in"
-    for k, ids in enumerate((range(3), range(3, 12))):
-        spark.createDataFrame([(i, f"z {ITEM}") for i in ids], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
-        q = watch(spark.readStream.schema("doc_id long, text string").parquet(src), index, f"{tmp_path}/out", f"{tmp_path}/cp", trigger={"availableNow": True})
+    """After every batch the findings are those of one scan of all documents so far, whatever their order."""
+    from textweir.operators import exact
+    from textweir.streaming.incremental import findings
+
+    other = " ".join(f"beta{k}" for k in range(30))
+    index = build_index(spark.createDataFrame([(0, ITEM), (1, other)], "item_id long, text string"))
+    src, so_far = f"{tmp_path}/in", []
+    batches = ([(10, f"z {ITEM}"), (11, f"{ITEM} {other}"), (12, "clean")], [(k, f"z {ITEM}") for k in (1, 20, 21)] + [(22, other)], [(k, f"q {ITEM} {k}") for k in range(30, 36)])
+    for part in batches:
+        so_far += part
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
+        q = watch(spark.readStream.schema("doc_id long, text string").parquet(src), index, f"file://{tmp_path}/out", f"{tmp_path}/cp", trigger={"availableNow": True})
         q.awaitTermination(120)
-        got = spark.read.parquet(f"{tmp_path}/out/runs")
-        assert (got.count(), got.filter("survives").count()) == ((3, 3) if k == 0 else (12, 0))
+        assert q.exception() is None
+        columns = ["doc_id", "item_idx", "start", "stop", "grams", "early_rare", "survives"]
+        want = exact.runs(exact.raw_hits(spark.createDataFrame(so_far, "doc_id long, text string"), index), index).select(columns)
+        got = findings(spark, f"file://{tmp_path}/out").select(columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("survives").count() == 2  # the other item, in two documents

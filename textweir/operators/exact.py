@@ -85,7 +85,11 @@ def runs(hits: DataFrame, index: Index, stride: int = 1, max_df: int = MAX_DOC_F
     document arrived. ``order_free`` judges by final frequencies alone.
     """
     hits = materialize(hits)
-    seen = frequencies(hits, max_df)  # one row a key of the index at most
+    return judged(hits, frequencies(hits, max_df), index, stride, max_df, order_free)
+
+
+def judged(hits: DataFrame, seen: DataFrame, index: Index, stride: int, max_df: int, order_free: bool = False) -> DataFrame:
+    """``runs`` for frequencies that are known: key, df, last_rare, one row a key of the index at most."""
     h = hits.join(F.broadcast(seen) if index.rows.count() <= BROADCAST_ROWS else seen, "key").withColumn("rare", F.col("doc_id") <= F.col("last_rare"))
     w = Window.partitionBy("doc_id", "item_idx").orderBy("off")
     gap = F.coalesce((F.col("off") > F.lag("off").over(w) + stride).cast("int"), F.lit(0))
