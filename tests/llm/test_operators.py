@@ -63,6 +63,15 @@ def test_line_dedup(docs, rows, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_many_rows_without_an_id(spark):
+    """They are one document for counting, and each loses what it must."""
+    from textweir.llm.line_dedup import dedup_lines
+
+    rows = [(None, f"{LONG}{k % 4}\nown line of row number {k}") for k in range(30)] + [(k, f"{LONG}{k % 3}") for k in range(9)] + [(None, None)]
+    got = [(d, n, k, hashlib.sha256((t or "").encode()).hexdigest()) for d, n, k, t in by_id(dedup_lines(frame(spark, rows)), "doc_id", "n_lines", "n_dropped", "text")]
+    assert sorted(got, key=repr) == sorted(lines(rows), key=repr)
+
+
 def test_line_dedup_with_a_full_filter(docs, rows):
     """A filter too small for its keys only makes more lines suspect."""
     from textweir.llm.line_dedup import dedup_lines

@@ -7,8 +7,10 @@ line without the six ASCII white-space bytes at both ends, A-Z lower-cased.
 Defined results
 ---------------
 * null or empty text: one empty line, never dropped.
-* null ``doc_id``: a document of its own that ranks below every id; rows that
-  share an id are one document for counting, and each is returned.
+* null ``doc_id``: all such rows are one document for counting, which ranks below
+  every id; rows that share an id are one document too, and each row is returned.
+  Rows without an id are told apart by their place, so ``docs`` is a table, whose
+  scans agree on the order of rows.
 * ties: rows that share the largest id all keep the key's lines. Texts and lines of
   any length are judged whole.
 * keys shorter than ``min_chars`` code points are never dropped.
@@ -52,7 +54,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
     without any are never shuffled.
     """
     spark = docs.sparkSession
-    base = normalized(docs, *keep).withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID)))
+    base = normalized(docs, *keep).withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0))
     shards = n_shards(docs)
     bits = shards.bit_length() - 1
 
@@ -84,31 +86,31 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
     flagged = base.mapInArrow(flag, schema_of(base.schema, "suspects array<binary>"))
 
     def occurrences(batches):
-        """Distinct (digest, rid) of this task."""
+        """Distinct (digest, rid, row) of this task."""
         seen = set()
         for b in batches:
-            for found, rid in zip(suspects_of(b.column("text")), b.column("rid").to_pylist()):
-                seen.update((d, rid) for d in found)
+            for found, rid, row in zip(suspects_of(b.column("text")), b.column("rid").to_pylist(), b.column("row").to_pylist()):
+                seen.update((d, rid, row) for d in found)
         pairs = list(seen)
         for i in range(0, len(pairs), 1 << 16):
-            part = pairs[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], pa.int64())], ["digest", "rid"])
+            part = list(zip(*pairs[i : i + (1 << 16)]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.binary()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())], ["digest", "rid", "row"])
 
-    pairs = base.select("text", "rid").mapInArrow(occurrences, "digest binary, rid long").distinct()
+    pairs = base.select("text", "rid", "row").mapInArrow(occurrences, "digest binary, rid long, row long").distinct()
     pairs = materialize(pairs)
-    known = pairs.groupBy("digest").agg(F.count("*").alias("n"), F.max("rid").alias("last")).filter(F.col("n") >= min_docs)
+    known = pairs.select("digest", "rid").distinct().groupBy("digest").agg(F.count("*").alias("n"), F.max("rid").alias("last")).filter(F.col("n") >= min_docs)
     known = materialize(known)
     total = pairs.count()
     heavy = known.filter(F.col("n") > F.lit(max(1000, total // 1000)))
     light = known.filter(F.col("n") <= F.lit(max(1000, total // 1000))).select("digest", "last")
     rest = pairs.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     drops = rest.join(light, "digest").union(pairs.join(F.broadcast(heavy.select("digest", "last")), "digest")).filter(F.col("rid") < F.col("last"))
-    drops = drops.groupBy(F.col("rid").alias("drop_rid")).agg(F.collect_set("digest").alias("drop"))
+    drops = drops.groupBy(F.col("rid").alias("drop_rid"), F.col("row").alias("drop_row")).agg(F.collect_set("digest").alias("drop"))
 
-    schema = schema_of([f for f in base.schema if f.name not in ("text", "rid")], "n_lines long, n_dropped long, text binary")
+    schema = schema_of([f for f in base.schema if f.name not in ("text", "rid", "row")], "n_lines long, n_dropped long, text binary")
 
     def batch(b, lines, dropped, texts):
-        others = [(c, n) for c, n in zip(b.columns, b.schema.names) if n not in ("text", "rid", "drop")]
+        others = [(c, n) for c, n in zip(b.columns, b.schema.names) if n not in ("text", "rid", "row", "drop")]
         return pa.RecordBatch.from_arrays([*(c for c, _ in others), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary())], [*(n for _, n in others), "n_lines", "n_dropped", "text"])
 
     def clean(batches):
@@ -131,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: t
             texts = b.column("text").to_pylist()
             yield batch(b, [t.count(b"\n") + 1 for t in texts], [0] * len(texts), texts)
 
-    touched = flagged.filter(F.size("suspects") > 0).drop("suspects").join(drops.hint("shuffle_hash"), F.col("rid") == F.col("drop_rid"), "left").drop("rid", "drop_rid")
+    touched = flagged.filter(F.size("suspects") > 0).drop("suspects").join(drops.hint("shuffle_hash"), (F.col("rid") == F.col("drop_rid")) & (F.col("row") == F.col("drop_row")), "left").drop("rid", "row", "drop_rid", "drop_row")
     return touched.mapInArrow(clean, schema).unionByName(base.mapInArrow(untouched, schema)).withColumn("text", F.col("text").cast("string"))
 
 
