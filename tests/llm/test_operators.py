@@ -612,6 +612,9 @@ def test_pipeline_removes_every_holder_of_an_item(spark, tmp_path):
 def test_pipeline(spark, rows, tmp_path):
     """run() against the stages' plain versions, on a table with more columns than documents has."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from textweir.llm.decontaminate import Item, words_of
     from textweir.llm.quality_rules import judge
 
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -635,7 +638,28 @@ def test_pipeline(spark, rows, tmp_path):
         elif name == "near_duplicates":
             _, low = groups([fingerprint(t) for _, t in table])
             assert len(got) == len(set(low)) and {fingerprint(t) for _, t in got} <= {fingerprint(t) for _, t in table}
+        elif name == "decontamination":
+            it = Item(0, words_of(f"{LONG}0".encode()))
+
+            def holds(text):
+                ws = words_of(text.encode())
+                for at in range(0, max(1, len(ws) - 24), 24):
+                    lcs, answer = it.lcs(ws[max(0, at - 24) : at + 72])
+                    if lcs >= 0.8 * it.n or lcs >= 0.6 * it.n and 2 * answer >= it.answer:
+                        return True
+                return False
+
+            assert got == sorted(((d, t) for d, t in table if not holds(t)), key=repr)
         table = got
-    sequences = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert {r.doc_id for r in sequences.select("doc_id").distinct().collect()} == {d for d, _ in table}
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sequences.count()
+    tok, want = Tokenizer.from_file(PATH), []
+    for d, t in table:
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        want += [(d, k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+    for sequences in (corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        got, by = sequences.collect(), {}
+        assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == sorted(want, key=repr)
+        for r in got:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for seq in map(sorted, by.values()):
+            assert [o for o, _ in seq] == [sum(n for _, n in seq[:k]) for k in range(len(seq))] and sum(n for _, n in seq) <= 2048
