@@ -37,7 +37,7 @@ def test_queries_without_sql(spark, con):
     """What operators' own tests hold against models is checked here for its shape on the tables."""
     from textweir.functions.hashing import Mulberry
 
-    n, pages, sources = (con.sql(f"select count({x}) from {t}").fetchone()[0] for x, t in (("*", "documents"), ("*", "pages"), ("distinct source", "documents")))
+    n, pages, sources = (con.sql(f"select count({x}) from {t}").fetchall()[0][0] for x, t in (("*", "documents"), ("*", "pages"), ("distinct source", "documents")))
     draw = Mulberry(0x1CE07)
     draws = [draw() for _ in range(n)]
     assert [r.draw for r in sorted(rows(spark, "seeded_draws"))] == draws  # ids run from 0
