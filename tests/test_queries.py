@@ -85,6 +85,25 @@ def test_documents_of_dropped_runs_are_not_gated(spark, tmp_path):
     assert sorted(r.doc_id for r in QUERIES["near_gated_docs"](spark, str(tmp_path)).collect()) == [8, 9]
 
 
+ODD = ["a b c d e f a b c d e f", "a b c d e a b c d e", "One, two: 'three' -- (four)! five? six; seven. \u2013 eight \u2014 \u201cnine\u201d \"ten\"", "", None, "?!", "x", "Istanbul \u03a3\u0391\u03a3 \u00e9t\u00e9 na\u00efve \u6f22\u5b57 \U00010400x \u0661\u0662 a_b  c\u00a0d", "no.\n\nyes!  maybe? \t so it's;\n \n"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shingles_are_counted_where_the_text_is(spark, tmp_path):
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    con = tables(tmp_path, documents={"doc_id": ids, "text": ODD})
+    agree(spark, tmp_path, con, "shingle_counts")
+    assert "Exchange" not in plan(QUERIES["shingle_counts"](spark, str(tmp_path)))
+
+
+def test_shingles_of_repeated_ids(spark, tmp_path):
+    con = tables(tmp_path, documents={"doc_id": [0, 0, 1, None, None, 2, 3, 4, 4], "text": ODD})
+    agree(spark, tmp_path, con, "shingle_counts")
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -1,6 +1,6 @@
 """Column expressions for text: three tokenizers, shingles, sentences, rates, page text.
 
-All are built-in expressions, so they stay in the JVM. The three tokenizers are
+All but ``shingle_sizes`` are built-in expressions, so they stay in the JVM. The three tokenizers are
 kept apart on purpose: the *scan* tokenizer works on UTF-16 units (letters
 outside the basic plane separate), the *signal* tokenizer on code points, and
 the *triage* tokenizer treats the apostrophe as a separator.
@@ -8,8 +8,12 @@ the *triage* tokenizer treats the apostrophe as a separator.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textweir.storage import small_batches
 
 #: The 116 words whose rates make a style vector.
 FUNCTION_WORDS = (
@@ -23,6 +27,8 @@ FUNCTION_WORDS = (
 #: Letters of scripts written without spaces.
 UNSEGMENTED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 PUNCTUATION = {"apostrophe": "'", "colon": ":", "comma": ",", "dash": "[-–—]", "exclaim": "!", "paren": "[()]", "period": r"\.", "question": r"\?", "quote": "[\"'“”]", "semicolon": ";"}
+#: The marks of each class; together the only characters that the classes count.
+MARKS = {"apostrophe": "'", "colon": ":", "comma": ",", "dash": "-–—", "exclaim": "!", "paren": "()", "period": ".", "question": "?", "quote": "\"'“”", "semicolon": ";"}
 
 
 def _col(c) -> Column:
@@ -44,6 +50,16 @@ def signal_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
 
 
+def token_line(c) -> Column:
+    """The signal tokens in one string, one space apart; no token holds white space."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}']+", " "))
+
+
+def token_count(line: Column) -> Column:
+    """Tokens of a ``token_line``."""
+    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
 def triage_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -67,6 +83,24 @@ def shingles(tokens: Column, k: int) -> Column:
     return F.when(size == 0, F.array().cast("array<string>")).otherwise(many)
 
 
+def shingle_sizes(df, key: str, k: int):
+    """``key``, n_shingles, n_distinct of each row with a token; ``shingles`` are counted where the row is."""
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            places, n, distinct = [], [], []
+            for i, line in enumerate(b.column(1)):
+                t = (line.as_py() or "").split()
+                if t:
+                    places.append(i)
+                    n.append(max(1, len(t) - k + 1))
+                    distinct.append(len(set(zip(*[t[j : len(t) - k + 1 + j] for j in range(k)]))) if len(t) > k else 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), pa.array(n, pa.int64()), pa.array(distinct, pa.int64())], [key, "n_shingles", "n_distinct"])
+
+    return df.select(key, token_line("text").alias("line")).mapInArrow(run, T.StructType([df.schema[key], *T.StructType.fromDDL("n_shingles long, n_distinct long").fields]))
+
+
 def word_count(c) -> Column:
     return F.regexp_count(_col(c), F.lit(r"\S+"))
 
@@ -96,6 +130,16 @@ def punctuation_rates(c, n_tokens: Column) -> dict[str, Column]:
     return {k: F.when(n_tokens > 0, F.regexp_count(_col(c), F.lit(p)) * 1000.0 / n_tokens).otherwise(F.lit(0.0)) for k, p in PUNCTUATION.items()}
 
 
+def marks(c) -> Column:
+    """What is left of a text without all but the marks of the ten classes."""
+    return F.regexp_replace(_col(c), r"[^':,\-–—!().?\"“”;]+", "")
+
+
+def mark_count(left: Column, name: str) -> Column:
+    """Occurrences of a class among ``marks``."""
+    return F.length(left) - F.length(F.translate(left, MARKS[name], ""))
+
+
 _NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "mdash": "—", "ndash": "–", "hellip": "…", "amp": "&"}
 _BLOCKS = "h[1-6]|blockquote|article|section|div|tr|li|br|p"
 

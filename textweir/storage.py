@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -35,6 +36,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_repeats(df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key occurs once, and the others (None without any). Only keys are shuffled,
+    so that what is counted within a key can be counted within a row; null is a key."""
+    again = materialize(df.select(*[F.col(k).alias(f"{k}__") for k in keys]).groupBy(*[f"{k}__" for k in keys]).agg(F.count("*").alias("n__")).filter("n__ > 1").drop("n__"))
+    if again.isEmpty():
+        return df, None
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys])
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8MB") -> None:
     """Arrow batches of whole texts are large: bound them by rows and bytes, so that a
     Python worker holds little. A smaller setting of the session's own stays."""
