@@ -104,6 +104,12 @@ def test_shingles_of_repeated_ids(spark, tmp_path):
     agree(spark, tmp_path, con, "shingle_counts")
 
 
+def test_punctuation_is_counted_without_ten_regexes(spark, tmp_path):
+    con = tables(tmp_path, documents={"doc_id": list(range(len(ODD))), "text": ODD})
+    agree(spark, tmp_path, con, "punctuation_rates")
+    assert plan(QUERIES["punctuation_rates"](spark, str(tmp_path))).count("regexp_extract_all") <= 2
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -1,6 +1,6 @@
 """Column expressions for text: three tokenizers, shingles, sentences, rates, page text.
 
-All but ``shingle_sizes`` are built-in expressions, so they stay in the JVM. The three tokenizers are
+All but ``shingle_sizes`` and ``counted_marks`` are built-in expressions, so they stay in the JVM. The three tokenizers are
 kept apart on purpose: the *scan* tokenizer works on UTF-16 units (letters
 outside the basic plane separate), the *signal* tokenizer on code points, and
 the *triage* tokenizer treats the apostrophe as a separator.
@@ -51,13 +51,8 @@ def signal_tokens(c) -> Column:
 
 
 def token_line(c) -> Column:
-    """The signal tokens in one string, one space apart; no token holds white space."""
-    return F.trim(F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}']+", " "))
-
-
-def token_count(line: Column) -> Column:
-    """Tokens of a ``token_line``."""
-    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    """The signal tokens in one string, one space apart, perhaps with one at either end; no token holds white space."""
+    return F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}']+", " ")
 
 
 def triage_tokens(c) -> Column:
@@ -130,14 +125,22 @@ def punctuation_rates(c, n_tokens: Column) -> dict[str, Column]:
     return {k: F.when(n_tokens > 0, F.regexp_count(_col(c), F.lit(p)) * 1000.0 / n_tokens).otherwise(F.lit(0.0)) for k, p in PUNCTUATION.items()}
 
 
-def marks(c) -> Column:
-    """What is left of a text without all but the marks of the ten classes."""
-    return F.regexp_replace(_col(c), r"[^':,\-–—!().?\"“”;]+", "")
+def mark_counts(t: str | None) -> list[int | None]:
+    """Occurrences of the ten classes; unknown for null."""
+    return [None if t is None else sum(map(t.count, chars)) for chars in MARKS.values()]
 
 
-def mark_count(left: Column, name: str) -> Column:
-    """Occurrences of a class among ``marks``."""
-    return F.length(left) - F.length(F.translate(left, MARKS[name], ""))
+def counted_marks(df, *keep: str):
+    """``keep`` and the occurrences of each class of punctuation in ``text``, one column a class."""
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            counts = zip(*[mark_counts(t.as_py()) for t in b.column(0)]) if len(b) else [()] * len(MARKS)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x, pa.int64()) for x in counts)], [*keep, *MARKS])
+
+    fields = [df.schema[k] for k in keep] + [T.StructField(k, T.LongType()) for k in MARKS]
+    return df.select("text", *keep).mapInArrow(run, T.StructType(fields))
 
 
 _NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "mdash": "—", "ndash": "–", "hellip": "…", "amp": "&"}
