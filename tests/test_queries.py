@@ -110,6 +110,39 @@ def test_punctuation_is_counted_without_ten_regexes(spark, tmp_path):
     assert plan(QUERIES["punctuation_rates"](spark, str(tmp_path))).count("regexp_extract_all") <= 2
 
 
+def authored(folder, repeat=1):
+    """Two authors of 32 records and one of a single record; with ``repeat`` ids come that often."""
+    texts = [f"{t or ''} the of and {i}." if t is not None else None for i in range(8) for t in ODD[:8]] + ["alone here."]
+    authors = ["a", "b"] * 32 + ["c"]
+    return tables(folder, documents={"doc_id": [i // 2 // repeat * 2 + i % 2 for i in range(65)], "source": authors, "text": texts})
+
+
+def test_styles_are_counted_where_the_text_is(spark, tmp_path):
+    agree(spark, tmp_path, authored(tmp_path), "style_features")
+    made = plan(QUERIES["style_features"](spark, str(tmp_path)))
+    assert made.count("Scan parquet") == 1 and "Generate explode(tokens" not in made
+
+
+def test_dispersion_of_records_and_of_repeated_ids(spark, tmp_path):
+    """Held against style vectors of (author, id) groups, which is what a record's own vector must be."""
+    from textweir.operators import signals
+
+    for repeat in (1, 2):
+        folder = tmp_path / str(repeat)
+        folder.mkdir()
+        authored(folder, repeat)
+        r = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id id", "text", "source author_id")
+        found = {x.author_id: (x.n_records, round(x.dispersion, 9)) for x in QUERIES["author_dispersion"](spark, str(folder)).collect()}
+        centre = {x.author_id: x for x in signals.style_vectors(r, "author_id").collect() if x.n_records >= 30}
+        each = {}
+        for x in signals.style_vectors(r, "author_id", "id").collect():
+            if x.author_id in centre:  # a record without a text has cosine 0
+                a, b = x.vector, centre[x.author_id].vector
+                each.setdefault(x.author_id, []).append(1 if None in a else 1 - sum(p * q for p, q in zip(a, b)) / ((sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5 or 1))
+        assert found == {k: (centre[k].n_records, round(sum(v) / len(v), 9)) for k, v in each.items()}
+    assert plan(QUERIES["author_dispersion"](spark, str(tmp_path / "1"))).count("explode") == 0
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

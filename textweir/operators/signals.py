@@ -7,19 +7,26 @@ available, reason, n), and where the signal flags records, a second frame.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textweir.errors import NotFiniteError, TooFewTextsError
 from textweir.functions.hashing import mulberry
-from textweir.functions.text import FUNCTION_WORDS, punctuation_rates, sentences, signal_tokens
+from textweir.functions.text import FUNCTION_WORDS, MARKS, mark_counts, sentences, signal_tokens, token_line
 from textweir.operators.near import near_duplicate_records
-from textweir.storage import materialize, numbered
+from textweir.storage import materialize, numbered, small_batches, split_repeats
 
 EDGE, EDGE_SHARE = 4, 0.01
 SCAFFOLD = r"^\s*(?:[-*•]|\d+[.)]|#{1,6}\s|\*\*)"
 VOCABULARY, LEAST_DF, DF_SHARE, PAIRS, PAIR_SEED, LEAST_TERMS = 4000, 3, 0.6, 40_000, 0x1CE07, 50
 AUTHOR_RECORDS = 30
+#: Words and groups that a task holds before it hands on their counts.
+STYLE_HELD = 300_000
 
 
 def _row(df: DataFrame, key: str, value, available, reason, n) -> DataFrame:
@@ -73,24 +80,92 @@ def lexical_cluster(records: DataFrame, pairs: int = PAIRS):
     return value, each.orderBy(F.desc("mean_sim"), "id").limit(50)
 
 
+def _style_input(records: DataFrame, *by: str) -> DataFrame:
+    small_batches(records.sparkSession)
+    return records.select("text", token_line("text").alias("line"), F.size(sentences("text")).cast("long").alias("s_n"), *by)
+
+
+def _style_rows(b: pa.RecordBatch):
+    """(tokens, sentences, rates of the ten classes) of each record; None for a null text.
+
+    Sentences are cut at white space, which no token holds, so the tokens of a text are those of its sentences.
+    """
+    for t, line, s_n in zip(*(c.to_pylist() for c in b.columns[:3])):
+        if t is None:
+            yield None
+        else:
+            tokens = line.split()
+            yield tokens, s_n, [c * 1000.0 / max(len(tokens), 1) for c in mark_counts(t)]
+
+
 def style_vectors(records: DataFrame, *by: str) -> DataFrame:
-    """by..., n_records, vector of 128: function words and punctuation per 1,000 tokens, sentence length, type-token ratio."""
-    t = records.select(*by, "text", signal_tokens("text").alias("tokens"))
-    size = F.size("tokens")
-    rates = punctuation_rates("text", F.greatest(size, F.lit(1)))
-    names = list(rates)
-    lens = F.transform(sentences("text"), lambda s: F.size(signal_tokens(s)))
-    flat = t.select(*by, size.alias("n"), *[rates[k].alias(f"p_{k}") for k in names], F.aggregate(lens, F.lit(0), lambda a, x: a + x).alias("s_sum"), F.size(lens).alias("s_n"))
-    totals = flat.groupBy(*by).agg(F.count("*").alias("n_records"), F.sum("n").alias("n_tokens"), *[F.avg(f"p_{k}").alias(f"p_{k}") for k in names], F.try_divide(F.sum("s_sum"), F.sum("s_n")).alias("sent_len"))
-    words = t.select(*by, F.explode("tokens").alias("w")).groupBy(*by, "w").agg(F.count("*").alias("c"))
-    uses = words.groupBy(*by).agg(F.count("*").alias("types"), F.map_from_entries(F.collect_list(F.when(F.col("w").isin(FUNCTION_WORDS), F.struct("w", "c")))).alias("uses"))
-    x = totals.join(uses, list(by), "left")
+    """by..., n_records, vector of 128: function words and punctuation per 1,000 tokens, sentence length, type-token ratio.
+
+    Each task adds up the words and totals of a group; a row without a word holds the totals.
+    """
+    marks = [f"p_{k}" for k in MARKS]
+    sums = ["c", "n_records", "n_tokens", "s_n", "p_n", *marks]
+    schema = T.StructType([*(records.schema[k] for k in by), *T.StructType.fromDDL("w string, " + ", ".join(f"{k} {'double' if k in marks else 'long'}" for k in sums)).fields])
+    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * len(marks)]
+
+    def flush(held, types):
+        for key, (totals, rates, words) in held.items():
+            w = [None, *words]
+            cells = [[None, *words.values()], *([x] + [None] * len(words) for x in [*totals, *rates])]
+            keys = [pa.array([k], t).take(pa.array(np.zeros(len(w), np.int64))) for k, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, t) for x, t in zip([w, *cells], kinds))], schema.names)
+
+    def run(batches):
+        held, size, types = {}, 0, None
+        for b in batches:
+            types = [c.type for c in b.columns[3:]]
+            for key, row in zip(zip(*(c.to_pylist() for c in b.columns[3:])), _style_rows(b)):
+                have = held.get(key)
+                if have is None:
+                    have = held[key] = ([0] * 4, [0.0] * len(marks), Counter())
+                    size += 1
+                totals, rates, words = have
+                totals[0] += 1
+                if row is not None:
+                    tokens, s_n, each = row
+                    for i, x in enumerate((len(tokens), s_n, 1), 1):
+                        totals[i] += x
+                    for i, x in enumerate(each):
+                        rates[i] += x
+                    size -= len(words)
+                    words.update(tokens)
+                    size += len(words)
+            if size > STYLE_HELD:
+                yield from flush(held, types)
+                held, size = {}, 0
+        yield from flush(held, types)
+
+    words = _style_input(records, *by).mapInArrow(run, schema).groupBy(*by, "w").agg(*[F.sum(k).alias(k) for k in sums])
+    x = words.groupBy(*by).agg(*[F.sum(k).alias(k) for k in sums[1:]], F.count("w").alias("types"), F.map_from_entries(F.collect_list(F.when(F.col("w").isin(FUNCTION_WORDS), F.struct("w", "c")))).alias("uses"))
     per = 1000.0 / F.greatest(F.col("n_tokens"), F.lit(1))
     rates_of = F.transform(F.array(*[F.lit(w) for w in FUNCTION_WORDS]), lambda w: F.coalesce(F.try_element_at("uses", w), F.lit(0)) * per)
-    cells = [F.col(f"p_{k}") for k in names] + [F.coalesce("sent_len", F.lit(0.0)), F.coalesce(F.col("types") / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(0.0))]
+    cells = [F.try_divide(F.col(k), F.col("p_n")) for k in marks] + [F.coalesce(F.try_divide("n_tokens", "s_n"), F.lit(0.0)), F.col("types") / F.greatest(F.col("n_tokens"), F.lit(1))]
     return x.select(*by, "n_records", F.concat(rates_of, F.array(*cells)).alias("vector"))
 
 
+def record_vectors(records: DataFrame, author: str) -> DataFrame:
+    """author, vector: the ``style_vectors`` of single records, made where the record is."""
+
+    def vector(row):
+        if row is None:
+            return [0.0] * len(FUNCTION_WORDS) + [None] * len(MARKS) + [0.0, 0.0]
+        tokens, s_n, rates = row
+        n, c = max(len(tokens), 1), Counter(tokens)
+        per = 1000.0 / n
+        return [*(c[w] * per for w in FUNCTION_WORDS), *rates, len(tokens) / s_n if s_n else 0.0, len(c) / n]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(map(vector, _style_rows(b)), pa.list_(pa.float64()))], [author, "vector"])
+
+    return _style_input(records, author).mapInArrow(run, T.StructType([records.schema[author], *T.StructType.fromDDL("vector array<double>").fields]))
+
+
 def cosine(a, b):
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -118,7 +193,11 @@ def author_dispersion(records: DataFrame, author: str = "author_id", least: int
     """author, n_records, dispersion: mean cosine distance of an author's records to the author's own vector."""
     r = records.filter(F.col(author).isNotNull())
     whole = style_vectors(r, author).filter(F.col("n_records") >= least).select(author, "n_records", F.col("vector").alias("centre"))
-    one = style_vectors(r.select(author, "id", "text"), author, "id").select(author, "vector")
+    whole = materialize(whole)  # its size is known then
+    once, again = split_repeats(r.select(author, "id", "text"), author, "id")
+    one = record_vectors(once, author)
+    if again is not None:
+        one = one.unionByName(style_vectors(again, author, "id").select(author, "vector"))
     return one.join(whole, author).groupBy(author).agg(F.max("n_records").alias("n_records"), F.avg(1 - cosine(F.col("vector"), F.col("centre"))).alias("dispersion"))
 
 
