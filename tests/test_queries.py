@@ -143,6 +143,20 @@ def test_dispersion_of_records_and_of_repeated_ids(spark, tmp_path):
     assert plan(QUERIES["author_dispersion"](spark, str(tmp_path / "1"))).count("explode") == 0
 
 
+def test_distinct_grams_travel_packed(spark, tmp_path, monkeypatch):
+    """Flushes of few grams, so that grams meet across flushes, ranges and checkpoints; against SQL and counts by key."""
+    from textweir.operators import index, studies
+
+    monkeypatch.setattr(studies, "FLUSH", 50)
+    body = [" ".join(f"w{(i * 7 + j) % 97}" for j in range(40)) for i in range(150)]
+    con = tables(tmp_path, documents={"doc_id": [(i * 37) % 997 for i in range(300)], "text": [*body, *body[::-1]]})
+    agree(spark, tmp_path, con, "heaps_points", "heaps_fit")
+    keys = index.grams(spark.read.parquet(f"{tmp_path}/documents.parquet"), 10)
+    assert sorted(QUERIES["winnow_sizes"](spark, str(tmp_path)).select("rate", "distinct_grams", "grams").collect()) == sorted(studies.winnowed(keys).select("rate", "distinct_grams", "grams").collect())
+    for name in ("heaps_points", "winnow_sizes"):
+        assert "hashpartitioning(key" not in plan(QUERIES[name](spark, str(tmp_path)))
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textweir.errors import MissingDocumentError
+from textweir.functions import rolling
 from textweir.functions.text import squeeze, triage_tokens, word_count
-from textweir.storage import materialize
+from textweir.storage import materialize, small_batches
 
 LEAKED, PARTIAL = (0.5, 5), (0.25, 2)
 TERMINAL = "[.!?\"'”’]\\s*$"
 NOT_CONTENT = r"(?i)^/(robots\.txt|sitemap[^/]*|favicon\.ico|feeds?|rss|atom)(/|$)"
 #: Text of items that may be broadcast.
 MOST_ITEM_BYTES = 256 << 20
+#: Input bytes that a hash range of grams covers, and grams that a task packs at once.
+SHARD_BYTES, FLUSH = 8 << 20, 1 << 21
 #: A small list to reject pages by; callers bring their own.
 BLOCKLIST = ("idiot", "moron", "worthless", "clown")
 
@@ -131,21 +136,92 @@ def outcome(mode, source_content, newest_content):
     return F.when(mode == "domain", domain).otherwise(exact)
 
 
-def heaps_points(first_seen: DataFrame, totals: DataFrame, checkpoints: list[int]) -> DataFrame:
-    """checkpoint, total, distinct grams among the first documents.
+def _first_marks(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, each with its least mark."""
+    if not len(keys) or marks.min() == marks.max():
+        u = np.unique(keys)
+        return u, np.full(len(u), marks[0] if len(marks) else 0, np.uint8)
+    order = np.lexsort((marks, keys))
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    return keys[new], marks[order][new]
 
-    ``first_seen`` has (key, doc) of each gram's first document, ``totals`` (doc,
-    grams); both are summed per checkpoint bucket before anything is cumulated.
+
+def gram_cells(docs: DataFrame, n: int, mark, tally) -> DataFrame:
+    """cell, total, distinct_grams: ``tally`` (an array of counts) of all grams and of the distinct ones.
+
+    ``mark(ids)`` gives a byte for each document, a distinct gram has the least of its
+    documents'. Distinct keys travel packed by hash range, one row a range and flush;
+    a range covers about SHARD_BYTES of input, so one fits a worker at any size.
     """
-    c = F.array(*[F.lit(x) for x in checkpoints])
-    bucket = F.size(F.filter(c, lambda x: x <= F.col("doc")))
-    d = first_seen.groupBy(bucket.alias("b")).agg(F.count("*").alias("d"))
-    t = totals.groupBy(bucket.alias("b")).agg(F.sum("grams").alias("t"))
-    spark = totals.sparkSession
-    points = spark.createDataFrame(list(enumerate(checkpoints)), "b int, checkpoint long")
-    w = Window.orderBy("b")
-    x = points.join(t, "b", "left").join(d, "b", "left")
-    return x.select("checkpoint", F.sum(F.coalesce("t", F.lit(0))).over(w).alias("total"), F.sum(F.coalesce("d", F.lit(0))).over(w).alias("distinct_grams"))
+    small_batches(docs.sparkSession)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = size // SHARD_BYTES if size < 1 << 50 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(20, max(3, ranges.bit_length()))
+    names = ["shard", "keys", "marks"]
+
+    def pack(batches):
+        held, size, totals = [], 0, tally(np.empty(0, np.int64), np.empty(0, np.uint8))
+
+        def flush():
+            keys, marks = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            counts = tally(keys.view(np.int64), marks)
+            keys, marks = _first_marks(keys, marks)
+            cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            at = np.flatnonzero(np.diff(cut)).tolist()
+            rows = [(s, keys[cut[s] : cut[s + 1]].tobytes(), marks[cut[s] : cut[s + 1]].tobytes()) for s in at]
+            return counts, rows
+
+        def out(rows):
+            rows = rows or [(-1, np.zeros(len(totals), np.int64).tobytes(), b"")]  # no text was long enough
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names)
+
+        for b in batches:
+            of = mark(b.column(0))
+            for at, texts in rolling.chunks(b.column(1)):
+                text, _, keys, _ = rolling.grams(texts, n)
+                held.append((keys.view(np.uint64), of[text + at]))
+                size += len(keys)
+                if size >= FLUSH:
+                    counts, rows = flush()
+                    totals, size = totals + counts, 0
+                    yield out(rows)
+        if held:
+            counts, rows = flush()
+            totals = totals + counts
+            yield out(rows)
+        yield out([(-1, np.asarray(totals, np.int64).tobytes(), b"")])
+
+    def count(table):
+        if table["shard"][0].as_py() < 0:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["keys"])
+            each = np.zeros(len(total), np.int64)
+        else:
+            keys, marks = _first_marks(*(np.concatenate([np.frombuffer(x.as_py(), t) for x in table[c]]) for c, t in (("keys", np.uint64), ("marks", np.uint8))))
+            each = np.asarray(tally(keys.view(np.int64), marks), np.int64)
+            total = np.zeros(len(each), np.int64)
+        return pa.table({"cell": pa.array(np.arange(len(each)), pa.int32()), "total": pa.array(total), "distinct_grams": pa.array(each)})
+
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "shard int, keys binary, marks binary")
+    return packed.groupBy("shard").applyInArrow(count, "cell int, total long, distinct_grams long").groupBy("cell").agg(F.sum("total").alias("total"), F.sum("distinct_grams").alias("distinct_grams"))
+
+
+def heaps_points(docs: DataFrame, n: int, checkpoints: list[int]) -> DataFrame:
+    """checkpoint, total, distinct grams among the documents of lesser id; both are counted per bucket of ids before anything is cumulated."""
+    bounds = np.array(checkpoints, np.int64)
+
+    def mark(ids):
+        return np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), side="right").astype(np.uint8)
+
+    def tally(keys, marks):
+        return np.bincount(marks, minlength=len(bounds))
+
+    spark = docs.sparkSession
+    points = spark.createDataFrame(list(enumerate(checkpoints)), "cell int, checkpoint long")
+    x = points.join(gram_cells(docs.filter("doc_id is not null"), n, mark, tally), "cell", "left")
+    w = Window.orderBy("cell")
+    return x.select("checkpoint", *[F.sum(F.coalesce(c, F.lit(0))).over(w).alias(c) for c in ("total", "distinct_grams")])
 
 
 def heaps_fit(points: DataFrame) -> DataFrame:
@@ -161,6 +237,20 @@ def winnowed(keys: DataFrame, rates=(1, 16, 64, 256)) -> DataFrame:
     return per.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def winnow_sizes(docs: DataFrame, n: int, rates=(1, 16, 64, 256)) -> DataFrame:
+    """``winnowed`` of all grams of the documents."""
+
+    def mark(ids):
+        return np.zeros(len(ids), np.uint8)
+
+    def tally(keys, marks):
+        return np.array([np.count_nonzero(keys % r == 0) for r in rates], np.int64)
+
+    names = docs.sparkSession.createDataFrame(list(enumerate(rates)), "cell int, rate long")
+    x = names.join(gram_cells(docs, n, mark, tally), "cell", "left")
+    return x.select("rate", *[F.coalesce(c, F.lit(0)).alias(k) for c, k in (("distinct_grams", "distinct_grams"), ("total", "grams"))])
+
+
 def bloom_bits(distinct: float, rate: float) -> int:
     """Bits of a Bloom filter at a false-positive rate."""
     return math.ceil(distinct * math.log2(1 / rate) / math.log(2))
