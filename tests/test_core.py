@@ -428,6 +428,50 @@ def test_lexical_cluster_against_a_plain_version(spark):
     assert row.available and row.n == len(sims) and row.value == pytest.approx(sum(sims) / len(sims)) and near50.count() == 50
 
 
+def test_lexical_cluster_makes_vectors_of_drawn_records_only(spark, monkeypatch):
+    """Ids that come again are one record, a null id is drawn but met by none, and what isn't drawn gets no vector."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    r = random.Random(34)
+    vocab = [f"t{k}" for k in range(110)] + [f"É{k}'s" for k in range(40)]
+    rows = [(k if k % 9 else k // 18, " ".join(r.choices(vocab, k=r.randint(3, 60)))) for k in range(120)]
+    rows += [(None, " ".join(vocab[:9])), (None, "T1 t2-T3"), (500, None), (501, "..."), (502, "alone"), (503, ". " * 300 + "t5"), (504, "x " * 199 + "t55555"), (505, "x " * 199 + "yt5 É5'S")]
+    tokens, uses, first = defaultdict(Counter), defaultdict(set), {}
+    for d, t in rows:
+        for k, w in enumerate(re.findall(r"[^\W_']+(?:'s)?", (t or "").lower())):
+            tokens[d][w] += 1
+            uses[w] |= {d} - {None}
+            first[w] = min(first.get(w, (True, 1 << 40, 0)), (d is not None, d or 0, k))
+    df = {w: len(x) for w, x in uses.items()}
+    terms = sorted((w for w in df if 3 <= df[w] <= max(3, int(len(rows) * 0.6))), key=lambda w: (-df[w], first[w], w))
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = signals.vocabulary(frame).orderBy("term_idx").collect()
+    assert [(x.term, x.df, x.term_idx) for x in got] == [(w, df[w], k) for k, w in enumerate(terms)]
+    vecs = {}
+    for d, c in tokens.items():
+        if v := {w: (1 + math.log(n)) * math.log(len(rows) / df[w]) for w, n in c.items() if w in set(terms)}:
+            n = math.sqrt(sum(x * x for x in v.values()))
+            vecs[d] = {w: x / n for w, x in v.items()}
+    full = sorted(vecs, key=lambda d: (d is not None, d or 0))
+    assert None in full and 505 in full and 503 in full and 504 not in full and 502 not in full
+    made, tfidf = [], signals.tfidf
+    monkeypatch.setattr(signals, "tfidf", lambda *a: made.append(tfidf(*a)) or made[-1])
+    for pairs in (5, 3000):
+        draw, sims, drawn = hashing.Mulberry(signals.PAIR_SEED), [], set()
+        for _ in range(pairs):
+            i, j = int(draw() * len(full)), int(draw() * len(full))
+            j = (j + 1) % len(full) if i == j else j
+            a, b = full[i], full[j]
+            drawn |= {a, b} - {None}
+            if None not in (a, b):
+                sims.append(sum(x * vecs[b].get(w, 0) for w, x in vecs[a].items()))
+        row = signals.lexical_cluster(frame, pairs)[0].collect()[0]
+        assert row.n == len(sims) and row.value == pytest.approx(sum(sims) / len(sims))
+        assert {x.id for x in made[-1].select("id").distinct().collect()} == drawn
+
+
 def styled(r, n, authors=4):
     pools = [["the", "of", "and", "x", "y"], ["i", "you", "we", "x", "z"], ["on", "in", "at", "q"], ["but", "so", "x"]]
     return [(k, " ".join(r.choices(pools[k % authors], k=20)) + r.choice([".", "!", "; ok", ", yes. No?"]), f"a{k % authors}") for k in range(n)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ def mulberry(seed: int, i: Column) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
 
 
+def mulberry_array(seed: int, i: np.ndarray) -> np.ndarray:
+    """``mulberry`` of many places at once; as a column its expression is too large to be compiled beside others."""
+    m32 = np.uint64(M32)
+    a = np.uint64(seed & M32) + np.uint64(0x6D2B79F5) * (i.astype(np.uint64) + np.uint64(1) & m32) & m32
+    t = (a ^ a >> np.uint64(15)) * (a | np.uint64(1)) & m32
+    t ^= t + ((t ^ t >> np.uint64(7)) * (t | np.uint64(61)) & m32) & m32
+    return (t ^ t >> np.uint64(14)) / 4294967296.0
+
+
 class Mulberry:
     """The same generator on the driver, for shuffles that are sequential by nature."""
 

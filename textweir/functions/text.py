@@ -30,6 +30,9 @@ PUNCTUATION = {"apostrophe": "'", "colon": ":", "comma": ",", "dash": "[-–—]
 #: The marks of each class; together the only characters that the classes count.
 MARKS = {"apostrophe": "'", "colon": ":", "comma": ",", "dash": "-–—", "exclaim": "!", "paren": "()", "period": ".", "question": "?", "quote": "\"'“”", "semicolon": ";"}
 
+#: Signal tokens of ASCII: letters in lower case, digits and apostrophes stay, all else is a space.
+_ASCII = bytes(ord(chr(i).lower()) if chr(i).isascii() and (chr(i).isalnum() or chr(i) == "'") else 32 for i in range(256))
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -55,6 +58,17 @@ def token_line(c) -> Column:
     return F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}']+", " ")
 
 
+def rough_line(c) -> Column:
+    """What ``rough_tokens`` takes: an ASCII text as it is, of any other the ``token_line``."""
+    c = _col(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(token_line(c)).alias("line")
+
+
+def rough_tokens(line: str) -> list[str]:
+    """The signal tokens of a ``rough_line``."""
+    return (line.encode().translate(_ASCII).decode() if line.isascii() else line).split()
+
+
 def triage_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 

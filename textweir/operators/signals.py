@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweir.errors import NotFiniteError, TooFewTextsError
-from textweir.functions.hashing import mulberry
-from textweir.functions.text import FUNCTION_WORDS, MARKS, mark_counts, sentences, signal_tokens, token_line
+from textweir.functions.hashing import mulberry_array
+from textweir.functions.text import FUNCTION_WORDS, MARKS, mark_counts, rough_line, rough_tokens, sentences, signal_tokens, token_line
 from textweir.operators.near import near_duplicate_records
 from textweir.storage import materialize, numbered, small_batches, split_repeats
 
@@ -27,6 +27,8 @@ VOCABULARY, LEAST_DF, DF_SHARE, PAIRS, PAIR_SEED, LEAST_TERMS = 4000, 3, 0.6, 40
 AUTHOR_RECORDS = 30
 #: Words and groups that a task holds before it hands on their counts.
 STYLE_HELD = 300_000
+#: Characters of a text that are looked at before all of it is.
+START = 400
 
 
 def _row(df: DataFrame, key: str, value, available, reason, n) -> DataFrame:
@@ -38,40 +40,113 @@ def near_dup(records: DataFrame) -> DataFrame:
     return _row(r, "near_dup", F.try_divide("d", "n"), F.col("n") >= 2, "too few records with shingles", F.col("n"))
 
 
-def vocabulary(tokenised: DataFrame) -> DataFrame:
-    """term, df, idf, term_idx: the 4,000 most frequent terms in 3 documents to 60 % of them; ties by first use."""
-    total = tokenised.agg(F.count("*").alias("n_records"))
-    t = tokenised.select("id", F.posexplode("tokens").alias("pos", "term"))
-    df = t.groupBy("term").agg(F.count_distinct("id").alias("df"), F.min(F.struct("id", "pos")).alias("first"))
+def _term_uses(records: DataFrame) -> DataFrame:
+    """term, df, first (id, pos): in how many rows a task met a term, and its first use there; ids differ, a null one counts for no row."""
+    small_batches(records.sparkSession)
+    kind = records.schema["id"]
+
+    def run(batches):
+        df, first, id_type = Counter(), {}, None
+
+        def flush():
+            places = first.values()
+            return pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array([df[w] for w in first], pa.int64()), pa.array([k for (_, k), _ in places], id_type), pa.array([n for _, n in places], pa.int64())], ["term", "df", "id", "pos"])
+
+        for b in batches:
+            id_type = b.column(0).type
+            rows = sorted(((k is not None, k), line) for k, line in zip(*(c.to_pylist() for c in b.columns)) if line)
+            own = {}
+            for at in reversed(range(len(rows))):  # the last first: earlier uses replace later ones
+                tokens, base = rough_tokens(rows[at][1]), at << 32
+                uses = dict(zip(reversed(tokens), range(base + len(tokens) - 1, base - 1, -1)))
+                if rows[at][0][0]:
+                    df.update(uses.keys())
+                own.update(uses)
+            for w, code in own.items():
+                place = rows[code >> 32][0], code & 0xFFFFFFFF
+                if w not in first or place < first[w]:
+                    first[w] = place
+            if len(first) > STYLE_HELD:
+                yield flush()
+                df, first = Counter(), {}
+        if first:
+            yield flush()
+
+    schema = T.StructType([*T.StructType.fromDDL("term string, df long").fields, kind, *T.StructType.fromDDL("pos long").fields])
+    return records.select("id", rough_line("text")).mapInArrow(run, schema).select("term", "df", F.struct("id", "pos").alias("first"))
+
+
+def vocabulary(records: DataFrame) -> DataFrame:
+    """term, df, idf, term_idx: the 4,000 most frequent terms in 3 documents to 60 % of them; ties by first use, then (rows of one id) by term.
+
+    Tasks hand on counts of terms. Only the terms of ids that come again are told apart by id in a shuffle.
+    """
+    total = records.agg(F.count("*").alias("n_records"))
+    once, again = split_repeats(records.select("id", "text"), "id")
+    uses = _term_uses(once)
+    if again is not None:
+        t = again.select("id", F.posexplode(signal_tokens("text")).alias("pos", "term")).groupBy("term", "id").agg(F.min(F.col("pos").cast("long")).alias("pos"))
+        uses = uses.unionByName(t.select("term", F.when(F.col("id").isNull(), 0).otherwise(1).cast("long").alias("df"), F.struct("id", "pos").alias("first")))
+    df = uses.repartition("term").groupBy("term").agg(F.sum("df").alias("df"), F.min("first").alias("first"))
     ok = df.crossJoin(F.broadcast(total)).filter((F.col("df") >= LEAST_DF) & (F.col("df") <= F.greatest(F.lit(LEAST_DF), F.floor(F.col("n_records") * DF_SHARE))))
-    top = ok.orderBy(F.desc("df"), "first").limit(VOCABULARY)
-    return top.select("term", "df", F.log(F.col("n_records") / F.col("df")).alias("idf"), (F.row_number().over(Window.orderBy(F.desc("df"), "first")) - 1).alias("term_idx"))
+    top = ok.orderBy(F.desc("df"), "first", "term").limit(VOCABULARY)
+    return top.select("term", "df", F.log(F.col("n_records") / F.col("df")).alias("idf"), (F.row_number().over(Window.orderBy(F.desc("df"), "first", "term")) - 1).alias("term_idx"))
+
 
+def holds_any(c, words: list[str]):
+    """Whether a text has one of the tokens. Mostly its start tells, by whole tokens of plain letters, whose case hangs on nothing behind them."""
+    start = F.regexp_extract_all(F.lower(F.substring(c, 1, START)), F.lit(r"([\p{L}\p{N}']++)[^\p{L}\p{N}']"), F.lit(1))
+    plain = [w for w in words if w.isascii()]
+    return F.when(F.exists(start, lambda x: x.isin(plain)), True).otherwise(F.exists(signal_tokens(c), lambda x: x.isin(words)))
 
-def tfidf(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
-    """id, term_idx, w: L2-normalised (1 + ln tf) * idf."""
-    tf = tokenised.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    w = tf.join(F.broadcast(terms.select("term", "term_idx", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+
+def tfidf(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, term_idx, w: L2-normalised (1 + ln tf) * idf. Words are counted within the row; ``terms``, few, are held by each task."""
+    small_batches(records.sparkSession)
+    place = {r.term: r.term_idx for r in terms.select("term", "term_idx").collect()}
+
+    def run(batches):
+        for b in batches:
+            rows, term, tf = [], [], []
+            for i, line in enumerate(b.column(1).to_pylist()):
+                c = Counter(place[w] for w in rough_tokens(line or "") if w in place)
+                rows += [i] * len(c)
+                term += c.keys()
+                tf += c.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(term, pa.int32()), pa.array(tf, pa.int64())], ["id", "term_idx", "tf"])
+
+    schema = T.StructType([records.schema["id"], *T.StructType.fromDDL("term_idx int, tf long").fields])
+    tf = records.select("id", rough_line("text")).mapInArrow(run, schema).repartition("id").groupBy("id", "term_idx").agg(F.sum("tf").alias("tf"))
+    w = tf.join(F.broadcast(terms.select("term_idx", "idf")), "term_idx").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return w.select("id", "term_idx", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("w"))
 
 
 def lexical_cluster(records: DataFrame, pairs: int = PAIRS):
-    """Mean cosine of seeded pairs of records, and the 50 records nearest to all others."""
+    """Mean cosine of seeded pairs of records, and the 50 records nearest to all others.
+
+    All records make the vocabulary and the places that pairs are drawn from; vectors are made of the records drawn, at most twice ``pairs``.
+    """
     spark = records.sparkSession
-    t = materialize(records.select("id", signal_tokens("text").alias("tokens")))
-    terms = vocabulary(t).cache()
-    vec = tfidf(t, terms).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term_idx", "w"))).alias("v"))
-    vec = materialize(vec)
-    place = numbered(vec.select("id"), "id").cache()
-    m, n_terms = place.count(), terms.count()
+    terms = materialize(vocabulary(records))
+    words = [r.term for r in terms.select("term").collect()]
+    place = numbered(materialize(records.filter(holds_any("text", words)).select("id").distinct()), "id")
+    m, n_terms = place.count(), len(words)
     if m < 2 or n_terms < LEAST_TERMS:
         one = spark.range(1).select(F.lit(m).alias("m"))
         return _row(one, "lexical_cluster", F.lit(None).cast("double"), F.lit(False), f"{n_terms} usable terms, {m} records", F.col("m")), None
     sampled = min(pairs, m * (m - 1) // 2)
-    p = spark.range(sampled).select(F.col("id").alias("p"), F.floor(mulberry(PAIR_SEED, F.col("id") * 2) * m).alias("i"), F.floor(mulberry(PAIR_SEED, F.col("id") * 2 + 1) * m).alias("j"))
-    p = p.withColumn("j", F.when(F.col("i") == F.col("j"), (F.col("j") + 1) % m).otherwise(F.col("j")))
-    v = vec.join(place, "id")
+
+    def draw(batches):
+        for b in batches:
+            n = b.column(0).to_numpy()
+            i, j = (np.floor(mulberry_array(PAIR_SEED, n * 2 + side) * m).astype(np.int64) for side in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(i), pa.array(np.where(i == j, (j + 1) % m, j))], ["p", "i", "j"])
+
+    p = materialize(spark.range(sampled).mapInArrow(draw, "p long, i long, j long"))
+    drawn = materialize(place.join(F.broadcast(p.select(F.explode(F.array("i", "j")).alias("k")).distinct()), "k"))
+    vec = tfidf(records.join(F.broadcast(drawn.select("id")), "id"), terms).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term_idx", "w"))).alias("v"))
+    v = materialize(vec.join(F.broadcast(drawn), "id"))
     p = p.join(v.select(F.col("k").alias("i"), F.col("id").alias("a"), F.col("v").alias("va")), "i").join(v.select(F.col("k").alias("j"), F.col("id").alias("b"), F.col("v").alias("vb")), "j")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("vb", e["key"]), F.lit(0.0)))
     p = p.select("p", "a", "b", dot.alias("sim")).cache()
